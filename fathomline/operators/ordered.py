@@ -204,3 +204,36 @@ def over_present(
         rows = rows.unionByName(lent)
     frame = Window.partitionBy("_block", *by).orderBy("_k").rangeBetween(-(window - 1), 0)
     return rows.withColumns(outputs(frame)).where("_home").drop("_v", "_k", *HELPERS)
+
+
+def running_sum(
+    df: DataFrame, value: Column, output: str, *, group_by=None, order_by,
+    blocks: bool | None = None,
+) -> DataFrame:
+    """Running total up to and including each row, restarting at every group."""
+    groups, order = names(group_by), must_order(order_by)
+    by = [F.col(f"`{g}`") for g in groups]
+    keyed = df.withColumn("_v", F.coalesce(value, F.lit(0.0)))
+    if not needs_blocks(df, groups, blocks):
+        w = Window.partitionBy(*by).orderBy(*ordering(order))
+        upto = w.rowsBetween(Window.unboundedPreceding, 0)
+        return keyed.withColumn(output, F.sum("_v").over(upto)).drop("_v")
+    rows = lay_out(keyed, groups, order).rows
+    keys = [F.col(f"`{g}`").alias(f"_g{i}") for i, g in enumerate(groups)]
+    gs = [f"_g{i}" for i in range(len(groups))]
+    # One row per block and group it touches; only these are summed in sequence.
+    sums = rows.groupBy(F.col("_block").alias("_b"), *keys).agg(F.sum("_v").alias("_s"))
+    earlier = Window.partitionBy(*gs).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("_before", F.coalesce(F.sum("_s").over(earlier), F.lit(0.0)))
+    same = F.col("_block") == F.col("_b")
+    for g, k in zip(groups, gs):
+        same = same & F.col(f"`{g}`").eqNullSafe(F.col(k))
+    inside = Window.partitionBy("_block", *by).orderBy("_idx").rowsBetween(
+        Window.unboundedPreceding, 0
+    )
+    return (
+        rows.withColumn("_in", F.sum("_v").over(inside))
+        .join(sums, same)
+        .withColumn(output, F.col("_before") + F.col("_in"))
+        .drop("_v", "_in", "_b", "_s", "_before", *gs, *HELPERS)
+    )
