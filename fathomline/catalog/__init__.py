@@ -6,7 +6,7 @@ from importlib import import_module
 
 from fathomline.catalog.base import Catalog
 
-PARTS = ("rows", "tables")
+PARTS = ("rows", "tables", "models")
 
 
 def everything() -> Catalog:
