@@ -5,7 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, WindowSpec, functions as F
 
 from fathomline.functions import values as V
-from fathomline.operators.ordered import over_present, over_rows, position, running_sum
+from fathomline.operators.ordered import (
+    needs_blocks,
+    over_present,
+    over_rows,
+    position,
+    running_sum,
+)
 
 STATISTICS = (
     "mean", "std", "median", "min", "max", "sum", "count", "slope", "zscore", "range",
@@ -185,6 +191,7 @@ def longest_runs(
         *[V.col(df, g) for g in groups], *[V.col(df, o.lstrip("-")) for o in order
                                            if o.lstrip("-") not in groups], v.alias("_y")
     )
+    blocks = needs_blocks(base, groups, blocks)
     numbered = position(base, "_n", group_by=groups, order_by=order, blocks=blocks)
     present = numbered.where(F.col("_y").isNotNull())
 
@@ -320,6 +327,7 @@ def arc_points(
     order, carried = V.must_order(order_by), [lat, lon, *V.names(values)]
     ahead = df.select(V.col(df, track), *[V.col(df, o) for o in order],
                       *[V.number(df, c).alias(c) for c in carried])
+    blocks = needs_blocks(ahead, [track], blocks)
     ahead = over_rows(
         ahead,
         lambda w: {f"_n_{c}": F.lead(c).over(w) for c in carried},

@@ -58,25 +58,27 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def estimated_bytes(df: DataFrame) -> int | None:
-    """Catalyst's size estimate of a plan, or None where it cannot be had."""
+def source_bytes(df: DataFrame) -> int | None:
+    """Size of the tables a plan reads, or None where it cannot be told."""
     try:
-        stats = df._jdf.queryExecution().optimizedPlan().stats()
-        return int(stats.sizeInBytes().toString())
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        return sum(
+            int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size())
+        )
     except Exception:
         return None
 
 
 def is_small(df: DataFrame) -> bool:
-    size = estimated_bytes(df)
+    size = source_bytes(df)
     return size is not None and size <= setting(df.sparkSession, SMALL_BYTES)
 
 
 def has_hot_group(df: DataFrame, group_by: list[str]) -> bool:
     """Whether one group holds more rows than one task should take.
 
-    A table whose estimate is small is answered from the plan alone. Otherwise
-    one map-side combined count over the key columns answers it.
+    Over small sources the plan alone answers it. Otherwise one map-side combined
+    count over the key columns does; operators made of several steps ask once.
     """
     limit = setting(df.sparkSession, HOT_ROWS)
     if limit > 0 and is_small(df):
