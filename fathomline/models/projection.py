@@ -57,11 +57,12 @@ def project(
         F.regr_syy(y, x).alias("_syy"),
         F.regr_sxy(y, x).alias("_sxy"),
     )
-    return _answers(fitted, groups, value, limits, direction, min_points, min_r_squared, horizon,
+    return project_fits(fitted, groups, value, limits, direction, min_points, min_r_squared, horizon,
                     confidence_multiplier)
 
 
-def _answers(fitted, groups, value, limits, direction, min_points, min_r2, horizon, width):
+def project_fits(fitted, groups, value, limits, direction, min_points, min_r2, horizon, width):
+    """Projections from the sums of fits (_n, _sxx, _syy, _sxy) and their _last reading."""
     n, sxx, syy, sxy = (F.col(c) for c in ("_n", "_sxx", "_syy", "_sxy"))
     slope = F.when((n >= 2) & (sxx > 0), sxy / sxx)
     residual = F.greatest(F.lit(0.0), syy - sxy * sxy / sxx)
