@@ -6,7 +6,7 @@ from importlib import import_module
 
 from fathomline.catalog.base import Catalog
 
-PARTS = ("rows", "tables", "models", "tracks", "condition")
+PARTS = ("rows", "tables", "models", "tracks", "condition", "platform")
 
 
 def everything() -> Catalog:

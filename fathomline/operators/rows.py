@@ -470,7 +470,7 @@ def drop_duplicates(df: DataFrame, *, columns=None, order_by=None) -> DataFrame:
         return df.dropDuplicates()
     V.need(df, *keys)
     # Row-number 1 is cut down inside each map task before the shuffle.
-    w = Window.partitionBy(*[V.col(df, k).cast("string") for k in keys]).orderBy(
+    w = Window.partitionBy(*[V.col(df, k) for k in keys]).orderBy(
         *V.ordering(V.must_order(order_by))
     )
     return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")

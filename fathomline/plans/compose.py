@@ -45,6 +45,9 @@ def ordered_steps(spec: list, tables: set[str] = frozenset()) -> list[tuple[Step
     twice = sorted({n for n in names if names.count(n) > 1})
     if not steps or twice:
         raise ValueError(f"steps need unique names; repeated: {twice}" if steps else "no steps")
+    both = sorted(set(names) & set(tables))
+    if both:
+        raise ValueError(f"{both} name both a step and a table")
     resolved: dict[str, tuple[Step, str | None]] = {}
     for at, s in enumerate(steps):
         main = s.reads if s.reads else (names[at - 1] if at else None)

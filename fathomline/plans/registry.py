@@ -79,3 +79,18 @@ for _fn in (
     charts.box, charts.box_outliers, charts.grid,
 ):
     register(_fn)
+
+
+def _models() -> None:
+    from fathomline.models import curve, evidence, matrix, outcomes, projection, quality, scorecard
+
+    for fn in (
+        scorecard.scorecard, matrix.risk_matrix, projection.project, quality.data_quality,
+        outcomes.distribution_summary, outcomes.outcome_histogram, outcomes.scan_grid,
+        evidence.evidence_bundle, evidence.compose_reasoning, evidence.unsupported_citations,
+    ):
+        register(fn)
+    register(curve.fit_curve, kind=MODEL)
+
+
+_models()

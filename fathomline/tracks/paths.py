@@ -65,8 +65,8 @@ def outline_km(lat: Column, lon: Column, outline=OUTLINE) -> Column:
             rise = np.where(b[:, 1] == a[:, 1], 1.0, b[:, 1] - a[:, 1])
             lean = (b[:, 0] - a[:, 0]) / rise
             crossed = (py >= low) & (py < high) & (px < a[:, 0] + (py - a[:, 1]) * lean)
-            nearest = _to_segments(q, a, b).min(axis=1)
-            out[i:i + 20_000] = np.where(crossed.sum(axis=1) % 2 == 1, 0.0, nearest)
+            inside = crossed.sum(axis=1) % 2 == 1
+            out[i:i + 20_000] = np.where(inside, 0.0, _nearest(q, _segments(a, b)))
         return pd.Series(out)
 
     return measured(*plane(lat, lon))
@@ -158,14 +158,40 @@ FEATURES = (
 )
 
 
-def _to_segments(p: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """(points, segments) distances."""
-    ab = b - a
-    length = (ab * ab).sum(1)
-    t = ((p[:, None, :] - a[None]) * ab[None]).sum(2) / np.where(length > 1e-12, length, 1.0)
-    t = np.where(length > 1e-12, np.clip(t, 0.0, 1.0), 0.0)
-    near = a[None] + t[:, :, None] * ab[None]
-    return np.hypot(near[:, :, 0] - p[:, None, 0], near[:, :, 1] - p[:, None, 1])
+# Distances worked on at once, so that the intermediate arrays stay in cache.
+_CELLS = 65_536
+
+
+def _segments(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Starts, directions and inverse squared lengths of segments."""
+    dx, dy = b[:, 0] - a[:, 0], b[:, 1] - a[:, 1]
+    length = dx * dx + dy * dy
+    inverse = np.where(length > 1e-12, 1.0 / np.where(length > 1e-12, length, 1.0), 0.0)
+    return a[:, 0].copy(), a[:, 1].copy(), dx, dy, inverse
+
+
+def _squared(p: np.ndarray, lines: tuple[np.ndarray, ...]) -> np.ndarray:
+    """(points, segments) squared distances."""
+    ax, ay, dx, dy, inverse = lines
+    gx, gy = p[:, :1] - ax, p[:, 1:] - ay
+    t = gx * dx
+    t += gy * dy
+    t *= inverse
+    np.clip(t, 0.0, 1.0, out=t)
+    gx -= t * dx
+    gy -= t * dy
+    gx *= gx
+    gy *= gy
+    gx += gy
+    return gx
+
+
+def _nearest(p: np.ndarray, lines: tuple[np.ndarray, ...]) -> np.ndarray:
+    """Distance of each point to its nearest segment."""
+    step = max(1, _CELLS // max(1, len(lines[0])))
+    return np.sqrt(np.concatenate(
+        [_squared(p[i:i + step], lines).min(axis=1) for i in range(0, len(p), step)]
+    ))
 
 
 def path_distance(
@@ -174,11 +200,13 @@ def path_distance(
 ) -> DataFrame:
     """Symmetric mean nearest-point distance of tracks, the k nearest per query.
 
-    The query polylines travel to the points of all tracks. A task only emits, per
-    track it saw, the sum of its own points' distances and the least distance to
-    each query point, so a long track is worked on in as many tasks as hold it.
+    The query polylines travel to the points of all tracks. Where no track is hot, a
+    task sees whole tracks one after the other and keeps the k best per query. A hot
+    track is spread over tasks: each emits the sum of its own points' distances and
+    the least distance to every query point, and an aggregation puts them together.
     """
     spark = tracks.sparkSession
+    hot = needs_blocks(tracks, [track], blocks)
 
     def segments(df: DataFrame) -> DataFrame:
         slim = df.select(
@@ -188,73 +216,47 @@ def path_distance(
         led = over_rows(
             slim,
             lambda w: {"_nx": F.lead("_x").over(w), "_ny": F.lead("_y").over(w)},
-            group_by=[track], order_by=order_by, after=1, blocks=blocks,
+            group_by=[track], order_by=order_by, after=1, blocks=hot,
         )
         # The last point stands as a segment of no length.
         return led.select(
             V.col(df, track), "_x", "_y", F.coalesce("_nx", "_x").alias("_nx"),
             F.coalesce("_ny", "_y").alias("_ny"),
-        )
+        ).sortWithinPartitions(track)
 
     kinds = f"query_id {V.kind(queries, track).simpleString()}, item_id {V.kind(tracks, track).simpleString()}"
-    schema = kinds + ", point int, value double, n bigint"
     lines = segments(tracks)
     found = None
     for part in query_parts(segments(queries), track, 40):
         if not len(part):
             continue
-        held = spark.sparkContext.broadcast(
-            [(name, g[["_x", "_y"]].to_numpy(), g[["_nx", "_ny"]].to_numpy())
-             for name, g in part.groupby(track, sort=True)]
+        part = part.sort_values(track, kind="stable")
+        codes, names = pd.factorize(part[track])
+        held = spark.sparkContext.broadcast({
+            "names": np.asarray(names),
+            "points": part[["_x", "_y"]].to_numpy(),
+            "lines": _segments(part[["_x", "_y"]].to_numpy(), part[["_nx", "_ny"]].to_numpy()),
+            "heads": np.flatnonzero(np.r_[True, np.diff(codes) > 0]),
+        })
+        run = _spread(held, track, exclude_self) if hot else _whole(held, track, exclude_self, k)
+        some = lines.mapInPandas(
+            run, kinds + (", point int, value double, n bigint" if hot else ", distance double")
         )
-
-        def run(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                if not len(batch):
-                    continue
-                codes, ids = pd.factorize(batch[track])
-                order = np.argsort(codes, kind="stable")
-                a = batch[["_x", "_y"]].to_numpy()[order]
-                b = batch[["_nx", "_ny"]].to_numpy()[order]
-                heads = np.flatnonzero(np.r_[True, np.diff(codes[order]) > 0])
-                counts = np.diff(np.r_[heads, len(order)])
-                for name, qa, qb in held.value:
-                    step = max(1, 1_000_000 // max(1, len(qa)))
-                    own = np.concatenate([
-                        _to_segments(a[i:i + step], qa, qb).min(1) for i in range(0, len(a), step)
-                    ])
-                    least = np.concatenate([
-                        np.minimum.reduceat(_to_segments(qa[i:i + 256], a, b), heads, axis=1)
-                        for i in range(0, len(qa), 256)
-                    ])
-                    mine = [j for j in range(len(ids)) if not (exclude_self and ids[j] == name)]
-                    if not mine:
-                        continue
-                    sums = np.add.reduceat(own, heads)
-                    m = len(qa)
-                    yield pd.DataFrame(
-                        {
-                            "query_id": name,
-                            "item_id": np.concatenate([np.asarray(ids)[mine], np.repeat(np.asarray(ids)[mine], m)]),
-                            "point": np.concatenate([np.full(len(mine), -1), np.tile(np.arange(m), len(mine))]),
-                            "value": np.concatenate([sums[mine], least[:, mine].T.ravel()]),
-                            "n": np.concatenate([counts[mine], np.zeros(len(mine) * m, dtype=int)]),
-                        }
-                    )
-
-        some = lines.mapInPandas(run, schema)
         found = some if found is None else found.unionByName(some)
     if found is None:
         return spark.createDataFrame([], kinds + ", distance double, rank bigint, score double")
-    own = F.col("point") < 0
-    per_point = found.groupBy("query_id", "item_id", "point").agg(
-        F.min("value").alias("least"), (F.sum("value") / F.nullif(F.sum("n"), F.lit(0))).alias("mean")
-    )
-    both = per_point.groupBy("query_id", "item_id").agg(
-        (0.5 * (F.max(F.when(own, F.col("mean"))) + F.avg(F.when(~own, F.col("least"))))).alias("distance")
-    )
+    if hot:
+        own = F.col("point") < 0
+        per_point = found.groupBy("query_id", "item_id", "point").agg(
+            F.min("value").alias("least"),
+            (F.sum("value") / F.nullif(F.sum("n"), F.lit(0))).alias("mean"),
+        )
+        found = per_point.groupBy("query_id", "item_id").agg(
+            (0.5 * (F.max(F.when(own, F.col("mean"))) + F.avg(F.when(~own, F.col("least")))))
+            .alias("distance")
+        )
     ranked = top_per_group(
-        both.withColumn("distance", F.round("distance", 9)), k=k, group_by="query_id",
+        found.withColumn("distance", F.round("distance", 9)), k=k, group_by="query_id",
         order_by="distance,item_id", output="rank",
     )
     return ranked.withColumn("rank", F.col("rank") - 1).withColumn(
@@ -262,6 +264,116 @@ def path_distance(
     )
 
 
+def _measure(q: dict, a: np.ndarray, b: np.ndarray, heads: np.ndarray):
+    """Per track: the sums of its points' distances to each query, and the least
+    distance of each query point to it."""
+    sums, least = [], []
+    step = max(1, _CELLS // len(q["points"]))
+    for i in range(0, len(a), step):
+        near = np.minimum.reduceat(_squared(a[i:i + step], q["lines"]), q["heads"], axis=1)
+        sums.append(np.sqrt(near))
+    here = _segments(a, b)
+    step = max(1, _CELLS // len(a))
+    for i in range(0, len(q["points"]), step):
+        near = np.minimum.reduceat(_squared(q["points"][i:i + step], here), heads, axis=1)
+        least.append(np.sqrt(near))
+    return np.add.reduceat(np.concatenate(sums), heads, axis=0), np.concatenate(least)
+
+
+def _runs(batch: pd.DataFrame, track: str):
+    codes, ids = pd.factorize(batch[track])
+    order = np.argsort(codes, kind="stable")
+    heads = np.flatnonzero(np.r_[True, np.diff(codes[order]) > 0])
+    counts = np.diff(np.r_[heads, len(order)])
+    return (
+        np.asarray(ids), batch[["_x", "_y"]].to_numpy()[order], batch[["_nx", "_ny"]].to_numpy()[order],
+        heads, counts,
+    )
+
+
+def _whole(held, track: str, exclude_self: bool, k: int):
+    """Tasks that see whole tracks in sequence: the k best tracks per query."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        q = held.value
+        names, n = q["names"], len(q["names"])
+        sizes = np.diff(np.r_[q["heads"], len(q["points"])])
+        best, who = np.full((n, 0), np.inf), np.empty((n, 0), dtype=object)
+        open_ = None  # the track that may go on in the next batch
+
+        def take(ids, sums, least, counts):
+            nonlocal best, who
+            back = np.add.reduceat(least, q["heads"], axis=0) / sizes[:, None]
+            d = np.round(0.5 * ((sums / counts[:, None]).T + back), 9)
+            if exclude_self:
+                d[names[:, None] == ids[None, :]] = np.inf
+            d = np.concatenate([best, d], axis=1)
+            w = np.concatenate([who, np.broadcast_to(ids.astype(object), (n, len(ids)))], axis=1)
+            if d.shape[1] > k:
+                rows = [sorted(range(d.shape[1]), key=lambda j, r=r: (d[r, j], w[r, j]))[:k]
+                        if d.shape[1] <= 4 * k else _first(d[r], w[r], k) for r in range(n)]
+                rows = np.array(rows)
+                d, w = np.take_along_axis(d, rows, 1), np.take_along_axis(w, rows, 1)
+            best, who = d, w
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            ids, a, b, heads, counts = _runs(batch, track)
+            sums, least = _measure(q, a, b, heads)
+            if open_ is not None:
+                name, s, m, c = open_
+                if ids[0] == name:
+                    sums[0] += s
+                    least[:, 0] = np.minimum(least[:, 0], m)
+                    counts[0] += c
+                else:
+                    take(np.asarray([name]), s[None], m[:, None], np.asarray([c]))
+            if len(ids) > 1:
+                take(ids[:-1], sums[:-1], least[:, :-1], counts[:-1])
+            open_ = (ids[-1], sums[-1], least[:, -1], counts[-1])
+        if open_ is not None:
+            take(np.asarray([open_[0]]), open_[1][None], open_[2][:, None], np.asarray([open_[3]]))
+        rows, cols = np.nonzero(np.isfinite(best))
+        yield pd.DataFrame({"query_id": names[rows], "item_id": who[rows, cols], "distance": best[rows, cols]})
+
+    return run
+
+
+def _first(d: np.ndarray, who: np.ndarray, k: int) -> list[int]:
+    """Positions of the k smallest, equal ones by name."""
+    edge = np.partition(d, k - 1)[k - 1]
+    near = np.flatnonzero(d <= edge)
+    return sorted(near, key=lambda j: (d[j], who[j]))[:k]
+
+
+def _spread(held, track: str, exclude_self: bool):
+    """Tasks that see parts of tracks: what each part adds, for an aggregation."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        q = held.value
+        names = q["names"]
+        of = np.repeat(np.arange(len(names)), np.diff(np.r_[q["heads"], len(q["points"])]))
+        place = np.arange(len(of)) - q["heads"][of]
+        for batch in batches:
+            if not len(batch):
+                continue
+            ids, a, b, heads, counts = _runs(batch, track)
+            sums, least = _measure(q, a, b, heads)
+            for j, item in enumerate(ids):
+                pick = names != item if exclude_self else np.ones(len(names), dtype=bool)
+                points = pick[of]
+                yield pd.DataFrame({
+                    "query_id": np.r_[names[pick], names[of[points]]],
+                    "item_id": item,
+                    "point": np.r_[np.full(pick.sum(), -1), place[points]],
+                    "value": np.r_[sums[j][pick], least[points, j]],
+                    "n": np.r_[np.full(pick.sum(), counts[j]), np.zeros(points.sum(), dtype=int)],
+                })
+
+    return run
+
+
 def warp_points(
     df: DataFrame, *, lat: str = "lat", lon: str = "lon", wind: str = "wind_kt",
     pressure: str = "pressure_mb", centre=CENTRE,
