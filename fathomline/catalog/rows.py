@@ -341,8 +341,8 @@ def places(s, d):
 
 PLACES = """SELECT c_custkey, (c_acctbal - 120.0 * floor(c_acctbal / 120.0)) - 60 AS lat,
     CAST((c_custkey * 37) % 360 - 180 AS DOUBLE) AS lon FROM customer"""
-_HAV = """2 * 6371.0 * asin(sqrt(least(1.0, pow(sin(radians({a2} - {a1}) / 2), 2)
-    + cos(radians({a1})) * cos(radians({a2})) * pow(sin(radians({b2} - {b1}) / 2), 2))))"""
+_HAV = """2 * 6371.0 * asin(sqrt(pow(sin(radians({a2} - {a1}) / 2), 2)
+    + cos(radians({a1})) * cos(radians({a2})) * pow(sin(radians({b2} - {b1}) / 2), 2)))"""
 
 
 def hav_sql(a1, b1, a2, b2):

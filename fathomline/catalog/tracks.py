@@ -317,9 +317,19 @@ def _(s, d):
     return out.select("query_id", "item_id", F.round("distance", 6).alias("distance"), "rank")
 
 
-@C.add("arc_points")
+@C.add("arc_points", f"""WITH q AS (SELECT track, lat, lon, wind, row_number() OVER (PARTITION BY track ORDER BY ts, event_id) AS i FROM {POINTS}),
+       g AS (SELECT *, lead(lat) OVER w AS la, lead(lon) OVER w AS lo, lead(wind) OVER w AS wi FROM q WINDOW w AS (PARTITION BY track ORDER BY i)),
+       l AS (SELECT *, coalesce({hav_sql('lat', 'lon', 'la', 'lo')}, 0) AS len FROM g),
+       c AS (SELECT *, sum(len) OVER (PARTITION BY track ORDER BY i) - len AS f, sum(len) OVER (PARTITION BY track ORDER BY i) AS t,
+         sum(len) OVER (PARTITION BY track) / 49 AS d, la IS NULL AS final FROM l),
+       k AS (SELECT *, s AS step FROM c, range(50) r(s) WHERE CASE WHEN d = 0 THEN final WHEN s = 49 THEN final ELSE s >= round(f / d, 9) AND s < round(t / d, 9) END)
+       SELECT track, step, round(lat + CASE WHEN len > 0 THEN (la - lat) * (step * d - f) / len ELSE 0 END, 5) AS lat,
+         round(lon + CASE WHEN len > 0 THEN (lo - lon) * (step * d - f) / len ELSE 0 END, 5) AS lon,
+         round(wind + CASE WHEN len > 0 THEN (wi - wind) * (step * d - f) / len ELSE 0 END, 4) AS wind_kt FROM k""")
 def _(s, d):
-    return arc_points(points(s, d), track="track", order_by="ts,event_id", points=50, values="wind_kt")
+    out = arc_points(points(s, d), track="track", order_by="ts,event_id", points=50, values="wind_kt")
+    return out.select("track", "step", F.round("lat", 5).alias("lat"), F.round("lon", 5).alias("lon"),
+                      F.round("wind_kt", 4).alias("wind_kt"))
 
 
 # ---------------------------------------------------------------- rain

@@ -16,7 +16,8 @@ def great_circle_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> C
     chord = F.pow(F.sin(dlat * half), F.lit(2)) + F.cos(F.radians(lat1)) * F.cos(
         F.radians(lat2)
     ) * F.pow(F.sin(dlon * half), F.lit(2))
-    return F.lit(2 * EARTH_KM) * F.asin(F.sqrt(F.least(F.lit(1.0), chord)))
+    # Rounding may lift a chord past 1; a missing position has to stay missing.
+    return F.lit(2 * EARTH_KM) * F.asin(F.sqrt(F.when(chord > 1, F.lit(1.0)).otherwise(chord)))
 
 
 def planar_km(lat: Column, lon: Column, lat0: float, lon0: float) -> tuple[Column, Column]:
