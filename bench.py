@@ -16,7 +16,7 @@ from fathomline.catalog import everything  # noqa: E402
 FOLDER = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
 HEADLINES = (
-    "segment_revenue", "cast_types", "parse_numeric", "datetime_parts", "bin_numeric",
+    "seven_transforms", "segment_revenue", "cast_types", "parse_numeric", "datetime_parts", "bin_numeric",
     "filter_rows_number", "summarise_lineitem", "sort_rows", "climatology", "formula",
     "rule_first_match", "join_left", "join_full", "as_of", "within_intervals", "look_ahead",
     "drop_duplicates", "top_per_group", "rank_rows", "profile", "linear_trend", "correlation",

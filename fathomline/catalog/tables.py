@@ -848,3 +848,32 @@ def _(s, d):
     return R.top_per_group(
         table(s, d, "orders"), k=10, group_by="o_orderstatus", order_by="-o_totalprice,o_orderkey"
     ).select("o_orderstatus", "o_orderkey", "o_totalprice")
+
+
+@C.add("seven_transforms", """SELECT CAST(year(l_shipdate) AS BIGINT) AS s_year, CASE WHEN l_quantity < 10 THEN '1-10' WHEN l_quantity < 30 THEN '10-30' ELSE '30-50' END AS l_quantity_band,
+       count(*) AS row_count, round(sum(l_extendedprice), 2) AS price_sum, round(avg(l_suppkey), 4) AS tag_value_mean
+       FROM lineitem WHERE l_discount > 0.02 GROUP BY ALL ORDER BY ALL""")
+def _(s, d):
+    """Seven chained transforms over forty columns."""
+    from fathomline.plans.compose import run_plan
+
+    li = table(s, d, "lineitem").withColumns({
+        "price": F.col("l_extendedprice").cast("string"),
+        "tag": F.concat(F.lit("x"), F.col("l_suppkey").cast("string"), F.lit(" kg")),
+        **{f"extra_{i}": F.col("l_partkey") + i for i in range(27)},
+    })
+    out = run_plan(
+        [
+            {"name": "cast", "use": "cast_types", "options": {"casts": {"price": "number"}}},
+            {"name": "parse", "use": "parse_numeric", "options": {"column": "tag"}},
+            {"name": "parts", "use": "datetime_parts",
+             "options": {"column": "l_shipdate", "parts": "year,month", "prefix": "s"}},
+            {"name": "band", "use": "bin_numeric", "options": {"column": "l_quantity", "edges": [1, 10, 30, 50]}},
+            {"name": "kept", "use": "filter_rows", "options": {"column": "l_discount", "op": "gt", "value": 0.02}},
+            {"name": "sums", "use": "summarise",
+             "options": {"group_by": "s_year,l_quantity_band", "measures": {"price": "sum", "tag_value": "mean"}}},
+            {"name": "sorted", "use": "sort_rows", "options": {"column": "s_year,l_quantity_band"}},
+        ],
+        li,
+    )["sorted"]
+    return out.withColumns({"price_sum": F.round("price_sum", 2), "tag_value_mean": F.round("tag_value_mean", 4)})

@@ -18,7 +18,7 @@ from fathomline.operators.aggregate import confusion_pairs
 
 REGRESSORS = {
     "linear_regression": lambda: LinearRegression(),
-    "ridge": lambda: LinearRegression(regParam=1.0, elasticNetParam=0.0),
+    "ridge": lambda: LinearRegression(elasticNetParam=0.0),
     "random_forest_regressor": lambda: RandomForestRegressor(numTrees=100, seed=42),
     "gradient_boosting_regressor": lambda: GBTRegressor(maxIter=100, maxDepth=3, seed=42),
 }
@@ -28,6 +28,21 @@ CLASSIFIERS = {
     "decision_tree_classifier": lambda: DecisionTreeClassifier(seed=42),
 }
 LEAST_ROWS = 5
+# Parameter names users bring, and what Spark calls them.
+KNOWN_AS = {
+    "max_depth": "maxDepth", "max_iter": "maxIter", "learning_rate": "stepSize", "n_estimators": "numTrees",
+}
+
+
+def _parameters(algorithm: str, given: dict, rows: int) -> dict:
+    """Spark's parameters. Penalties weigh against a sum over rows, Spark's against a mean."""
+    out = dict(given)
+    if algorithm == "ridge" and "regParam" not in out:
+        out |= {"regParam": float(out.pop("alpha", 1.0)) / max(rows, 1), "standardization": False}
+    if algorithm == "logistic_regression" and "regParam" not in out:
+        out |= {"regParam": 1.0 / (float(out.pop("C", 1.0)) * max(rows, 1)), "standardization": False}
+    trees = "maxIter" if algorithm.startswith("gradient") else "numTrees"
+    return {(trees if k == "n_estimators" else KNOWN_AS.get(k, k)): v for k, v in out.items()}
 
 
 def _frame(df: DataFrame, features: list[str], target: str | None = None) -> DataFrame:
@@ -69,7 +84,8 @@ def train(
     estimator = (REGRESSORS | CLASSIFIERS)[algorithm]()
     estimator = estimator.setParams(
         featuresCol="_x", labelCol="_label",
-        predictionCol="prediction" if regression else "_guess", **(hyperparameters or {}),
+        predictionCol="prediction" if regression else "_guess",
+        **_parameters(algorithm, hyperparameters or {}, n_fit),
     )
     if regression:
         stages = [assemble, estimator]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window, functions as F
@@ -96,7 +97,7 @@ def settings(spec, name: str) -> list:
     low, high, step = float(spec["min"]), float(spec["max"]), float(spec.get("step") or 1.0)
     if high < low or step <= 0:
         raise ValueError(f"variable {name!r} needs max at or above min, and a positive step")
-    return [round(low + i * step, 10) for i in range(int((high - low) // step) + 1)]
+    return [round(low + i * step, 10) for i in range(math.floor((high - low) / step) + 1)]
 
 
 def _candidates(df, variables, derived, constraints, objective):

@@ -99,6 +99,7 @@ def profile(
     """One row per column, from one pass; exact medians and distincts on request."""
     wanted = V.names(columns) or df.columns
     V.need(df, *wanted)
+    hot = exact and (has_hot_group(df, []) if blocks is None else blocks)
     made = [F.count(F.lit(1)).alias("_rows")]
     for i, c in enumerate(wanted):
         v, raw = V.float_view(df, c), V.col(df, c)
@@ -113,11 +114,13 @@ def profile(
         ]
         if not exact:
             made.append(F.percentile_approx(v, 0.5).alias(f"_median{i}"))
+        elif not hot:
+            made.append(F.median(v).alias(f"_median{i}"))
     wide = df.agg(*made)
-    if exact:
+    if hot:
         for i, c in enumerate(wanted):
             if V.is_numeric(V.kind(df, c)):
-                q = quantiles(df, V.float_view(df, c), [0.5], blocks=blocks)
+                q = quantiles(df, V.float_view(df, c), [0.5], blocks=True)
                 wide = wide.withColumn(f"_median{i}", q.select(F.col("quantiles")[0]).scalar())
             else:
                 wide = wide.withColumn(f"_median{i}", F.lit(None).cast("double"))
