@@ -52,7 +52,11 @@ def _bracketed(
         F.percentile_approx("_v", F.array(*edges), _ACCURACY).alias("_edges"),
     )
     same = [F.col(f"`{g}`").eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(groups)]
-    joined = present.join(sketch, same) if groups else present.crossJoin(F.broadcast(sketch))
+    if groups:
+        joined = present.join(sketch, same)
+    else:
+        one = sketch.select(F.struct("*")).scalar()
+        joined = present.withColumn("_one", one).select("_v", "_one.*")
     few = F.col("_n") <= 4 * _ACCURACY
 
     def low(i):
