@@ -14,12 +14,12 @@ C = Catalog()
 TYPES = ("T0", "T1", "T2")
 PARAMETERS = ("click", "error", "purchase", "signup", "view")
 MOMENTS = ["2024-01-14 00:00:00", "2024-01-21 00:00:00", "2024-01-28 00:00:00"]
-ASSET = F.floor(F.col("user_id") / 10)
+TEN_USERS = "floor(user_id / 10)"
 
 
 def _hourly(s, d):
     return table(s, d, "events").select(
-        "event_id", "event_type", "value", "ts", ASSET.alias("a"), F.date_trunc("hour", "ts").alias("timestamp")
+        "event_id", "event_type", "value", "ts", F.expr(TEN_USERS).alias("a"), F.date_trunc("hour", "ts").alias("timestamp")
     )
 
 

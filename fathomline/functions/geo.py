@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# Earth radius, length of one degree, and the decay of the score, in km.
+# Earth radius and the decay of the score, in km.
 EARTH_KM = 6371.0
-DEGREE_KM = 111.32
 SCORE_DECAY_KM = 150.0
 
 
@@ -20,16 +19,6 @@ def great_circle_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> C
     return F.lit(2 * EARTH_KM) * F.asin(F.sqrt(F.when(chord > 1, F.lit(1.0)).otherwise(chord)))
 
 
-def planar_km(lat: Column, lon: Column, lat0: float, lon0: float) -> tuple[Column, Column]:
-    """Equirectangular (x, y) in km around a reference point."""
-    import math
-
-    return (
-        (lon - F.lit(lon0)) * F.lit(DEGREE_KM * math.cos(math.radians(lat0))),
-        (lat - F.lit(lat0)) * F.lit(DEGREE_KM),
-    )
-
-
 def polar(lat: Column, lon: Column, lat0: float, lon0: float) -> tuple[Column, Column]:
     """(r km, angle) around a point; east-west degrees shrink with the latitude."""
     return (
