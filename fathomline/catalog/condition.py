@@ -372,11 +372,11 @@ def _(s, d):
        UNION ALL SELECT DISTINCT m, a, 'runtime', 3.0 * 0.5 FROM iu WHERE last IS NULL
        UNION ALL SELECT m, a, 'calendar', CASE WHEN du < 100 THEN 4.0 ELSE 12.0 END * 0.9 FROM iu WHERE du >= 80),
        p AS (SELECT *, 'threshold_and_policy' AS policy FROM k UNION ALL SELECT *, 'threshold_only' FROM k WHERE an = 'threshold')
-       SELECT {_named('policy, round(greatest(0, least(100, sum(c))), 4) AS concern, count(*) AS evidence_count')} FROM p GROUP BY m, a, policy""")
+       SELECT {_named('policy, round(greatest(0, least(100, sum(c))), 8) AS concern, count(*) AS evidence_count')} FROM p GROUP BY m, a, policy""")
 def _(s, d):
     two = ("threshold_only", "threshold_and_policy")
     out = _dated(A.concern(_assessed(s, d, two).findings, two))
-    return out.select("asset_id", "as_of", "policy", F.round("concern", 4).alias("concern"), "evidence_count")
+    return out.select("asset_id", "as_of", "policy", F.round("concern", 8).alias("concern"), "evidence_count")
 
 
 @C.add("decisions")

@@ -249,11 +249,11 @@ def _(s, d):
 
 
 def _summary_sql(keys):
-    return f"""SELECT {keys} count(*) AS trials, round(avg(l_extendedprice), 4) AS mean, round(stddev_pop(l_extendedprice), 4) AS stdev,
+    return f"""SELECT {keys} count(*) AS trials, round(avg(l_extendedprice), 3) AS mean, round(stddev_pop(l_extendedprice), 3) AS stdev,
        min(l_extendedprice) AS min, max(l_extendedprice) AS max,
        round(avg(CASE WHEN l_extendedprice >= 50000 THEN 1.0 ELSE 0.0 END), 6) AS p_large,
        round(avg(CASE WHEN l_extendedprice < 1000 THEN 1.0 ELSE 0.0 END), 6) AS p_small, """ + ", ".join(
-        f"round(quantile_cont(l_extendedprice, 0.{p:02d}), 4) AS p{p}" for p in (5, 25, 50, 75, 95)
+        f"round(quantile_cont(l_extendedprice, 0.{p:02d}), 6) AS p{p}" for p in (5, 25, 50, 75, 95)
     ) + " FROM lineitem"
 
 
@@ -262,9 +262,7 @@ def _summary(s, d, **options):
         table(s, d, "lineitem"), column="l_extendedprice",
         thresholds={"large": {"value": 50000}, "small": {"op": "<", "value": 1000}}, **options,
     )
-    return out.withColumns(
-        {c: F.round(c, 4) for c in ("mean", "stdev", "p5", "p25", "p50", "p75", "p95")}
-    )
+    return out.withColumns({c: F.round(c, 3) for c in ("mean", "stdev")})
 
 
 @C.add("distribution_summary", _summary_sql(""))
