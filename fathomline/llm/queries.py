@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fathomline.catalog.base import Catalog, table
-from fathomline.llm import benchmark, chats, pages, url_filters
+from fathomline.llm import benchmark, chats, pages, pieces, quality, separators, url_filters, warc
 
 C = Catalog()
 
@@ -13,9 +13,42 @@ C = Catalog()
 RULES = (
     ("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"),
 )
+# Files of public tokenizers that every executor has.
+RANKS, PIECES = "/opt/tokenizers/byte_bpe_50k.tiktoken", "/opt/tokenizers/piece_bpe_32k.model"
 LISTED = "(^|\\.)(adult-x|ads-track|casino-win|cheap-pills|free-bets|spam-farm)\\."
 
 
+@C.add("op1_quality_rules")
+def op1_quality_rules(spark, folder):
+    rules = quality.score_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return rules.drop("ratio_sum", "n_grams")
+
+
+@C.add("op2_sentencepiece")
+def op2_sentencepiece(spark, folder):
+    return pieces.encode_pieces(table(spark, folder, "documents"), PIECES)
+
+
+@C.add("op4_warc", """
+WITH told AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), ranked AS (
+  SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS winner FROM told
+)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND page_id < winner THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id < winner THEN winner END AS refers_to
+FROM ranked
+""")
+def op4_warc(spark, folder):
+    return warc.archive_and_read(spark, table(spark, folder, "pages"))
+
+
+@C.add("op5_token_counts")
+def op5_token_counts(spark, folder):
+    return separators.count_documents(spark, table(spark, folder, "documents"), RANKS)
+
+
 @C.add("op6_url_filters", r"""
 WITH parts AS (
   SELECT page_id,
