@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from fathomline.llm.columns import disguised, schema_of, undisguised
 from fathomline.llm.words import LETTERS, Words, slices
 
 # Words of items in one automaton; more items make more automata, each with its own pass.
@@ -224,8 +225,7 @@ def _scan(docs: DataFrame, columns: list[str], block: list[tuple[str, str]], win
                     names=[*columns, "n_words", "spans", "items"],
                 )
 
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
-    return docs.select(*columns, F.col("text").alias("scanned_text")).mapInArrow(run, f"{schema}, {HITS}")
+    return docs.select(*columns, F.col("text").alias("scanned_text")).mapInArrow(run, schema_of(docs, columns, HITS))
 
 
 def _merged(spans: list) -> list[dict]:
@@ -279,34 +279,32 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, le
     from the first byte of their first word to the last byte of their last one. A document more than
     ``most_coverage`` of whose words are hit is dropped. Documents without a hit are returned as they are.
     """
-    names = docs.columns
-    scanned = docs.withColumn("text", F.col("text"))
-    found = find_hits(scanned, items, window=window, columns=tuple(names))
+    own = disguised(docs, "text")
+    found = find_hits(own, items, window=window, columns=tuple(own.columns))
     covered = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     kept = found.where((F.size("spans") == 0) | (covered <= most_coverage * F.col("n_words")))
+    carried = own.columns[:-1]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = names.index("text")
         for b in batches:
-            spans = b.column(len(names)).to_pylist()
-            texts = b.column(at)
+            spans, texts = b.column("spans").to_pylist(), b.column("text")
             if any(spans):
                 new = texts.to_pylist()
-                for i, own in enumerate(spans):
-                    if own:
+                for i, found_in in enumerate(spans):
+                    if found_in:
                         w = Words(texts.slice(i, 1), LETTERS, lower=True)
                         raw, last, parts = new[i].encode(), 0, []
-                        for s in own:
+                        for s in found_in:
                             if s["end"] - s["start"] >= min(least_span, window):
                                 parts.append(raw[last:w.starts[s["start"]]])
                                 last = w.ends[s["end"] - 1]
                         new[i] = b"".join([*parts, raw[last:]]).decode()
                 texts = pa.array(new, pa.string())
-            columns = [texts if k == at else b.column(k) for k in range(len(names))]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in carried), texts], names=[*carried, "text"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return kept.select(*names, "spans").mapInArrow(cut, schema)
+    done = kept.select(*own.columns, "spans").mapInArrow(cut, own.schema)
+    place = docs.columns.index("text")
+    return done.select(*(c if k != place else F.col("text") for k, c in enumerate(undisguised(docs.columns))))
 
 
 def digest(hits: DataFrame) -> DataFrame:

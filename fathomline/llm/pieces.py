@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from fathomline.llm.columns import schema_of
 from fathomline.llm.words import Words, byte_class, mix, slices
 
 SPACE = "▁"
@@ -273,8 +274,7 @@ def encode_pieces(docs: DataFrame, model_path: str, *, columns: tuple[str, ...]
                 ]
                 yield pa.RecordBatch.from_arrays([*(b.column(k).slice(low, high - low) for k in range(len(columns))), *found], names=names)
 
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
-    return docs.select(*columns, F.col("text").alias("encoded_text")).mapInArrow(run, f"{schema}, {CODES}")
+    return docs.select(*columns, F.col("text").alias("encoded_text")).mapInArrow(run, schema_of(docs, columns, CODES))
 
 
 def decode_pieces(codes: DataFrame, model_path: str, *, threads: int = THREADS) -> DataFrame:

@@ -14,13 +14,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from fathomline.llm.columns import disguised, schema_of, undisguised
 from fathomline.llm.words import NOT_SPACE, Words, byte_class, mix, slices, windows
 
-BUCKETS = 1 << 16
+BUCKETS = 1 << 14
 # Trusted documents that the target multinomial is fitted on, at most.
 TRUSTED = 20_000
-# Least mean log ratio of a kept document, in millionths.
-LEAST = -100_000
+# Share of the trusted documents that the threshold lets pass when they are scored without themselves.
+PASSING = 0.999
 MICRO = 1_000_000
 
 # The symbols counted, and the bounds of the basic rules.
@@ -88,63 +89,57 @@ def gram_buckets(w: Words, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarr
 def trusted_ids(labels: DataFrame, most: int = TRUSTED) -> list[int]:
     """Documents that every label calls good and none toxic; of too many those with the least MD5 of the id."""
     rows = (
-        labels.where("doc_id is not null").groupBy("doc_id")
-        .agg(F.min("quality").alias("worst"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
+        labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
+        .agg(F.min(F.coalesce("quality", F.lit(0))).alias("worst"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
         .where("worst = 1 and toxic = 0").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(most)
     )
-    return sorted(r["doc_id"] for r in rows.select("doc_id").collect())
+    return [r["doc_id"] for r in rows.select("doc_id").collect()]
 
 
 def count_grams(docs: DataFrame, trusted: list[int], buckets: int = BUCKETS) -> DataFrame:
-    """bucket, corpus and target counts over all documents. A task sends each bucket once."""
-    sent = docs.sparkSession.sparkContext.broadcast(np.array(trusted, np.int64))
+    """bucket, counts over all documents (corpus) and over either half of the trusted ones (even, odd).
+
+    A task adds up all its documents and sends each bucket once.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(tuple(np.array(trusted[k::2], np.int64) for k in range(2)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        corpus, target = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
+        total = np.zeros((3, buckets), np.int64)
         for b in batches:
-            ids, texts = b.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False), b.column("text")
-            known = np.isin(ids, sent.value) & ~np.asarray(b.column("doc_id").is_null())
+            ids, texts = b.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False), b.column("text")
+            there = ~np.asarray(b.column("doc_id").is_null())
+            halves = [np.isin(ids, half) & there for half in sent.value]
             for low, high in slices(texts):
                 owner, bucket = gram_buckets(Words(texts.slice(low, high - low)), buckets)
-                corpus += np.bincount(bucket, minlength=buckets)
-                target += np.bincount(bucket[known[low:high][owner]], minlength=buckets)
-        some = np.flatnonzero(corpus)
+                total[0] += np.bincount(bucket, minlength=buckets)
+                for k, half in enumerate(halves):
+                    total[k + 1] += np.bincount(bucket[half[low:high][owner]], minlength=buckets)
+        some = np.flatnonzero(total[0])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(some, pa.int32()), pa.array(corpus[some]), pa.array(target[some])], names=["bucket", "corpus", "target"]
+            [pa.array(some, pa.int32()), *(pa.array(x[some]) for x in total)], names=["bucket", "corpus", "even", "odd"]
         )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "bucket int, corpus long, target long")
-    return rows.groupBy("bucket").agg(F.sum("corpus").alias("corpus"), F.sum("target").alias("target"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "bucket int, corpus long, even long, odd long")
+    return rows.groupBy("bucket").agg(*(F.sum(c).alias(c) for c in ("corpus", "even", "odd")))
 
 
-def gram_weights(counts: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
+def log_ratio(target: np.ndarray, corpus: np.ndarray) -> np.ndarray:
     """Log ratio of each bucket in millionths; zeros where nothing is trusted. Counts are smoothed by one."""
-    corpus, target = np.zeros(buckets), np.zeros(buckets)
-    for r in counts.collect():  # at most ``buckets`` rows
-        corpus[r["bucket"]], target[r["bucket"]] = r["corpus"], r["target"]
     if not target.sum():
-        return np.zeros(buckets, np.int64)
-    ratio = np.log((target + 1) / (target.sum() + buckets)) - np.log((corpus + 1) / (corpus.sum() + buckets))
+        return np.zeros(len(target), np.int64)
+    ratio = np.log((target + 1) / (target.sum() + len(target))) - np.log((corpus + 1) / (corpus.sum() + len(target)))
     return np.rint(ratio * MICRO).astype(np.int64)
 
 
 RULES = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, "
-    "kept boolean, ratio_sum long, n_grams long"
+    "ratio_sum long, n_grams long"
 )
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, *, buckets: int = BUCKETS, least: int = LEAST, trusted: int = TRUSTED, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The given columns of every document with its counts, base_failed and kept.
-
-    kept: the basic rules pass and ratio_sum >= least * n_grams. The corpus counts cover every document; the
-    target is fitted on at most ``trusted`` labelled ones. A null text has no words and fails; rows are
-    judged one by one, so repeated rows stay (each counts in the corpus); without labels every document
-    that passes the basic rules is kept; extra columns are ignored.
-    """
-    weights = docs.sparkSession.sparkContext.broadcast(
-        gram_weights(count_grams(docs, trusted_ids(labels, trusted), buckets), buckets)
-    )
+def _measure(docs: DataFrame, weights: np.ndarray, columns: tuple[str, ...]) -> DataFrame:
+    """The given columns with the counts, base_failed, and the ratios of all n-grams added up."""
+    sent = docs.sparkSession.sparkContext.broadcast(weights)
     names = [*columns, *(x.split()[0] for x in RULES.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,21 +149,60 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, buckets: int = BUCKETS,
                 part = texts.slice(low, high - low)
                 w = Words(part, NOT_SPACE)
                 c = base_counts(part, w)
-                owner, bucket = gram_buckets(w, buckets)
+                owner, bucket = gram_buckets(w, len(sent.value))
                 order = np.argsort(owner, kind="stable")
-                total = np.concatenate(([0], np.cumsum(weights.value[bucket[order]])))
+                total = np.concatenate(([0], np.cumsum(sent.value[bucket[order]])))
                 grams = np.bincount(owner, minlength=len(w))
                 ends = np.cumsum(grams)
-                ratio = total[ends] - total[ends - grams]
                 failed = (c["n_words"] < LEAST_WORDS) | (100 * c["n_repeat_words"] > MOST_REPEATED * c["n_words"])
-                found = [*c.values(), failed, ~failed & (ratio >= least * grams), ratio, grams]
+                found = [*c.values(), failed, total[ends] - total[ends - grams], grams]
                 kept = [b.column(k).slice(low, high - low) for k in range(len(columns))]
                 yield pa.RecordBatch.from_arrays([*kept, *map(pa.array, found)], names=names)
 
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
-    return docs.select(*columns, F.col("text").alias("scored_text")).mapInArrow(run, f"{schema}, {RULES}")
+    return docs.select(*columns, F.col("text").alias("measured_text")).mapInArrow(run, schema_of(docs, columns, RULES))
+
+
+def fit_rules(docs: DataFrame, labels: DataFrame, *, buckets: int = BUCKETS, trusted: int = TRUSTED, passing: float = PASSING) -> tuple[np.ndarray, int]:
+    """(weights, least mean ratio), both in millionths.
+
+    The trusted documents are halved; each half is scored with the other half's multinomial, as new documents
+    would be, and the threshold is the score that the share ``passing`` of them reaches, zero at most.
+    """
+    ids = trusted_ids(labels, trusted)
+    counts = np.zeros((3, buckets))
+    for r in count_grams(docs, ids, buckets).collect():  # at most ``buckets`` rows
+        counts[:, r["bucket"]] = r["corpus"], r["even"], r["odd"]
+    weights = log_ratio(counts[1] + counts[2], counts[0])
+    scores: list[int] = []
+    for k in range(2):
+        if ids[k::2] and counts[2 - k].sum():
+            half = docs.sparkSession.createDataFrame([(i,) for i in ids[k::2]], "doc_id long")
+            own = docs.join(F.broadcast(half), "doc_id", "left_semi")  # at most ``trusted`` ids
+            rows = _measure(own, log_ratio(counts[2 - k], counts[0]), ("doc_id",)).where("not base_failed")
+            scores += [r["ratio_sum"] // r["n_grams"] for r in rows.select("ratio_sum", "n_grams").collect()]
+    least = sorted(scores)[int((1 - passing) * len(scores))] if scores else 0
+    return weights, min(0, least)
+
+
+def score_quality(docs: DataFrame, labels: DataFrame, *, columns: tuple[str, ...] = ("doc_id",), **options) -> DataFrame:
+    """The given columns of every document with its counts, base_failed, kept, ratio_sum and n_grams.
+
+    kept: the basic rules pass and the mean log ratio reaches the threshold of ``fit_rules``, whose options
+    may be given. Corpus counts cover every document; target and threshold are fitted on at most ``trusted``
+    labelled ones. A null text has no words and fails; rows are judged one by one, so repeated rows stay
+    (each counts in the corpus); without trusted labels every document that passes the basic rules is
+    kept; extra columns are ignored.
+    """
+    weights, least = fit_rules(docs, labels, **options)
+    measured = _measure(docs, weights, columns)
+    kept = ~F.col("base_failed") & (F.col("ratio_sum") >= least * F.col("n_grams"))
+    return measured.select(*columns, *(x.split()[0] for x in RULES.split(", ")[:6]), kept.alias("kept"), "ratio_sum", "n_grams")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The documents that the rules keep, in their own columns."""
-    return score_quality(docs, labels, columns=tuple(docs.columns), **options).where("kept").select(*docs.columns)
+    weights, least = fit_rules(docs, labels, **options)
+    own = disguised(docs, "text")
+    measured = _measure(own, weights, tuple(own.columns[:-1]))
+    kept = measured.where(~F.col("base_failed") & (F.col("ratio_sum") >= least * F.col("n_grams")))
+    return kept.select(*undisguised(docs.columns))
