@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fathomline.catalog.base import Catalog, table
-from fathomline.llm import benchmark, chats, pages, pieces, quality, separators, url_filters, warc
+from fathomline.llm import benchmark, chats, pages, pieces, quality, separators, substrings, url_filters, warc
 
 C = Catalog()
 
@@ -77,6 +77,32 @@ def op6_url_filters(spark, folder):
     return url_filters.filter_urls(table(spark, folder, "pages"), RULES, F.col("host").rlike(LISTED))
 
 
+@C.add("op7_substring_dedup", r"""
+WITH worded AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), windows AS (
+  SELECT doc_id, i, array_to_string(words[i:i + 49], ' ') AS run
+  FROM worded, unnest(CASE WHEN len(words) >= 50 THEN range(1, len(words) - 48) ELSE [] END) AS t(i)
+), repeated AS (
+  SELECT doc_id, i FROM (SELECT *, min(doc_id) OVER (PARTITION BY run) AS first FROM windows) WHERE first < doc_id
+), covered AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS k FROM repeated
+), hit AS (
+  SELECT doc_id, list(k) AS ks, count(*) AS n FROM covered GROUP BY doc_id
+), kept AS (
+  SELECT w.doc_id, len(w.words) AS n_words, coalesce(h.n, 0) AS n_removed,
+    CASE WHEN h.n IS NULL THEN w.words
+      ELSE list_transform(list_filter(range(1, len(w.words) + 1), lambda k: NOT list_contains(h.ks, k)), lambda k: w.words[k]) END AS words
+  FROM worded w LEFT JOIN hit h ON w.doc_id IS NOT DISTINCT FROM h.doc_id
+)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS n_removed,
+  sha256(coalesce(array_to_string(words, ' '), '')) AS kept_sha256
+FROM kept
+""")
+def op7_substring_dedup(spark, folder):
+    return substrings.removal_digest(table(spark, folder, "documents"))
+
+
 @C.add("op8_chat_formatting")
 def op8_chat_formatting(spark, folder):
     turns = chats.with_planted(table(spark, folder, "conversations"))

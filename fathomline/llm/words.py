@@ -158,3 +158,13 @@ def slices(column: pa.Array, most_bytes: int = 4 * BLOCK) -> Iterator[tuple[int,
         to = max(at + 1, int(np.searchsorted(size, base + most_bytes, "right")))
         yield at, to
         at = to
+
+
+def prefix_hash(hashes: np.ndarray, start: np.ndarray, end: np.ndarray, lane: int = 0) -> np.ndarray:
+    """Hash of each run of words [start, end), also of its length; equal lanes agree with each other only."""
+    if lane:
+        hashes = mix(hashes + np.uint64(lane * 0xA0761D6478BD642F & _MASK))
+    up, down = _WORD_POWERS.upto(len(hashes) + 1)
+    total = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(hashes * up[:len(hashes)], out=total[1:])
+    return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
