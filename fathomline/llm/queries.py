@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fathomline.catalog.base import Catalog, table
-from fathomline.llm import benchmark, chats, pages, pieces, quality, separators, substrings, url_filters, warc
+from fathomline.llm import benchmark, chats, jaccard, pages, pieces, quality, separators, substrings, url_filters, warc
 
 C = Catalog()
 
@@ -29,6 +29,31 @@ def op2_sentencepiece(spark, folder):
     return pieces.encode_pieces(table(spark, folder, "documents"), PIECES)
 
 
+@C.add("op3_ngram_jaccard", r"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(words[i:i + 3], ' ') AS s
+  FROM worded, unnest(CASE WHEN len(words) > 3 THEN range(1, len(words) - 2) WHEN len(words) > 0 THEN [1] ELSE [] END) AS t(i)
+), sized AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), common AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT x, y FROM common JOIN sized p ON p.doc_id = x JOIN sized q ON q.doc_id = y WHERE 100 * k >= 85 * (p.n + q.n - k)
+), both_ways AS (
+  SELECT x, y FROM links UNION ALL SELECT y, x FROM links
+), reach AS (
+  SELECT x, y FROM both_ways UNION SELECT r.x, b.y FROM reach r JOIN both_ways b ON r.y = b.x
+)
+SELECT d.doc_id, coalesce(any_value(s.n), 0) AS n_shingles, least(d.doc_id, min(r.y)) AS component_id
+FROM documents d LEFT JOIN sized s ON s.doc_id = d.doc_id LEFT JOIN reach r ON r.x = d.doc_id GROUP BY d.doc_id
+""")
+def op3_ngram_jaccard(spark, folder):
+    return jaccard.near_duplicates(table(spark, folder, "documents"))
+
+
 @C.add("op4_warc", """
 WITH told AS (
   SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
