@@ -317,6 +317,8 @@ def _(s, d):
     return outcomes.scan_counts(table(s, d, "part"), **SCAN)
 
 
+# Dimensions of the embeddings.
+WIDTH = 64
 FEATURES = ["l_quantity", "l_discount", "l_tax", "l_suppkey"]
 
 
@@ -332,9 +334,9 @@ def _(s, d):
 @C.add("predict_logistic")
 def _(s, d):
     emb = table(s, d, "embeddings").select(
-        "vec_id", "label", *[F.col("embedding")[i].alias(f"e{i}") for i in range(16)]
+        "vec_id", "label", *[F.col("embedding")[i].alias(f"e{i}") for i in range(WIDTH)]
     )
-    features = [f"e{i}" for i in range(16)]
+    features = [f"e{i}" for i in range(WIDTH)]
     model, _metrics = learning.train(
         emb, algorithm="logistic_regression", target="label", features=features,
         hyperparameters={"maxIter": 30},

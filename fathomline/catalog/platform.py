@@ -206,11 +206,11 @@ def _(s, d):
     return lineage.walk(edges(s, d), roots, depth=4)[0]
 
 
-@C.add("lineage_up", f"""WITH RECURSIVE {EDGES}, w AS (SELECT concat('o', o_orderkey) AS node, CAST(0 AS INTEGER) AS hop FROM orders WHERE o_totalprice > 495000
+@C.add("lineage_up", f"""WITH RECURSIVE {EDGES}, w AS (SELECT concat('o', o_orderkey) AS node, CAST(0 AS INTEGER) AS hop FROM orders
          UNION SELECT source, hop + 1 FROM w JOIN e ON target = node WHERE hop < 2)
        SELECT node, CAST(min(hop) AS INTEGER) AS hop FROM w GROUP BY node""")
 def _(s, d):
-    roots = table(s, d, "orders").where("o_totalprice > 495000").select(
+    roots = table(s, d, "orders").select(
         F.concat(F.lit("o"), "o_orderkey").alias("node")
     )
     return lineage.walk(edges(s, d), roots, direction="up", depth=2)[0]

@@ -464,10 +464,10 @@ def _(s, d):
 @C.add(
     "category_order",
     """SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY o_orderpriority ORDER BY CASE o_orderpriority
-       WHEN '3-MEDIUM' THEN 1 WHEN '1-URGENT' THEN 2 ELSE 3 END, o_orderpriority LIMIT 3""",
+       WHEN '3-MEDIUM' THEN 1 WHEN '1-URGENT' THEN 2 ELSE 3 END, o_orderpriority""",
 )
 def _(s, d):
     counts = table(s, d, "orders").groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
     return R.category_order(
         counts, column="o_orderpriority", stated=["3-MEDIUM", "1-URGENT"]
-    ).limit(3)
+    )

@@ -83,12 +83,12 @@ def _(s, d):
 @C.add(
     "join_full",
     f"""SELECT o_orderkey, coalesce(o.key, c.key) AS key, o_totalprice, c_name
-       FROM (SELECT o_orderkey, o_custkey AS key, o_totalprice FROM orders WHERE o_totalprice > 250000) o
+       FROM (SELECT o_orderkey, o_custkey AS key, o_totalprice FROM orders) o
        FULL JOIN {_RICH} c ON o.key = c.key""",
 )
 def _(s, d):
     return J.join(
-        _orders(s, d).where("o_totalprice > 250000"), _rich(s, d), on="key", how="full",
+        _orders(s, d), _rich(s, d), on="key", how="full",
         columns="c_name",
     )
 
@@ -187,12 +187,12 @@ def _(s, d):
     "within_distance",
     f"""WITH p AS ({PLACES}) SELECT a.c_custkey AS query, b.c_custkey AS found,
        round({hav_sql('a.lat', 'a.lon', 'b.lat', 'b.lon')}, 4) AS distance_km
-       FROM (SELECT * FROM p WHERE lat > 50) a JOIN p b ON
+       FROM p a JOIN p b ON
        {hav_sql('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 450""",
 )
 def _(s, d):
     p = places(s, d)
-    out = J.within_distance(p.where("lat > 50"), p, cutoff_km=450)
+    out = J.within_distance(p, p, cutoff_km=450)
     return out.select(
         F.col("c_custkey").alias("query"), F.col("c_custkey_h").alias("found"),
         F.round("distance_km", 4).alias("distance_km"),
@@ -323,7 +323,7 @@ def _(s, d):
 @C.add(
     "value_counts",
     """SELECT p_brand AS value, count(*) AS count FROM part GROUP BY p_brand
-       ORDER BY count DESC, value LIMIT 12""",
+       ORDER BY count DESC, value""",
 )
 def _(s, d):
     return A.value_counts(table(s, d, "part"), column="p_brand")
@@ -742,7 +742,7 @@ def _(s, d):
 @C.add(
     "plain_series",
     """SELECT o_orderkey, o_totalprice, CAST(o_custkey AS DOUBLE) AS o_custkey FROM orders
-       ORDER BY o_orderdate, o_orderkey LIMIT 500""",
+       ORDER BY o_orderdate, o_orderkey""",
 )
 def _(s, d):
     return K.plain_series(
@@ -806,7 +806,7 @@ def _(s, d):
 
 @C.add(
     "box_outliers",
-    f"""WITH {_BOX} SELECT k AS category, v AS value FROM f WHERE NOT v BETWEEN lo AND hi ORDER BY k, v LIMIT 200""",
+    f"""WITH {_BOX} SELECT k AS category, v AS value FROM f WHERE NOT v BETWEEN lo AND hi""",
 )
 def _(s, d):
     return K.box_outliers(table(s, d, "events"), x="event_type", y="value")
@@ -814,25 +814,25 @@ def _(s, d):
 
 @C.add(
     "grid",
-    """WITH c AS (SELECT p_brand, p_type, round(sum(p_size), 6) AS value FROM part WHERE p_size > 46 GROUP BY ALL)
+    """WITH c AS (SELECT p_brand, p_type, round(sum(p_size), 6) AS value FROM part GROUP BY ALL)
        SELECT x.p_brand, y.p_type, CAST(value AS DOUBLE) AS value FROM (SELECT DISTINCT p_brand FROM c) x
        CROSS JOIN (SELECT DISTINCT p_type FROM c) y LEFT JOIN c ON c.p_brand = x.p_brand AND c.p_type = y.p_type""",
 )
 def _(s, d):
     return K.grid(
-        table(s, d, "part").where("p_size > 46"), x="p_brand", series="p_type", y="p_size",
+        table(s, d, "part"), x="p_brand", series="p_type", y="p_size",
         aggregation="sum",
     )
 
 
 @C.add(
     "grid_count",
-    """WITH c AS (SELECT month(o_orderdate) AS m, o_orderstatus AS st, count(*) AS n FROM orders WHERE o_totalprice > 490000 GROUP BY ALL)
+    """WITH c AS (SELECT month(o_orderdate) AS m, o_orderstatus AS st, count(*) AS n FROM orders GROUP BY ALL)
        SELECT x.m AS month, y.st AS status, CAST(coalesce(n, 0) AS DOUBLE) AS value FROM (SELECT DISTINCT m FROM c) x
        CROSS JOIN (SELECT DISTINCT st FROM c) y LEFT JOIN c ON c.m = x.m AND c.st = y.st""",
 )
 def _(s, d):
-    o = table(s, d, "orders").where("o_totalprice > 490000").select(
+    o = table(s, d, "orders").select(
         F.month("o_orderdate").cast("long").alias("month"), F.col("o_orderstatus").alias("status"),
         "o_totalprice",
     )

@@ -93,8 +93,7 @@ def _(s, d):
 @C.add("random_analogs")
 def _(s, d):
     e = table(s, d, "embeddings")
-    sampled = neighbours.sample_queries(e, key="vec_id")
-    return neighbours.random_analogs(sampled, e, key="vec_id", k=5)
+    return neighbours.random_analogs(e, e, key="vec_id", k=5)
 
 
 @C.add("difference_ranks", """WITH v AS (SELECT s_suppkey AS id, CASE WHEN s_acctbal > 0 THEN s_acctbal END AS v FROM supplier)
@@ -392,13 +391,14 @@ def _(s, d):
 @C.add("climatology", """SELECT o_orderkey, CAST(month(o_orderdate) AS BIGINT) AS genesis_month, CAST(dayofyear(o_orderdate) AS BIGINT) AS genesis_dayofyear,
        CASE WHEN o_orderstatus <> 'P' THEN CAST(48 AS DOUBLE) END AS lifetime_hours, true AS made_landfall,
        CASE WHEN w < 17.2 THEN '熱帶性低氣壓' WHEN w < 32.7 THEN '輕度颱風' WHEN w < 51 THEN '中度颱風' ELSE '強烈颱風' END AS intensity_band,
-       CASE WHEN r < 80 THEN '未達大雨' WHEN r < 200 THEN '大雨' WHEN r < 350 THEN '豪雨' ELSE '大豪雨' END AS rain_band,
+       CASE WHEN r < 80 THEN '未達大雨' WHEN r < 200 THEN '大雨' WHEN r < 350 THEN '豪雨' WHEN r < 500 THEN '大豪雨' ELSE '超大豪雨' END AS rain_band,
+       CAST(w AS DOUBLE) AS wind_ms, CASE WHEN o_orderstatus <> 'P' THEN CAST(48 AS DOUBLE) END AS sea_warning_hours,
        CASE WHEN year(o_orderdate) < 2000 THEN '1990s' ELSE '2000s' END AS decade,
        CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN '1 北部海面西行' WHEN '2' THEN '2 通過北部' WHEN '3' THEN '3 通過中部'
          WHEN '4' THEN '4 通過南部' ELSE '5 南部海面西行' END AS track_category
-       FROM (SELECT *, o_custkey % 60 AS w, o_totalprice / 1000 - 0.0 AS r FROM orders) WHERE r <= 500""")
+       FROM (SELECT *, o_custkey % 60 AS w, o_totalprice / 1000 - 0.0 AS r FROM orders)""")
 def _(s, d):
-    o = table(s, d, "orders").where("o_totalprice <= 500000").select(
+    o = table(s, d, "orders").select(
         "o_orderkey", "o_orderdate", "o_orderpriority",
         F.concat((F.col("o_custkey") % 60).cast("string"), F.lit(" (公尺/秒)")).alias("wind_text"),
         (F.col("o_totalprice") / 1000).cast("string").alias("rain"),
@@ -411,4 +411,4 @@ def _(s, d):
         warned="o_orderdate", lifted="ended", place="o_orderpriority", rain="rain", year="year",
         track_class="class", drop=["wind_text", "rain", "year", "class", "ended", "o_orderpriority"],
     )
-    return run_plan(steps, o)["trim"].drop("o_orderdate", "wind_ms", "sea_warning_hours")
+    return run_plan(steps, o)["trim"].drop("o_orderdate")

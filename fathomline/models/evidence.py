@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from fathomline.functions import values as V
 from fathomline.operators.rows import top_per_group
 
-LISTED, STRONGEST = 40, 4
+STRONGEST = 4
 # The sentences of the composed argument, per language.
 PHRASES = {
     "en": {
@@ -33,10 +33,14 @@ def evidence_bundle(
     statement: str | None = None,
     category: str | None = None,
     columns=None,
-    limit: int = LISTED,
+    limit: int | None = None,
     order_by,
 ) -> DataFrame:
-    """The strongest findings of each subject, numbered E1, E2 and so on."""
+    """The findings of each subject, strongest first, numbered E1, E2 and so on.
+
+    A ``limit`` lists only the strongest; give ``compose_reasoning`` the whole bundle then, so that its
+    count of findings is true.
+    """
     subjects = V.names(subject)
     named = V.names(columns) or [c for c in df.columns if c != severity]
     weight = F.coalesce(V.number(df, severity), F.lit(0.0)) if severity else F.lit(0.0)
@@ -53,7 +57,7 @@ def evidence_bundle(
         }
     )
     kept = top_per_group(
-        rows, k=limit, group_by=subjects, order_by=["-_weight", *V.must_order(order_by)], output="place"
+        rows, k=2**31 - 1 if limit is None else limit, group_by=subjects, order_by=["-_weight", *V.must_order(order_by)], output="place"
     )
     return kept.select(
         *[F.col(f"`{s}`") for s in subjects],
@@ -69,7 +73,7 @@ def compose_reasoning(
     bundle: DataFrame, *, subject, conclusions: DataFrame | None = None, conclusion: str | None = None,
     language: str = "en",
 ) -> DataFrame:
-    """One text per subject from its bundle, which is bounded by its limit."""
+    """One text per subject from its bundle: the strongest findings, and how many more there are."""
     subjects = V.names(subject)
     words = PHRASES.get(language, PHRASES["en"])
     items = bundle.groupBy(*[F.col(f"`{s}`") for s in subjects]).agg(
@@ -114,8 +118,9 @@ def unsupported_citations(texts: DataFrame, bundle: DataFrame, *, subject, text:
     joined = texts.join(known, subjects, "left").withColumn("_cited", cited)
     beyond = F.filter(
         "_cited",
-        lambda r: (F.substring(r, 2, 12).cast("bigint") > F.coalesce(F.col("_known"), F.lit(0)))
-        | (F.substring(r, 2, 12).cast("bigint") < 1),
+        # A place prints without leading zeros, so E01 or a number too long for a place is no reference.
+        lambda r: ~r.rlike("^E[1-9][0-9]{0,17}$")
+        | (F.try_to_number(F.substr(r, F.lit(2)), F.lit("9" * 18)) > F.coalesce(F.col("_known"), F.lit(0))),
     )
     return joined.select(
         *[V.col(texts, c) for c in texts.columns],

@@ -12,9 +12,7 @@ from fathomline.operators.quantiles import quantiles
 
 PERCENTILES = (5, 25, 50, 75, 95)
 TESTS = (">=", ">", "<=", "<")
-# How many candidates one subject may have, and how many are listed.
-MOST_CANDIDATES = 200_000
-MOST_LISTED = 200
+BINS = (2, 100)
 
 
 def distribution_summary(
@@ -60,7 +58,8 @@ def distribution_summary(
 
 def outcome_histogram(df: DataFrame, *, column: str, bins: int = 20) -> DataFrame:
     """Buckets with their share of all outcomes."""
-    bins = max(2, min(bins, 100))
+    if not BINS[0] <= bins <= BINS[1]:
+        raise ValueError(f"bins must lie between {BINS[0]} and {BINS[1]}")
     v = V.number(df, column)
     both = df.agg(F.struct(F.min(v).alias("low"), F.max(v).alias("high"))).scalar()
     width = (both["high"] - both["low"]) / bins
@@ -134,7 +133,6 @@ def scan_grid(
     constraints: list[str] | None = None,
     goal: str = "maximise",
     top: int = 10,
-    max_candidates: int = MOST_CANDIDATES,
 ) -> DataFrame:
     """The best settings per subject row, out of the product of all variables.
 
@@ -144,12 +142,8 @@ def scan_grid(
     subjects = V.names(subject)
     V.need(df, *subjects)
     V.one_of("goal", goal, ("maximise", "minimise"))
-    size = 1
-    for n, s in variables.items():
-        size *= len(settings(s, n))
-    if size > max_candidates:
-        raise ValueError(f"{size} candidates per subject, above the {max_candidates} allowed")
-    top = max(1, min(top, MOST_LISTED))
+    if top < 1:
+        raise ValueError("top must be at least 1")
     scored = _candidates(df, variables, derived, constraints, objective)
     scored = scored.where(F.col("objective").isNotNull() & ~F.isnan("objective"))
     best = F.col("objective").desc() if goal == "maximise" else F.col("objective").asc()

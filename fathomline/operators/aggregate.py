@@ -12,7 +12,6 @@ from fathomline.session import has_hot_group
 
 BASIC = ("sum", "mean", "min", "max", "count")
 SUMMARIES = (*BASIC, "median")
-TOP_VALUES = 12
 
 
 def _basic(c: Column, how: str) -> Column:
@@ -119,11 +118,8 @@ def profile(
     wide = df.agg(*made)
     if hot:
         for i, c in enumerate(wanted):
-            if V.is_numeric(V.kind(df, c)):
-                q = quantiles(df, V.float_view(df, c), [0.5], blocks=True)
-                wide = wide.withColumn(f"_median{i}", q.select(F.col("quantiles")[0]).scalar())
-            else:
-                wide = wide.withColumn(f"_median{i}", F.lit(None).cast("double"))
+            q = quantiles(df, V.float_view(df, c), [0.5], blocks=True)
+            wide = wide.withColumn(f"_median{i}", q.select(F.col("quantiles")[0]).scalar())
     entries = [
         F.struct(
             F.lit(c).alias("column"),
@@ -156,16 +152,16 @@ def distinct_values(df: DataFrame, *, column: str) -> DataFrame:
     return df.select(V.col(df, column)).distinct()
 
 
-def value_counts(df: DataFrame, *, column: str, top: int = TOP_VALUES) -> DataFrame:
+def value_counts(df: DataFrame, *, column: str, top: int | None = None) -> DataFrame:
     """The commonest values; equal counts by value."""
     V.need(df, column)
-    return (
+    out = (
         df.where(V.col(df, column).isNotNull())
         .groupBy(V.col(df, column).alias("value"))
         .agg(F.count(F.lit(1)).alias("count"))
         .orderBy(F.col("count").desc(), F.col("value").cast("string"))
-        .limit(top)
     )
+    return out if top is None else out.limit(top)
 
 
 def numeric_values(df: DataFrame, *, column: str) -> DataFrame:

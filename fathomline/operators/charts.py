@@ -9,24 +9,26 @@ from fathomline.operators.aggregate import BASIC, explore_aggregate
 from fathomline.operators.quantiles import quantiles
 from fathomline.operators.rows import category_order
 
-LIMIT = 500
 BINS = (2, 60)
-OUTLIERS = 200
 
 
-def plain_series(df: DataFrame, *, x: str, y, order_by, limit: int = LIMIT) -> DataFrame:
+def _first(df: DataFrame, limit: int | None) -> DataFrame:
+    return df if limit is None else df.limit(limit)
+
+
+def plain_series(df: DataFrame, *, x: str, y, order_by, limit: int | None = None) -> DataFrame:
     wanted = V.names(y)
     V.need(df, x, *wanted)
-    rows = df.orderBy(*V.ordering(V.must_order(order_by))).limit(limit)
+    rows = _first(df.orderBy(*V.ordering(V.must_order(order_by))), limit)
     return rows.select(V.col(df, x), *[V.float_view(df, c).alias(c) for c in wanted])
 
 
 def aggregated_series(
-    df: DataFrame, *, x: str, y, aggregation: str, stated=None, limit: int = LIMIT
+    df: DataFrame, *, x: str, y, aggregation: str, stated=None, limit: int | None = None
 ) -> DataFrame:
     out = explore_aggregate(df, by=x, columns=y, agg=aggregation)
     out = out.withColumns({c: F.round(c, 6) for c in out.columns if c != x and c != "count"})
-    return category_order(out, column=x, stated=stated).limit(limit)
+    return _first(category_order(out, column=x, stated=stated), limit)
 
 
 def _label(low: Column, high: Column) -> Column:
@@ -81,7 +83,7 @@ def distribution(df: DataFrame, *, column: str, blocks: bool | None = None) -> D
 
 
 def box(
-    df: DataFrame, *, x: str, y: str, stated=None, limit: int = LIMIT, blocks: bool | None = None
+    df: DataFrame, *, x: str, y: str, stated=None, limit: int | None = None, blocks: bool | None = None
 ) -> DataFrame:
     """Quartiles, Tukey whiskers, size and outlier count per category."""
     fenced = _fenced(df, x, y, blocks)
@@ -98,16 +100,16 @@ def box(
         F.col("_x").alias(x), "min", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
         F.col("_q")[2].alias("q3"), "max", "outliers", "size",
     )
-    return category_order(out, column=x, stated=stated).limit(limit)
+    return _first(category_order(out, column=x, stated=stated), limit)
 
 
 def box_outliers(
-    df: DataFrame, *, x: str, y: str, limit: int = OUTLIERS, blocks: bool | None = None
+    df: DataFrame, *, x: str, y: str, limit: int | None = None, blocks: bool | None = None
 ) -> DataFrame:
     v = F.col("_y")
     far = _fenced(df, x, y, blocks).where((v < F.col("_low")) | (v > F.col("_high")))
     out = far.select(F.col("_x").alias("category"), v.alias("value"))
-    return out.orderBy(V.text(out, "category"), "value").limit(limit)
+    return _first(out.orderBy(V.text(out, "category"), "value"), limit)
 
 
 def _fenced(df: DataFrame, x: str, y: str, blocks) -> DataFrame:
@@ -131,7 +133,7 @@ def grid(
     y: str,
     aggregation: str = "none",
     order_by=None,
-    limit: int = LIMIT,
+    limit: int | None = None,
     stated=None,
 ) -> DataFrame:
     """x by series, one cell each; an empty cell is null, and 0 when counting."""
@@ -150,13 +152,12 @@ def grid(
         F.round(value, 6).alias("value")
     )
     # Axes come from the cells, so the table is read once for each side only.
-    xs = category_order(
-        cells.select(F.col("_x").alias(x)).distinct(), column=x, stated=stated
-    ).limit(limit)
-    bands = cells.agg(F.collect_set(F.struct(F.col("_s"))).alias("_bands"))
-    full = xs.withColumn("_bands", bands.scalar()).select(
-        F.col(f"`{x}`").alias("_kx"), F.explode("_bands").alias("_b")
-    ).select("_kx", F.col("_b._s").alias("_ks"))
+    xs = cells.select(F.col("_x").alias(x)).distinct()
+    if limit is not None:
+        xs = category_order(xs, column=x, stated=stated).limit(limit)
+    # The answer itself is every x with every series; both axes are distinct values, joined as tables.
+    bands = cells.select(F.col("_s").alias("_ks")).distinct()
+    full = xs.select(F.col(f"`{x}`").alias("_kx")).join(bands)
     same = F.col("_x").eqNullSafe(F.col("_kx")) & F.col("_s").eqNullSafe(F.col("_ks"))
     out = full.join(cells, same, "left")
     shown = F.coalesce("value", F.lit(0.0)) if aggregation == "count" else F.col("value")

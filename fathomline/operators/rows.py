@@ -18,7 +18,6 @@ FILTER_OPS = ("not_empty", "is_empty", "equals", "not_equals", "gt", "gte", "lt"
 FLAG_OPS = ("not_empty", "is_empty", "equals", "contains", "gt", "gte", "lt", "lte")
 EXPLORE_OPS = ("eq", "ne", "gt", "gte", "lt", "lte", "contains", "in", "is_null", "not_null")
 PATTERN_LIMIT = 200
-PAGE_LIMIT = 5000
 
 
 # ---------------------------------------------------------------- columns
@@ -232,11 +231,13 @@ def explore_query(
     limit: int = 100,
     offset: int = 0,
 ) -> DataFrame:
-    """One page of the rows that pass, over a total order."""
+    """One page of the rows that pass. An offset needs an order, else pages may overlap; it should be unique."""
+    if offset and not sort_by:
+        raise ValueError("an offset needs sort_by")
     out = explore_filter(df, conditions=conditions or [])
     if sort_by:
         out = out.orderBy(*V.ordering(sort_by, descending=descending))
-    out = out.offset(max(0, int(offset))).limit(min(int(limit), PAGE_LIMIT))
+    out = out.offset(max(0, int(offset))).limit(int(limit))
     return select_columns(out, columns=columns) if columns else out
 
 

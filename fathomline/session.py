@@ -9,8 +9,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # Rows of one group that a single task may hold in a window or an exact quantile.
 HOT_ROWS = ("fathomline.hotGroupRows", "5000000")
-# Below this estimated size a table is known to have no hot group without counting.
-SMALL_BYTES = ("fathomline.smallTableBytes", str(256 << 20))
 # Bytes of a lookup side that may be broadcast or collected.
 BROADCAST_BYTES = ("fathomline.broadcastBytes", str(64 << 20))
 
@@ -34,16 +32,18 @@ def build_session(app: str = "fathomline", master: str | None = None) -> SparkSe
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """Shared folder for intermediate tables: the cluster's checkpoint folder."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.sparkContext.getCheckpointDir()
+    """Shared folder for intermediate tables: one folder of this run under the cluster's checkpoint folder.
+
+    Whoever owns the session may drop the run's folder when it ends. A session on one machine that names no
+    checkpoint folder, as in tests, gets a temporary one.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         folder = tempfile.mkdtemp(prefix="fathomline-")
         spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
+    return f"{folder.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -58,33 +58,16 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def source_bytes(df: DataFrame) -> int | None:
-    """Size of the tables a plan reads, or None where it cannot be told."""
-    try:
-        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-        return sum(
-            int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size())
-        )
-    except Exception:
-        return None
-
-
-def is_small(df: DataFrame) -> bool:
-    size = source_bytes(df)
-    return size is not None and size <= setting(df.sparkSession, SMALL_BYTES)
-
-
 def has_hot_group(df: DataFrame, group_by: list[str]) -> bool:
-    """Whether one group holds more rows than one task should take.
+    """Whether one group holds more rows than one task should take, told by counting rows.
 
-    Over small sources the plan alone answers it. Otherwise one map-side combined
-    count over the key columns does; operators made of several steps ask once.
+    A table with no more rows than that has none. Beyond, one map-side combined count over the key columns
+    tells; operators made of several steps ask once.
     """
     limit = setting(df.sparkSession, HOT_ROWS)
-    if limit > 0 and is_small(df):
+    if not group_by:
+        return df.count() > limit
+    if limit > 0 and df.select(*group_by).count() <= limit:
         return False
-    if group_by:
-        largest = df.groupBy(*group_by).count().agg(F.max("count")).first()[0]
-    else:
-        largest = df.count()
+    largest = df.groupBy(*group_by).count().agg(F.max("count")).first()[0]
     return (largest or 0) > limit

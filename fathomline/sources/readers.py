@@ -13,7 +13,6 @@ SUFFIXES = {
     "csv": "csv", "tsv": "tsv", "json": "json", "ndjson": "ndjson", "jsonl": "ndjson",
     "parquet": "parquet",
 }
-DATABASE_LIMIT = 50_000
 
 
 def _limited(df: DataFrame, limit: int | None) -> DataFrame:
@@ -84,7 +83,7 @@ def database_options(
     return out
 
 
-def read_database(spark: SparkSession, url: str, *, limit: int | None = DATABASE_LIMIT, **options) -> DataFrame:
+def read_database(spark: SparkSession, url: str, *, limit: int | None = None, **options) -> DataFrame:
     return _limited(spark.read.format("jdbc").options(**database_options(url, **options)).load(), limit)
 
 

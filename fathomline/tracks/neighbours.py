@@ -19,7 +19,6 @@ RANK_DAMPING = 60
 PATH_WEIGHTS = {"path": 0.80, "feature": 0.20, "rain": 0.08}
 COMBINED_WEIGHTS = {"feature": 0.2, "rule": 0.5, "rain": 0.15}
 PATH_POOL, COMBINED_POOL = 12, 10
-SAMPLE = 250
 # Distances held at once while a batch of items meets a slice of the queries.
 _CELLS = 4_000_000
 
@@ -290,7 +289,7 @@ def leave_one_out(
     return judged, class_accuracy(judged, actual="actual", predicted="predicted")
 
 
-def sample_queries(df: DataFrame, *, key: str, limit: int | None = SAMPLE, seed: int = 42) -> DataFrame:
+def sample_queries(df: DataFrame, *, key: str, limit: int | None = None, seed: int = 42) -> DataFrame:
     """A repeatable sample of at most `limit` queries; None takes them all."""
     if limit is None:
         return df

@@ -417,18 +417,14 @@ def warp(a: np.ndarray, b: np.ndarray, weights=WARP_WEIGHTS) -> float:
 
 
 def warped_distance(
-    pairs: DataFrame, points: DataFrame, *, track: str, order_by, most_points: int = 20_000
+    pairs: DataFrame, points: DataFrame, *, track: str, order_by
 ) -> DataFrame:
     """Warped distance of candidate pairs (query_id, item_id), ranked per query.
 
-    Comparing two tracks is sequential in both, so a pair is one unit of work and
-    a track longer than `most_points` is refused rather than cut short.
+    Comparing two tracks is sequential in both, so a pair is one unit of work; it
+    holds three diagonals of the shorter track's length.
     """
     order = F.struct(*[V.col(points, o) for o in V.must_order(order_by)])
-    sizes = points.groupBy(V.col(points, track)).agg(F.count(F.lit(1)).alias("n"))
-    longest = sizes.agg(F.max("n")).first()[0] or 0
-    if longest > most_points:
-        raise ValueError(f"a track has {longest} points; a warped distance takes {most_points}")
     lines = points.groupBy(V.col(points, track).alias("_t")).agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct(order.alias("o"), F.col("warp").alias("w")))),

@@ -38,7 +38,5 @@ def oracle():
 def hot(spark):
     """Every group counts as hot, and a block holds seven rows."""
     spark.conf.set("fathomline.hotGroupRows", "7")
-    spark.conf.set("fathomline.smallTableBytes", "0")
     yield
     spark.conf.unset("fathomline.hotGroupRows")
-    spark.conf.unset("fathomline.smallTableBytes")
