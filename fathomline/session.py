@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # Rows of one group that a single task may hold in a window or an exact quantile.
 HOT_ROWS = ("fathomline.hotGroupRows", "5000000")
-# Bytes of a lookup side that may be broadcast or collected.
-BROADCAST_BYTES = ("fathomline.broadcastBytes", str(64 << 20))
+# Bytes of either side of a pair of blocks that one task compares.
+BLOCK_BYTES = ("fathomline.blockBytes", str(64 << 20))
 
 
 def setting(spark: SparkSession, entry: tuple[str, str]) -> int:

@@ -186,7 +186,8 @@ def rule_similarity(
 
     # The farthest candidate of a query scales its feature distances.
     asked, known = slim(queries), slim(items)
-    reach = scan_top(asked, known, key=key, columns=["vector"], kernel=far, k=1).select(
+    row_bytes = 8 * (known.agg(F.max(F.size("vector"))).first()[0] or 1) + 64
+    reach = scan_top(asked, known, key=key, columns=["vector"], kernel=far, k=1, row_bytes=row_bytes).select(
         F.col("query_id").alias(key), (-F.col("distance")).alias("reach")
     )
 
@@ -200,5 +201,6 @@ def rule_similarity(
         )
 
     return scan_top(
-        asked.join(reach, key), known, key=key, columns=["vector", "cls", "wind"], kernel=mixed, k=k
+        asked.join(reach, key), known, key=key, columns=["vector", "cls", "wind"], kernel=mixed, k=k,
+        row_bytes=row_bytes,
     )

@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fathomline.functions import values as V
 from fathomline.operators.aggregate import class_accuracy
 from fathomline.operators.rows import top_per_group
-from fathomline.session import BROADCAST_BYTES, setting, settle
+from fathomline.session import BLOCK_BYTES, setting, settle
 
 # The damping of a rank, and the weights of the fused methods.
 RANK_DAMPING = 60
@@ -23,17 +23,35 @@ PATH_POOL, COMBINED_POOL = 12, 10
 _CELLS = 4_000_000
 
 
-def query_parts(queries: DataFrame, key: str, row_bytes: int) -> Iterator[pd.DataFrame]:
-    """The queries in parts small enough to broadcast; every query is in one part."""
-    # Written once, so that counting and fetching the parts do not compute it again.
-    queries = settle(queries)
-    limit = setting(queries.sparkSession, BROADCAST_BYTES)
-    parts = max(1, math.ceil(queries.count() * row_bytes / limit))
-    for i in range(parts):
-        part = queries
-        if parts > 1:
-            part = queries.where(F.pmod(F.xxhash64(F.col(f"`{key}`")), F.lit(parts)) == i)
-        yield part.toPandas()
+def block_pairs(
+    queries: DataFrame, items: DataFrame, *, query_by: list[Column], item_by: list[Column],
+    kernel: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, row_bytes: int,
+) -> DataFrame:
+    """What the kernel makes of every block of queries beside every block of items.
+
+    Both sides are cut into blocks of a bounded size by the hash of the given columns, and each pair of
+    blocks is one group on the executors. A side is copied once for each block of the other side; no pair
+    of rows is ever a row, and nothing passes the driver but two row counts.
+    """
+    spark = items.sparkSession
+    room = max(1, setting(spark, BLOCK_BYTES) // row_bytes)
+    wide = max(1, math.ceil(queries.count() / room))
+    # At least one pair of blocks for each task that can run at once.
+    long = max(1, math.ceil(items.count() / room), math.ceil(spark.sparkContext.defaultParallelism / wide))
+
+    def cut(df: DataFrame, by: list[Column], own: str, blocks: int, other: str, others: int) -> DataFrame:
+        copies = F.explode(F.sequence(F.lit(0), F.lit(others - 1)))
+        cut_up = df.withColumn(own, F.pmod(F.xxhash64(*by), F.lit(blocks)).cast("int")).withColumn(other, copies)
+        return cut_up.toDF(*cut_up.columns)  # the two sides may be the same table
+
+    left = cut(queries, query_by, "_qb", wide, "_ib", long)
+    right = cut(items, item_by, "_ib", long, "_qb", wide)
+    return left.groupBy("_qb", "_ib").cogroup(right.groupBy("_qb", "_ib")).applyInPandas(kernel, schema)
+
+
+def plain_frame(columns: dict[str, np.ndarray]) -> pd.DataFrame:
+    """A frame whose texts are plain objects, which Arrow takes as one piece."""
+    return pd.DataFrame({n: v if v.dtype.kind in "iufb" else pd.Series(v, dtype=object) for n, v in columns.items()})
 
 
 def _stack(column: pd.Series) -> np.ndarray:
@@ -72,69 +90,44 @@ def scan_top(
 ) -> DataFrame:
     """(query_id, item_id, distance, rank): the k nearest items of every query.
 
-    The queries travel to the items. Each task holds k candidates per query while
-    its items stream by, so no pair is ever a row; the candidates of all tasks
-    then meet in one small shuffle. Ranks start at 0, ties go by item id.
+    Blocks of queries meet blocks of items; each meeting keeps k candidates per query, which then meet in
+    one small shuffle. Ranks start at 0, ties go by item id.
     """
-    spark = items.sparkSession
-    kinds = {
-        "query_id": V.kind(queries, key).simpleString(),
-        "item_id": V.kind(items, key).simpleString(),
-    }
-    schema = ", ".join(f"{n} {t}" for n, t in kinds.items()) + ", distance double"
-    slim = items.select(V.col(items, key), *[V.col(items, c) for c in columns])
-    found = None
-    for part in query_parts(
-        queries.select(V.col(queries, key), *[V.col(queries, c) for c in queries.columns if c != key]),
-        key, row_bytes,
-    ):
-        if not len(part):
-            continue
-        held = spark.sparkContext.broadcast(
-            {"ids": part[key].to_numpy(), **{c: _stack(part[c]) for c in part.columns if c != key}}
-        )
-
-        def run(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            q = held.value
-            n = len(q["ids"])
-            best = np.full((n, k), np.inf)
-            names = np.empty((n, k), dtype=object)
-            for batch in batches:
-                if not len(batch):
-                    continue
-                batch = batch.sort_values(key, kind="stable")
-                it = {c: _stack(batch[c]) for c in columns}
-                ids = batch[key].to_numpy()
-                step = max(1, _CELLS // len(ids))
-                for lo in range(0, n, step):
-                    cut = slice(lo, min(n, lo + step))
-                    mine = {c: v[cut] for c, v in q.items()}
-                    if exclude_self:
-                        mine["exclude"] = mine["ids"][:, None] == ids[None, :]
-                    d = kernel(mine, it, k)
-                    if exclude_self:
-                        d[mine["exclude"]] = np.inf
-                    near = np.argsort(d, axis=1, kind="stable")[:, :k]
-                    all_d = np.concatenate([best[cut], np.take_along_axis(d, near, 1)], axis=1)
-                    all_n = np.concatenate([names[cut], ids[near].astype(object)], axis=1)
-                    for r in range(all_d.shape[0]):
-                        live = np.flatnonzero(np.isfinite(all_d[r]))
-                        order = sorted(live, key=lambda j: (all_d[r, j], all_n[r, j]))[:k]
-                        best[lo + r] = np.inf
-                        best[lo + r, : len(order)] = all_d[r, order]
-                        names[lo + r, : len(order)] = all_n[r, order]
-            rows, cols = np.nonzero(np.isfinite(best))
-            yield pd.DataFrame(
-                {"query_id": q["ids"][rows], "item_id": names[rows, cols], "distance": best[rows, cols]}
-            )
-
-        some = slim.mapInPandas(run, schema)
-        found = some if found is None else found.unionByName(some)
-    if found is None:
-        return spark.createDataFrame([], schema + ", rank bigint")
-    ranked = top_per_group(
-        found, k=k, group_by="query_id", order_by="distance,item_id", output="rank"
+    schema = (
+        f"query_id {V.kind(queries, key).simpleString()}, item_id {V.kind(items, key).simpleString()}, distance double"
+    )
+    asked = queries.select(V.col(queries, key).alias("_key"), *[V.col(queries, c) for c in queries.columns if c != key])
+    known = items.select(V.col(items, key).alias("_key"), *[V.col(items, c) for c in columns])
+
+    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        right = right.sort_values("_key", kind="stable")
+        ids, names = right["_key"].to_numpy(), left["_key"].to_numpy()
+        it = {c: _stack(right[c]) for c in columns}
+        q = {"ids": names, **{c: _stack(left[c]) for c in left.columns if c not in ("_key", "_qb", "_ib")}}
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        deep = max([v.shape[1] for v in it.values() if v.ndim > 1], default=1)
+        step = max(1, _CELLS // max(1, len(ids) * deep))
+        for lo in range(0, len(names) if len(ids) else 0, step):
+            mine = {c: v[lo:lo + step] for c, v in q.items()}
+            if exclude_self:
+                mine["exclude"] = mine["ids"][:, None] == ids[None, :]
+            d = kernel(mine, it, k)
+            if exclude_self:
+                d[mine["exclude"]] = np.inf
+            # The items are in id order and the sort is stable, so ties go by id.
+            near = np.argsort(d, axis=1, kind="stable")[:, :k]
+            d = np.take_along_axis(d, near, 1)
+            rows, cols = np.nonzero(np.isfinite(d))
+            found.append((mine["ids"][rows], ids[near[rows, cols]], d[rows, cols]))
+        if not found:
+            return plain_frame({"query_id": names[:0], "item_id": ids[:0], "distance": np.zeros(0)})
+        one, other, far = (np.concatenate(x) for x in zip(*found))
+        return plain_frame({"query_id": one, "item_id": other, "distance": far})
+
+    found = block_pairs(
+        asked, known, query_by=[F.col("_key")], item_by=[F.col("_key")], kernel=meet, schema=schema, row_bytes=row_bytes
     )
+    ranked = top_per_group(found, k=k, group_by="query_id", order_by="distance,item_id", output="rank")
     return ranked.withColumn("rank", F.col("rank") - 1)
 
 

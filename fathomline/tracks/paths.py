@@ -14,7 +14,7 @@ from fathomline.functions.geo import great_circle_km, polar, similarity
 from fathomline.operators.aggregate import circular_mean
 from fathomline.operators.ordered import needs_blocks, over_rows, position
 from fathomline.operators.rows import top_per_group
-from fathomline.tracks.neighbours import query_parts
+from fathomline.tracks.neighbours import block_pairs, plain_frame
 
 # The reference point, km per degree there, and the island's outline.
 CENTRE = (23.7, 121.0)
@@ -200,12 +200,11 @@ def path_distance(
 ) -> DataFrame:
     """Symmetric mean nearest-point distance of tracks, the k nearest per query.
 
-    The query polylines travel to the points of all tracks. Where no track is hot, a
-    task sees whole tracks one after the other and keeps the k best per query. A hot
-    track is spread over tasks: each emits the sum of its own points' distances and
-    the least distance to every query point, and an aggregation puts them together.
+    Blocks of query lines meet blocks of tracks on the executors. Where no track is hot,
+    a meeting sees whole tracks and keeps the k best per query. A hot track is spread
+    over blocks: each emits the sum of its own points' distances and the least distance
+    to every query point, and an aggregation puts them together.
     """
-    spark = tracks.sparkSession
     hot = needs_blocks(tracks, [track], blocks)
 
     def segments(df: DataFrame) -> DataFrame:
@@ -222,29 +221,29 @@ def path_distance(
         return led.select(
             V.col(df, track), "_x", "_y", F.coalesce("_nx", "_x").alias("_nx"),
             F.coalesce("_ny", "_y").alias("_ny"),
-        ).sortWithinPartitions(track)
+        )
 
     kinds = f"query_id {V.kind(queries, track).simpleString()}, item_id {V.kind(tracks, track).simpleString()}"
-    lines = segments(tracks)
-    found = None
-    for part in query_parts(segments(queries), track, 40):
-        if not len(part):
-            continue
-        part = part.sort_values(track, kind="stable")
-        codes, names = pd.factorize(part[track])
-        held = spark.sparkContext.broadcast({
+    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        left = left.sort_values(track, kind="stable")
+        codes, names = pd.factorize(left[track])
+        held = {
             "names": np.asarray(names),
-            "points": part[["_x", "_y"]].to_numpy(),
-            "lines": _segments(part[["_x", "_y"]].to_numpy(), part[["_nx", "_ny"]].to_numpy()),
+            "points": left[["_x", "_y"]].to_numpy(),
+            "lines": _segments(left[["_x", "_y"]].to_numpy(), left[["_nx", "_ny"]].to_numpy()),
             "heads": np.flatnonzero(np.r_[True, np.diff(codes) > 0]),
-        })
+        }
         run = _spread(held, track, exclude_self) if hot else _whole(held, track, exclude_self, k)
-        some = lines.mapInPandas(
-            run, kinds + (", point int, value double, n bigint" if hot else ", distance double")
-        )
-        found = some if found is None else found.unionByName(some)
-    if found is None:
-        return spark.createDataFrame([], kinds + ", distance double, rank bigint, score double")
+        made = [x for x in (run(iter([right])) if len(left) and len(right) else ()) if len(x)]
+        return plain_frame({n: np.concatenate([x[n].to_numpy() for x in made] or [np.zeros(0, object)]) for n in columns})
+
+    columns = ["query_id", "item_id", *(["point", "value", "n"] if hot else ["distance"])]
+    own = F.col(f"`{track}`")
+    # A query's own line stays whole; so do the others, unless one is too long for a task.
+    found = block_pairs(
+        segments(queries), segments(tracks), query_by=[own], item_by=[own, F.col("_x"), F.col("_y")] if hot else [own],
+        kernel=meet, schema=kinds + (", point int, value double, n bigint" if hot else ", distance double"), row_bytes=80,
+    )
     if hot:
         own = F.col("point") < 0
         per_point = found.groupBy("query_id", "item_id", "point").agg(
@@ -295,7 +294,7 @@ def _whole(held, track: str, exclude_self: bool, k: int):
     """Tasks that see whole tracks in sequence: the k best tracks per query."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        q = held.value
+        q = held
         names, n = q["names"], len(q["names"])
         sizes = np.diff(np.r_[q["heads"], len(q["points"])])
         best, who = np.full((n, 0), np.inf), np.empty((n, 0), dtype=object)
@@ -351,7 +350,7 @@ def _spread(held, track: str, exclude_self: bool):
     """Tasks that see parts of tracks: what each part adds, for an aggregation."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        q = held.value
+        q = held
         names = q["names"]
         of = np.repeat(np.arange(len(names)), np.diff(np.r_[q["heads"], len(q["points"])]))
         place = np.arange(len(of)) - q["heads"][of]
