@@ -166,8 +166,34 @@ def _(s, d):
     """SELECT count(*) AS rows, CAST(count_if(l_discount = 0) AS BIGINT) AS failed_ratio FROM lineitem""",
 )
 def _(s, d):
-    out = R.formula(table(s, d, "lineitem"), expressions={"ratio": "try_divide(l_tax, l_discount)"})
-    return R.formula_failures(out, outputs="ratio")
+    out = R.formula(table(s, d, "lineitem"), expressions={"ratio": "l_tax / l_discount"})
+    return R.formula_failures(out, outputs="ratio", inputs="l_tax,l_discount")
+
+
+@C.add(
+    "formula_failing_rows",
+    """SELECT l_orderkey, l_linenumber, CASE WHEN l_discount <> 0 THEN round(l_tax / l_discount, 6) END AS ratio,
+       CAST(NULL AS INTEGER) AS number, CASE WHEN l_quantity > 25 THEN 'many' END AS size FROM lineitem""",
+)
+def _(s, d):
+    out = R.formula(table(s, d, "lineitem"), expressions={
+        "ratio": "round(l_tax / l_discount, 6)", "number": "cast(l_returnflag as int)",
+        "size": "case when l_quantity > 25 then 'many' end",
+    })
+    return out.select("l_orderkey", "l_linenumber", "ratio", "number", "size")
+
+
+@C.add(
+    "rule_failing_rows",
+    """SELECT l_orderkey, l_linenumber, CASE WHEN l_discount <> 0 AND l_tax / l_discount > 1 THEN 'taxed' ELSE 'plain' END AS kind FROM lineitem""",
+)
+def _(s, d):
+    out = R.rule(
+        table(s, d, "lineitem"), default={"kind": "plain"},
+        rules=[{"name": "bad", "when": "cast(l_returnflag as int) > 0", "then": {"kind": "bad"}},
+               {"name": "taxed", "when": "case when l_tax / l_discount > 1 then true else false end", "then": {"kind": "taxed"}}],
+    )
+    return out.select("l_orderkey", "l_linenumber", "kind")
 
 
 @C.add(

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import re
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fathomline.condition.features import LONG_WINDOW
 from fathomline.condition.views import KEY, NOTABLE_DEVIATION, NOTABLE_PROGRESS
 from fathomline.functions import values as V
 from fathomline.operators.rows import top_per_group
+from fathomline.session import null_on_failure
 
 # The weights and limits of the analyzers.
 STATUS_WEIGHT = {1: 18.0, 2: 34.0, 3: 52.0}
@@ -203,19 +203,25 @@ def history_findings(known: DataFrame, matches: DataFrame, assets: DataFrame, fa
     return again.unionByName(seen)
 
 
+def _readable(record: DataFrame, condition: str) -> bool:
+    try:
+        with null_on_failure(record.sparkSession):
+            record.select(F.expr(f"({condition})").cast("boolean"))
+    except AnalysisException:
+        return False
+    return True
+
+
 def rule_findings(record: DataFrame, rules: DataFrame) -> DataFrame:
     """Engineering rules kept as rows: the small table becomes one array of conditions.
 
-    A rule that reads a column the record lacks does not fire, nor one whose
-    condition is null or fails.
+    A rule that cannot be analysed over the record, as one that reads a column it
+    lacks, does not fire, nor does one whose condition is null or fails.
     """
-    have = {c.lower() for c in record.columns}
-    words = {"and", "or", "not", "in", "is", "null", "true", "false", "between", "like"}
     fired = []
     for r in rules.collect():
         condition = (r["when"] or "").strip()
-        named = re.findall(r"[A-Za-z_]\w*(?!\w*\s*\()", re.sub(r"'[^']*'", "", condition))
-        if not condition or any(n.lower() not in have | words for n in named):
+        if not condition or not _readable(record, condition):
             continue
         scope = F.lit(True) if r["asset_type"] in (None, "*") else F.col("asset_type") == r["asset_type"]
         hit = F.coalesce(F.expr(f"({condition})").cast("boolean"), F.lit(False)) & scope
@@ -232,7 +238,8 @@ def rule_findings(record: DataFrame, rules: DataFrame) -> DataFrame:
             )
         )
     empty = F.lit(None).cast("struct<s:string,w:double,c:double,m:string,a:string>")
-    each = record.select(*KEY, F.explode(F.array_compact(F.array(*(fired or [empty])))).alias("_f"))
+    with null_on_failure(record.sparkSession):
+        each = record.select(*KEY, F.explode(F.array_compact(F.array(*(fired or [empty])))).alias("_f"))
     return _finding(
         each, "engineering", "engineering", F.col("_f.s"), F.col("_f.w"), F.col("_f.c"),
         mode=F.col("_f.m"), action=F.col("_f.a"),

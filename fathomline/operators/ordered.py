@@ -165,22 +165,20 @@ def over_present(
         r["_block"]: r["n"]
         for r in layout.rows.groupBy("_block").agg(F.count("_v").alias("n")).collect()
     }
-    # Values before each block, and the earlier blocks that hold the last `window` of them.
-    before, seen = [], 0
+    # Values before each block, and the earlier blocks that hold the last `window` of them. Blocks
+    # without values are never looked at, so the walk back takes at most `window` steps.
+    before, seen, lends, filled = [], 0, [], []
     for block in range(layout.blocks):
         before.append(seen)
-        seen += per_block.get(block, 0)
-    lends = []
-    for block in range(1, layout.blocks):
-        source, missing = block - 1, window
-        while source >= 0 and missing > 0:
-            held = per_block.get(source, 0)
-            if held:
-                lends.append((source, block, before[block]))
-                missing -= held
-            source -= 1
-            if missing > 0 and before[source + 1] == 0:
+        missing = window
+        for source, held in reversed(filled):
+            lends.append((source, block, seen))
+            missing -= held
+            if missing <= 0:
                 break
+        if per_block.get(block, 0):
+            filled.append((block, per_block[block]))
+            seen += per_block[block]
     starts = spark.createDataFrame(list(enumerate(before)), "_block long, _before long")
     in_block = Window.partitionBy("_block").orderBy("_idx").rowsBetween(
         Window.unboundedPreceding, 0

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from fathomline.functions import values as V
 from fathomline.operators.ordered import position
+from fathomline.session import null_on_failure
 
 # The words that read as true, the date parts, the number in a text.
 TRUE_WORDS = ("1", "true", "yes", "y", "是")
@@ -251,21 +253,26 @@ def formula(
 ) -> DataFrame:
     """Named Spark SQL expressions; a later one may read an earlier one.
 
-    Write `try_divide`, `try_cast` and the like where a row may fail: the row then
-    gets null and `formula_failures` counts it.
+    A row in which an expression fails gets null there, and `formula_failures` counts it.
     """
     if not expressions:
         raise ValueError("formula needs at least one expression")
     out = df
-    for name, expression in expressions.items():
-        out = out.withColumn(name, F.expr(expression))
+    with null_on_failure(df.sparkSession):
+        for name, expression in expressions.items():
+            out = out.withColumn(name, F.expr(expression))
     return out if keep_input_columns else out.select(*expressions)
 
 
-def formula_failures(df: DataFrame, *, outputs) -> DataFrame:
+def formula_failures(df: DataFrame, *, outputs, inputs=None) -> DataFrame:
+    """Rows, and per output those that failed: null although all ``inputs`` are there.
+
+    An expression that means to give null, as a CASE without ELSE, cannot be told from one that failed.
+    """
+    there = reduce(lambda a, b: a & b, [V.col(df, i).isNotNull() for i in V.names(inputs)], F.lit(True))
     return df.agg(
         F.count(F.lit(1)).alias("rows"),
-        *[F.count_if(V.col(df, o).isNull()).alias(f"failed_{o}") for o in V.names(outputs)],
+        *[F.count_if(V.col(df, o).isNull() & there).alias(f"failed_{o}") for o in V.names(outputs)],
     )
 
 
@@ -276,7 +283,7 @@ def rule(
     default: dict | None = None,
     mode: str = "first_match",
 ) -> DataFrame:
-    """Ordered IF/THEN rules. A condition that is null does not match."""
+    """Ordered IF/THEN rules. A condition that is null or fails does not match."""
     V.one_of("mode", mode, ("first_match", "all_matches"))
     if not rules:
         raise ValueError("rule needs at least one rule")
@@ -286,7 +293,8 @@ def rule(
             raise ValueError(f"rule {r.get('name') or i} assigns nothing")
         hits.append(F.coalesce(F.expr(f"({r['when']})").cast("boolean"), F.lit(False)))
     labels = [r.get("name") or f"rule_{i}" for i, r in enumerate(rules)]
-    marked = df.withColumn("_hits", F.array(*hits))
+    with null_on_failure(df.sparkSession):
+        marked = df.withColumn("_hits", F.array(*hits))
     if mode == "first_match":
         first = F.array_position("_hits", F.lit(True))
         marked = marked.withColumn(

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -46,6 +48,20 @@ def scratch_folder(spark: SparkSession) -> str:
     return f"{folder.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
+@contextmanager
+def null_on_failure(spark: SparkSession) -> Iterator[None]:
+    """Expressions analysed inside give null where they would end the job: 1 / 0, a cast of bad text.
+
+    Only how expressions are built is changed, and only here; whole numbers that overflow wrap around.
+    """
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write a table to scratch and read it back.
 

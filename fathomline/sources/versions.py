@@ -15,6 +15,7 @@ ENTRY = (
     "created_at timestamp"
 )
 PREVIEW_ROWS = 100
+LISTING = "_versions"
 
 
 class Datasets:
@@ -26,7 +27,7 @@ class Datasets:
         spark.createDataFrame([], ENTRY).write.mode("ignore").parquet(self._listing())
 
     def _listing(self) -> str:
-        return f"{self.root}/_versions"
+        return f"{self.root}/{LISTING}"
 
     def versions(self) -> DataFrame:
         return self.spark.read.schema(ENTRY).parquet(self._listing())
@@ -34,6 +35,14 @@ class Datasets:
     def current(self, name: str) -> int:
         return self.versions().where(F.col("dataset") == name).agg(F.max("version")).first()[0] or 0
 
+    def _last_folder(self, name: str) -> int:
+        jvm = self.spark._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        files = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        found = files.listStatus(folder) if files.exists(folder) else []
+        names = [f.getPath().getName() for f in found]
+        return max((int(n[2:]) for n in names if n.startswith("v=") and n[2:].isdigit()), default=0)
+
     def path(self, name: str, version: int) -> str:
         return f"{self.root}/{name}/v={version}"
 
@@ -41,9 +50,12 @@ class Datasets:
         """The next version. Rows are counted while they are written.
 
         A version folder that exists already makes the write fail, so two writers
-        cannot make the same one.
+        cannot make the same one. A folder whose writer died before listing it is
+        passed over.
         """
-        version = self.current(name) + 1
+        if name == LISTING:
+            raise ValueError(f"{LISTING!r} is the name of the listing")
+        version = max(self.current(name), self._last_folder(name)) + 1
         seen = Observation(f"{name}-v{version}")
         writer = df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("errorifexists")
         parts = V.names(partition_by)

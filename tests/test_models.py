@@ -17,8 +17,8 @@ def test_scorecard_leaves_absent_weights_out(spark):
     assert rows[1]["score"] == 72.5 and rows[1]["score_coverage"] == 1.0
     assert rows[2]["score"] == 25.0 and rows[2]["score_coverage"] == 0.25
     assert rows[3]["score"] is None
-    assert rows[1]["score_explanation"].startswith("score 73; weakest: spares 50/100 (spares = 10)") or \
-        rows[1]["score_explanation"].startswith("score 72; weakest: spares 50/100 (spares = 10)")
+    assert rows[1]["score_explanation"].startswith("73 points, held down by spares 50/100 (spares = 10)") or \
+        rows[1]["score_explanation"].startswith("72 points, held down by spares 50/100 (spares = 10)")
     with pytest.raises(ValueError, match="good and bad"):
         scorecard(df, components=[{"column": "wear"}])
 
