@@ -46,11 +46,12 @@ class Weights:
     words: dict[str, float] = field(default_factory=dict)
     tags: dict[str, float] = field(default_factory=dict)
 
-    def word(self, element: str) -> float:
-        return self.words.get(element, 0.5)
+    def word(self, element: str, inside: bool = False, labelled: bool = False) -> float:
+        """In pages that name their article, only words inside it count fully."""
+        return (1.0 if inside else SOFT_WORD) if labelled else self.words.get(element, 0.5)
 
-    def tag(self, name: str) -> float:
-        return self.tags.get(name, -0.5)
+    def tag(self, name: str, inside: bool = False) -> float:
+        return -SOFT_WORD if inside else self.tags.get(name, -0.5)
 
 
 def _junk(attributes: str) -> bool:
@@ -153,10 +154,13 @@ def learn_weights(pages: DataFrame, labelled: int = LABELLED) -> Weights:
     A word's score is the share of such words that lie inside articles; a tag's is minus its share outside,
     times ``HARD_TAG``.
     """
-    sample = (
-        pages.where(F.col("html").rlike("(?i)<(article|main)[\\s>]"))
-        .select("page_id", "html").orderBy(F.xxhash64("page_id"), "page_id").limit(labelled).select("html")
+    # Ids are drawn first, so that no page travels to be drawn.
+    ids = (
+        pages.where(F.col("html").rlike("(?i)<(article|main)[\\s>]") & F.col("page_id").isNotNull())
+        .select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(labelled)
     )
+    drawn = pages.sparkSession.createDataFrame([tuple(r) for r in ids.collect()], ids.schema)
+    sample = pages.select("page_id", "html").join(F.broadcast(drawn), "page_id", "left_semi").select("html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[tuple[str, str], list[int]] = {}
@@ -202,8 +206,8 @@ def extract(page: str | None, weights: Weights) -> str:
         return ""
     t = tokens(page)
     scores = np.array([
-        weights.tag(n) if x is None else 0.0 if d else weights.word(n) * len(x.split())
-        for x, n, d in zip(t.texts, t.names, t.dropped)
+        weights.tag(n, i) if x is None else 0.0 if d else weights.word(n, i, t.labelled) * len(x.split())
+        for x, n, d, i in zip(t.texts, t.names, t.dropped, t.inside)
     ])
     start, end = best_run(scores)
     blocks: list[str] = []
