@@ -13,7 +13,7 @@ puts tokens of a fixed part of all hashes first and the others behind; the prefi
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import combinations
 
 import numpy as np
@@ -28,6 +28,8 @@ SHINGLE, PERCENT = 4, 85
 PAIRS, TRIPLES = 256, 4096
 # Rounds that compare the classes of a signature with one of them, before the rest is compared in pairs.
 STARS = 2
+# Classes of a signature from which on it is replaced by finer ones, before its classes are compared in pairs.
+CROWDED = 32
 # Ids that may be sent to every task, to pick texts before a shuffle.
 MOST_SENT = 1_000_000
 
@@ -169,7 +171,12 @@ def prefix_signatures(band: Band, n: int, m: int, tokens: np.ndarray, times: np.
     return sigs, at
 
 
-def _signatures(grouped: DataFrame, percent: int) -> DataFrame:
+def _signatures(tokens: DataFrame, percent: int, bands: tuple[Band, ...] = BANDS) -> DataFrame:
+    """sig, c, n and place of the classes, from the tokens that at least two of them hold."""
+    shared = settle(tokens.groupBy("band", "token").agg(F.count("*").cast("int").alias("times")).where("times > 1"))
+    held = F.collect_list(F.struct("times", "token")).alias("held")
+    grouped = tokens.join(shared, ["band", "token"]).groupBy("c", "band", "n", "m").agg(held)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lists = b.column("held")
@@ -179,7 +186,7 @@ def _signatures(grouped: DataFrame, percent: int) -> DataFrame:
             sigs, owner, places, low = [], [], [], 0
             keys = [b.column(c).to_pylist() for c in ("band", "n", "m")]
             for k, (band, n, m, high) in enumerate(zip(*keys, ends.tolist())):
-                own, at = prefix_signatures(BANDS[band], n, m, tokens[low:high], times[low:high], percent)
+                own, at = prefix_signatures(bands[band], n, m, tokens[low:high], times[low:high], percent)
                 sigs += own
                 places += at
                 owner += [k] * len(own)
@@ -189,7 +196,34 @@ def _signatures(grouped: DataFrame, percent: int) -> DataFrame:
                 names=["sig", "c", "n", "place"],
             )
 
-    return grouped.mapInArrow(run, "sig long, c long, n int, place int")
+    return settle(grouped.mapInArrow(run, "sig long, c long, n int, place int"))
+
+
+def _finer_signatures(classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Signatures of some classes (c, n) from all their tokens, counted among these classes alone.
+
+    Similar classes among them still share one. Tokens that none of the others holds come first now, whichever
+    part of the hashes they lie in, so a class with too many of its own has no signature left.
+    """
+    bands = tuple(replace(b, every=1) for b in BANDS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = b.column("n").to_numpy().astype(np.int64)
+            values = np.frombuffer(b"".join(v.as_buffer().to_pybytes() for v in b.column("held")), np.int64)
+            own = np.repeat(np.arange(len(n)), n)
+            c = b.column("c").to_numpy()
+            for band in bands:
+                at = np.flatnonzero(band.takes(n, percent)[own])
+                owner = own[at]
+                size = pa.array(n[owner].astype(np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(at), band.number, np.int8)), pa.array(values[at]), pa.array(c[owner]), size, size],
+                    names=["band", "token", "c", "n", "m"],
+                )
+
+    tokens = classes.join(sets, "c").select("c", "n", "held").mapInArrow(run, "band byte, token long, c long, n int, m int")
+    return _signatures(tokens, percent, bands)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -266,24 +300,23 @@ def link_classes(docs: DataFrame, members: DataFrame, classes: DataFrame, size:
     """Links (a, b) between classes that connect all classes that similarity connects.
 
     First the classes of a signature are compared with one of them, the first by document and then the
-    first by hash. Classes that those links do not connect are then compared in pairs. Pairs within a
-    connected group add nothing and are left out.
+    first by hash. Classes that those links do not connect are then compared in pairs; where many share a
+    signature, finer signatures of these classes take its place first. Pairs within a connected group add
+    nothing and are left out.
     """
     texts = _class_texts(docs, members, classes)
-    tokens = _scan_tokens(texts, size, percent)
-    shared = settle(tokens.groupBy("band", "token").agg(F.count("*").cast("int").alias("times")).where("times > 1"))
-    grouped = tokens.join(shared, ["band", "token"]).groupBy("c", "band", "n", "m").agg(F.collect_list(F.struct("times", "token")).alias("held"))
-    sigs = settle(_signatures(grouped, percent))
+    sigs = _signatures(_scan_tokens(texts, size, percent), percent)
     busy = settle(sigs.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("sig"))
     posted = settle(
         sigs.join(busy, "sig").join(classes.select(F.col("one").alias("c"), F.col("rep.doc").alias("doc")), "c").select("sig", "c", "n", "place", "doc")
     )
     active = classes.join(posted.select(F.col("c").alias("one")).distinct(), "one", "left_semi").select("rep.doc", "rep.fp")
     sets = settle(_class_sets(_pick(texts, active, "left_semi"), size))
-    links = settle(posted.select(F.col("c").alias("a"), F.col("c").alias("b")).limit(0))
+    links = None
     for turn in range(STARS + 1):
-        labels = components(links)
-        own = posted.join(labels, "c", "left").withColumn("label", F.coalesce("label", "c"))
+        own = posted.withColumn("label", F.col("c"))
+        if links is not None:
+            own = posted.join(components(links), "c", "left").withColumn("label", F.coalesce("label", "c"))
         if turn < STARS:
             key = F.col("doc") if turn == 0 else F.xxhash64("sig", "c")
             tops = own.groupBy("sig").agg(
@@ -294,13 +327,22 @@ def link_classes(docs: DataFrame, members: DataFrame, classes: DataFrame, size:
                 F.least("c", "top.c").alias("a"), F.greatest("c", "top.c").alias("b")
             )
         else:
-            mixed = own.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("sig")
-            left = settle(own.join(mixed, "sig").select("sig", "c", "n", "place", "label"))
-            right = left.select("sig", *(F.col(x).alias(f"other_{x}") for x in ("c", "n", "place", "label")))
-            pairs = left.join(right, "sig").where("c < other_c and label <> other_label").where(
+            mixed = own.groupBy("sig").agg(
+                F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("crowd")
+            ).where("low <> high").select("sig", "crowd")
+            left = settle(own.join(mixed, "sig").select("sig", "c", "n", "place", "label", "crowd"))
+            crowded = settle(left.where(F.col("crowd") >= CROWDED).select("c", "n", "label").distinct())
+            finer = _finer_signatures(crowded.select("c", "n"), sets, percent).join(crowded.select("c", "label"), "c")
+            # Two crowded classes that are similar share a finer signature, so they need not meet elsewhere.
+            flags = crowded.select("c", F.lit(True).alias("settled"))
+            others = left.where(F.col("crowd") < CROWDED).drop("crowd").join(flags, "c", "left").withColumn("settled", F.coalesce("settled", F.lit(False)))
+            left = settle(others.unionByName(finer.withColumn("settled", F.lit(False))))
+            right = left.select("sig", *(F.col(x).alias(f"other_{x}") for x in ("c", "n", "place", "label", "settled")))
+            pairs = left.join(right, "sig").where("c < other_c and label <> other_label and not (settled and other_settled)").where(
                 _close("n", "other_n", "place", "other_place", percent)
             ).select(F.col("c").alias("a"), F.col("other_c").alias("b"))
-        links = links.unionByName(_verified(pairs.distinct(), sets, percent))
+        found = _verified(pairs.distinct(), sets, percent)
+        links = found if links is None else links.unionByName(found)
     return links
 
 

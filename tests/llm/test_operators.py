@@ -182,6 +182,7 @@ def test_combinations(spark, monkeypatch, pairs, triples):
     """Small sets over few words: nearly all tokens are frequent, so links hang on the combinations."""
     monkeypatch.setattr(jaccard, "PAIRS", pairs)
     monkeypatch.setattr(jaccard, "TRIPLES", triples)
+    monkeypatch.setattr(jaccard, "CROWDED", pairs)
     r = random.Random(pairs)
     texts = []
     for _ in range(12):
