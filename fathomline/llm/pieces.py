@@ -162,7 +162,7 @@ class Codec:
 
     def __init__(self, data: bytes) -> None:
         import sentencepiece
-        from tokenizers import Tokenizer, normalizers
+        from tokenizers import Tokenizer, decoders, normalizers
 
         model = parse_model(data)
         self.tokenizer = build_tokenizer(model)
@@ -174,34 +174,44 @@ class Codec:
         if cuts_at_spaces(model) and not model.charsmap and not model.remove_extra_spaces and not any(k == USER for *_, k in model.pieces):
             self.segments = Tokenizer.from_str(self.tokenizer.to_str())
             self.segments.normalizer = normalizers.Replace(" ", SPACE)
+            self.segments.decoder = decoders.Sequence([decoders.Replace(SPACE, " "), decoders.ByteFallback(), decoders.Fuse()])
 
     def _forget(self) -> None:
-        """Drop the segments encoded so far: their hashes (ordered), places and numbers of ids, and the ids."""
+        """Drop the segments encoded so far: their hashes (ordered), places and numbers of ids, whether they decode, and the ids."""
         self.known, self.base, self.sizes = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.fine = np.zeros(0, bool)
         self.flat = np.zeros(0, np.int32)
 
-    def _learn(self, hashes: np.ndarray, found: list[list[int]]) -> None:
+    def _learn(self, hashes: np.ndarray, texts: list[str]) -> None:
+        found = [e.ids for e in self.segments.encode_batch_fast(texts, add_special_tokens=False)]
+        back = self.segments.decode_batch(found, skip_special_tokens=False)
+        fine = np.fromiter((x == y for x, y in zip(back, texts)), bool, len(texts))
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         base = np.cumsum(sizes) - sizes + len(self.flat)
         self.flat = np.concatenate((self.flat, np.array([i for own in found for i in own], np.int32)))
         known = np.concatenate((self.known, hashes))
         order = np.argsort(known)
         self.known, self.base, self.sizes = known[order], np.concatenate((self.base, base))[order], np.concatenate((self.sizes, sizes))[order]
+        self.fine = np.concatenate((self.fine, fine))[order]
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, offsets of each text's ids)."""
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all texts, offsets of each text's ids, whether each decodes to its text)."""
         if self.segments is None:
-            found = [e.ids for e in self.tokenizer.encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
-            return np.fromiter((i for own in found for i in own), np.int32), np.cumsum([0, *map(len, found)])
+            own = [t or "" for t in texts.to_pylist()]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(own, add_special_tokens=False)]
+            back = self.tokenizer.decode_batch(found, skip_special_tokens=False)
+            fine = np.array([x == y for x, y in zip(back, own)], bool)
+            return np.fromiter((i for one in found for i in one), np.int32), np.cumsum([0, *map(len, found)]), fine
         w = Words(texts, _NOT_SPACE)
         empty = np.diff(w.offsets) == 0
         # A segment is a word with the spaces before it; spaces at a text's end are a segment without a word.
-        begins = np.concatenate((w.offsets[:-1], w.ends))
-        finish = np.concatenate((w.ends, w.offsets[1:]))
-        owner = np.concatenate((np.arange(len(w)), w.owner()))
-        word_of = np.concatenate((np.full(len(w), -1), np.arange(len(w.ends))))
-        order = np.lexsort((begins, owner))
-        begins, owner, word_of = begins[order], owner[order], word_of[order]
+        total = len(w) + len(w.ends)
+        begins, owner, word_of = np.empty(total, np.int64), np.empty(total, np.int64), np.full(total, -1)
+        own = w.owner()
+        at = w.first[:-1] + np.arange(len(w))
+        begins[at], owner[at] = w.offsets[:-1], np.arange(len(w))
+        at = np.arange(len(own)) + own + 1
+        begins[at], owner[at], word_of[at] = w.ends, own, np.arange(len(own))
         following = np.append(owner[1:], -1) == owner
         next_word = np.where(following, np.append(word_of[1:], 0), -1)
         ends = np.where(following, w.ends[np.maximum(next_word, 0)] if len(w.ends) else 0, w.offsets[1:][owner])
@@ -213,20 +223,23 @@ class Codec:
         spaces = (starts - begins + leads).astype(np.uint64)
         hashed = np.where(next_word >= 0, w.hashes[np.maximum(next_word, 0)], np.uint64(0)) if len(w.hashes) else np.zeros(len(ends), np.uint64)
         distinct, first, back = np.unique(mix(hashed ^ mix(spaces)), return_index=True, return_inverse=True)
-        new = first[~np.isin(distinct, self.known, assume_unique=True)]
+        at = np.searchsorted(self.known, distinct)
+        at[at == len(self.known)] = 0
+        new = first[self.known[at] != distinct] if len(self.known) else first
         if len(new):
             raw = w.data.tobytes()
             texts_of = [" " * n + raw[a:b].decode() for a, b, n in zip(starts[new].tolist(), ends[new].tolist(), spaces[new].tolist())]
-            self._learn(mix(hashed[new] ^ mix(spaces[new])), [e.ids for e in self.segments.encode_batch_fast(texts_of, add_special_tokens=False)])
+            self._learn(mix(hashed[new] ^ mix(spaces[new])), texts_of)
         at = np.searchsorted(self.known, distinct)
-        sizes, base, flat = self.sizes[at], self.base[at], self.flat
+        sizes, base, fine, flat = self.sizes[at], self.base[at], self.fine[at], self.flat
         if len(self.known) > MOST_KEPT:
             self._forget()
         count = sizes[back]
         to = np.cumsum(count)
         ids = flat[np.repeat(base[back] - (to - count), count) + np.arange(to[-1] if len(to) else 0)]
         per_text = np.bincount(owner, weights=count, minlength=len(w)).astype(np.int64)
-        return ids, np.concatenate(([0], np.cumsum(per_text)))
+        wrong = np.bincount(owner[~fine[back]], minlength=len(w))
+        return ids, np.concatenate(([0], np.cumsum(per_text))), wrong == 0
 
 
 _NOT_SPACE = byte_class(lambda b: b != 0x20)
@@ -250,7 +263,7 @@ def encode_pieces(docs: DataFrame, model_path: str, *, columns: tuple[str, ...]
     """The given columns of every document with its token ids, their number, round_trip and parity.
 
     Whole texts are encoded, a batch at a time on ``threads`` threads. round_trip: decoding gives the text
-    back. parity: the model's own library gives the same ids (null where ``parity`` is off). A null or empty
+    back (each distinct run of spaces and a word is decoded once). parity: the model's own library gives the same ids (null where ``parity`` is off). A null or empty
     text has no ids; a text with the marker character itself decodes to a space there; rows are encoded one
     by one, so repeated rows stay; an empty table gives none; extra columns are ignored. ``model_path`` is a
     file that every executor has.
@@ -264,13 +277,13 @@ def encode_pieces(docs: DataFrame, model_path: str, *, columns: tuple[str, ...]
             for low, high in slices(whole):
                 column = whole.slice(low, high - low).fill_null("")
                 texts = column.to_pylist()
-                ids, offsets = own.encode(column)
-                each = [ids[x:y].tolist() for x, y in zip(offsets[:-1], offsets[1:])]
-                back = own.tokenizer.decode_batch(each, skip_special_tokens=False)
-                same = [x == y for x, y in zip(own.reference.encode(texts, num_threads=1), each)] if parity else [None] * len(texts)
+                ids, offsets, fine = own.encode(column)
+                same = [None] * len(texts)
+                if parity:
+                    same = [x == ids[a:z].tolist() for x, a, z in zip(own.reference.encode(texts, num_threads=1), offsets[:-1], offsets[1:])]
                 found = [
                     pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32())), pa.array(np.diff(offsets), pa.int64()),
-                    pa.array([x == y for x, y in zip(back, texts)], pa.bool_()), pa.array(same, pa.bool_()),
+                    pa.array(fine), pa.array(same, pa.bool_()),
                 ]
                 yield pa.RecordBatch.from_arrays([*(b.column(k).slice(low, high - low) for k in range(len(columns))), *found], names=names)
 
