@@ -108,6 +108,35 @@ def test_quality_without_labels(spark, texts):
     assert quality.keep_good(own.limit(0), none).count() == 0
 
 
+def test_few_toxic_words():
+    import numpy as np
+    import pyarrow as pa
+
+    w = quality.Words(pa.array(["a b c d", "", None, "a", "c d"]), quality.LETTERS)
+    assert quality.worst_windows(w, np.array([5, -3, 1, -9, -7, 2, -4]), 2).tolist() == [-8, 0, 0, -7, -2]
+    assert quality.fewest_wrong({5: 990, -3: 1, 2: 9}, {-8: 3, -3: 2, 2: 99}, 0.999) == -2
+    assert quality.fewest_wrong({1: 10}, {1: 3, 2: 9}, 0.999) is None
+
+
+def test_toxic_documents(spark):
+    """Texts alike but for three bad words in 150, judged by labels that name other documents."""
+    r = random.Random(3)
+    bad = ["idiot", "scum", "moron", "trash", "loser"]
+
+    def text(toxic):
+        said = [r.choice("abcdefghijklmnopqrst") + str(r.randrange(60)) for _ in range(150)]
+        for _ in range(3 * toxic):
+            said[r.randrange(150)] = r.choice((str, str.title, "{}.".format))(r.choice(bad))
+        return " ".join(said)
+
+    toxic = [k % 4 == 0 for k in range(400)]
+    own = docs(spark, [text(t) for t in toxic])
+    labels = spark.createDataFrame([(k, 1, int(toxic[k])) for k in range(300)], "doc_id long, quality int, toxic int")
+    kept = {r["doc_id"]: r["kept"] for r in quality.score_quality(own, labels).collect()}
+    assert not any(kept[k] for k in range(400) if toxic[k]) and sum(kept[k] for k in range(400) if not toxic[k]) >= 298
+    assert {r["doc_id"] for r in quality.keep_good(own, labels).collect()} == {k for k in kept if kept[k]}
+
+
 # SentencePiece
 
 
