@@ -133,8 +133,11 @@ class Matcher:
         out[maybe[right]] = at[right]
         return out
 
-    def matches(self, w: Words) -> Iterator[tuple[int, list[tuple[int, int]], set[str]]]:
-        """(text, hit spans of its words, items) of the texts with a hit."""
+    def matches(self, w: Words, wholes: dict[int, list[tuple[int, int]]] | None = None) -> Iterator[tuple[int, list[tuple[int, int]], set[str]]]:
+        """(text, hit spans of its words, items) of the texts with a hit.
+
+        ``wholes``, where given, receives the spans of whole items under a window by text.
+        """
         if not self.shortest or not len(w.hashes):
             return
         codes = self.codes(w.hashes)
@@ -159,11 +162,12 @@ class Matcher:
                 if spans:
                     yield current, spans, items
                 current, spans, items = text, [], set()
-            self._walk(codes[low:high].tolist(), low - int(w.first[text]), spans, items)
+            whole = None if wholes is None else wholes.setdefault(text, [])
+            self._walk(codes[low:high].tolist(), low - int(w.first[text]), spans, items, whole)
         if spans:
             yield current, spans, items
 
-    def _walk(self, codes: list[int], base: int, spans: list[tuple[int, int]], items: set[str]) -> None:
+    def _walk(self, codes: list[int], base: int, spans: list[tuple[int, int]], items: set[str], whole: list[tuple[int, int]] | None = None) -> None:
         a, state, length = self.automaton, 0, 0
         for k, word in enumerate(codes):
             state, length = a.step(state, length, word)
@@ -176,6 +180,8 @@ class Matcher:
                     if n <= length:
                         items.add(name)
                         span = max(span, n)
+                        if whole is not None:
+                            whole.append((base + k + 1 - n, base + k + 1))
             if span:
                 low, high = base + k + 1 - span, base + k + 1
                 while spans and spans[-1][1] >= low:
@@ -196,11 +202,24 @@ def item_blocks(items: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[li
         yield block
 
 
-HITS = "n_words long, spans array<struct<start:long,end:long>>, items array<string>"
-_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+# whole: the span holds a whole item that is shorter than a window.
+SPANS = "array<struct<start:long,end:long,whole:boolean>>"
+HITS = f"n_words long, spans {SPANS}, items array<string>"
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("whole", pa.bool_())]))
+
+
+def _marked(spans: list[tuple[int, int]], wholes: list[tuple[int, int]]) -> list[dict]:
+    """The spans of a text, told whether one of ``wholes``, in order of their ends, lies inside."""
+    out, at = [], 0
+    for start, end in spans:
+        before = at
+        while at < len(wholes) and wholes[at][1] <= end:
+            at += 1
+        out.append({"start": start, "end": end, "whole": at > before})
+    return out
 
 
-def _scan(docs: DataFrame, columns: list[str], block: list[tuple[str, str]], window: int) -> DataFrame:
+def _scan(docs: DataFrame, columns: list[str], block: list[tuple[str, str]], window: int, text: str = "text") -> DataFrame:
     """The given columns of every document with n_words, hit spans and items for one block of items."""
     sent = docs.sparkSession.sparkContext.broadcast(block)
     matchers: dict[int, Matcher] = {}
@@ -216,8 +235,9 @@ def _scan(docs: DataFrame, columns: list[str], block: list[tuple[str, str]], win
                 w = Words(texts.slice(low, high - low), LETTERS, lower=True)
                 spans: list = [[] for _ in range(high - low)]
                 items: list = [[] for _ in range(high - low)]
-                for text, found, names in matcher.matches(w):
-                    spans[text] = [{"start": x, "end": y} for x, y in found]
+                wholes: dict[int, list[tuple[int, int]]] = {}
+                for text, found, names in matcher.matches(w, wholes):
+                    spans[text] = _marked(found, wholes[text])
                     items[text] = sorted(names)
                 part = kept.slice(low, high - low)
                 yield pa.RecordBatch.from_arrays(
@@ -225,7 +245,7 @@ def _scan(docs: DataFrame, columns: list[str], block: list[tuple[str, str]], win
                     names=[*columns, "n_words", "spans", "items"],
                 )
 
-    return docs.select(*columns, F.col("text").alias("scanned_text")).mapInArrow(run, schema_of(docs, columns, HITS))
+    return docs.select(*columns, F.col(text).alias("scanned_text")).mapInArrow(run, schema_of(docs, columns, HITS))
 
 
 def _merged(spans: list) -> list[dict]:
@@ -233,8 +253,9 @@ def _merged(spans: list) -> list[dict]:
     for s in sorted((s for part in spans for s in part), key=lambda s: (s["start"], s["end"])):
         if out and s["start"] <= out[-1]["end"]:
             out[-1]["end"] = max(out[-1]["end"], s["end"])
+            out[-1]["whole"] |= s["whole"]
         else:
-            out.append({"start": s["start"], "end": s["end"]})
+            out.append({"start": s["start"], "end": s["end"], "whole": s["whole"]})
     return out
 
 
@@ -247,21 +268,28 @@ def find_hits(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, column
     sent to the tasks in blocks of ``block_words``; a further block reads the documents once more and
     the answers of a row are joined on its place in the table, given by its columns and text hash.
     """
+    hits = _marked_hits(docs, items, window, columns, block_words)
+    plain = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+    return hits.select(*columns, "n_words", plain.alias("spans"), "items")
+
+
+def _marked_hits(docs: DataFrame, items: DataFrame, window: int, columns: tuple[str, ...], block_words: int = BLOCK_WORDS) -> DataFrame:
+    """As ``find_hits``, each span with ``whole`` besides."""
     blocks = item_blocks(items, block_words)
     first = next(blocks, [])
     out = _scan(docs, list(columns), first, window)
     second = next(blocks, None)
     if second is None:
         return out
-    numbered = docs.select(*columns, "text", F.coalesce(F.sha2("text", 256), F.lit("")).alias("__text"))
+    numbered = docs.select(*columns, F.col("text").alias("__scanned"), F.coalesce(F.sha2("text", 256), F.lit("")).alias("__text"))
     keys = [*columns, "__text"]
-    one = numbered.groupBy(*keys).agg(F.first("text").alias("text"), F.count("*").alias("__copies"))
+    one = numbered.groupBy(*keys).agg(F.first("__scanned").alias("__scanned"), F.count("*").alias("__copies"))
     keep = [*keys, "__copies"]
-    parts = _scan(one, keep, first, window)
+    parts = _scan(one, keep, first, window, "__scanned")
     while second is not None:
-        parts = parts.unionByName(_scan(one, keep, second, window))
+        parts = parts.unionByName(_scan(one, keep, second, window, "__scanned"))
         second = next(blocks, None)
-    join_spans = F.udf(_merged, "array<struct<start:long,end:long>>")
+    join_spans = F.udf(_merged, SPANS)
     whole = parts.groupBy(*keep).agg(
         F.max("n_words").alias("n_words"), F.collect_list("spans").alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
@@ -275,12 +303,12 @@ def find_hits(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, column
 def decontaminate(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, least_span: int = WINDOW, most_coverage: float = 0.5) -> DataFrame:
     """Documents, in their own columns, without the spans that benchmark items occupy.
 
-    Hit spans of at least ``least_span`` words (or as long as a whole shorter item) are cut from the text,
-    from the first byte of their first word to the last byte of their last one. A document more than
+    Hit spans of at least ``least_span`` words, and those that hold a whole item shorter than a window, are cut
+    from the text, from the first byte of their first word to the last byte of their last one. A document more than
     ``most_coverage`` of whose words are hit is dropped. Documents without a hit are returned as they are.
     """
     own = disguised(docs, "text")
-    found = find_hits(own, items, window=window, columns=tuple(own.columns))
+    found = _marked_hits(own, items, window, tuple(own.columns))
     covered = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     kept = found.where((F.size("spans") == 0) | (covered <= most_coverage * F.col("n_words")))
     carried = own.columns[:-1]
@@ -295,7 +323,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, le
                         w = Words(texts.slice(i, 1), LETTERS, lower=True)
                         raw, last, parts = new[i].encode(), 0, []
                         for s in found_in:
-                            if s["end"] - s["start"] >= min(least_span, window):
+                            if s["whole"] or s["end"] - s["start"] >= least_span:
                                 parts.append(raw[last:w.starts[s["start"]]])
                                 last = w.ends[s["end"] - 1]
                         new[i] = b"".join([*parts, raw[last:]]).decode()

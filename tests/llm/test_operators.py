@@ -512,6 +512,21 @@ def test_decontaminate(spark):
     assert benchmark.decontaminate(own, items.limit(0)).count() == 5 and benchmark.decontaminate(own.limit(0), items).count() == 0
 
 
+def test_decontaminate_short_items(spark, monkeypatch):
+    items = spark.createDataFrame([(1, "Gamma delta eps"), (2, ITEMS[0][1])], "item_id long, text string")
+    rest = " ".join(f"w{k}" for k in range(40))
+    long = ITEMS[0][1].replace("gamma", "g")  # nine of its words in a row stay
+    own = docs(spark, [f"{rest} gamma DELTA, eps! tail", f"gamma delta eps {rest}", f"{rest} {long}", f"{rest} {ITEMS[0][1]} x"])
+    for most, block in ((10, 1_000_000), (30, 1_000_000), (10, 3)):
+        monkeypatch.setattr(benchmark._marked_hits, "__defaults__", (block,))
+        out = benchmark.decontaminate(own, items, least_span=most)
+        got = {r["doc_id"]: r["text"] for r in out.collect()}
+        assert got == {0: f"{rest} ! tail", 1: f" {rest}", 2: f"{rest} {long}", 3: f"{rest}  x"}
+        assert not any(r["contaminated"] for r in benchmark.digest(benchmark.find_hits(out, items)).collect())
+    alone = benchmark.decontaminate(own, items.where("item_id = 2"), least_span=30)
+    assert {r["doc_id"]: r["text"] for r in alone.collect()}[3] == f"{rest} {ITEMS[0][1]} x"
+
+
 # Pipeline
 
 
