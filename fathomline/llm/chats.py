@@ -39,6 +39,13 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(lambda m: m[1], text) if "\\" in text else text
 
 
+def appending(template: Template) -> Template:
+    """Declare that a template only appends: a turn's output stays as it is and sees no turn before its predecessor."""
+    template.appending = True
+    return template
+
+
+@appending
 def marked_turns(messages: list[Message]) -> str:
     """The template of the registered query: [INST] marks users, </s> ends assistants."""
     out = ["<s>"]
@@ -128,31 +135,28 @@ def render_turns(messages: list[Message], template: Template) -> tuple[str, list
 
 
 def render_long(messages: list[Message], template: Template, block: int = BLOCK) -> tuple[str, list[Span]]:
-    """As ``render_turns``, rendering each prefix only from the start of its block of turns.
+    """As ``render_turns``; for templates declared ``appending``, each prefix only from the start of its block.
 
-    A block is rendered after the last turn of the block before it. That is right for templates in
-    which a turn sees no more than its predecessor; the block's first span is checked against the one
-    that the whole preceding block gives, and where they differ or history is rewritten every prefix is
-    rendered from the beginning.
+    A block is rendered after the last turn of the block before it. Any other template may change what stands
+    any number of turns back, so all its prefixes are rendered from the beginning, and so are those of a
+    template whose blocks rewrite history or do not add up to its output of all messages.
     """
-    if len(messages) <= block:
+    if len(messages) <= block or not getattr(template, "appending", False):
         return render_turns(messages, template)
     out, spans = render_turns(messages[:block], template)
     pieces, at = [out], len(out)
     broken = any(s.rewrites for s in spans)
     for low in range(block, len(messages), block):
         if broken:
-            return render_turns(messages, template)
-        context = messages[low - 1:low]
-        text, found = render_turns([*context, *messages[low:low + block]], template)
+            break
+        text, found = render_turns([*messages[low - 1:low], *messages[low:low + block]], template)
         cut = found[0].end
-        before = template(messages[low - block:low])
-        longer = template(messages[low - block:low + 1])
-        broken = any(s.rewrites for s in found) or longer != before + text[cut:found[1].end]
+        broken = any(s.rewrites for s in found)
         spans += [Span(s.start - cut + at, s.end - cut + at, s.text_start - cut + at, s.text_end - cut + at, False) for s in found[1:]]
         pieces.append(text[cut:])
         at += len(text) - cut
-    return render_turns(messages, template) if broken else ("".join(pieces), spans)
+    out = "".join(pieces)
+    return render_turns(messages, template) if broken or out != template(messages) else (out, spans)
 
 
 FORMATTED = "conv_id long, n_turns long, formatted string, loss array<struct<start:long,end:long>>, rewrites boolean"
@@ -177,7 +181,8 @@ def format_chats(
     Turns are ordered by turn, then role and text (nulls first, so ties and repeated rows keep a fixed
     place and all are rendered). A null role or text is an empty one, rows with a null conv_id form one
     conversation, an empty table gives none, extra columns are ignored. A task holds one conversation
-    at a time; its prefixes are rendered in blocks, so the work grows with its length, not the square.
+    at a time. Where the template is declared ``appending``, prefixes are rendered in blocks and the work grows
+    with the length; for all others every prefix is rendered, and it grows with the square.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []

@@ -428,6 +428,27 @@ def test_rewriting_templates():
     assert out == numbered(long) and [out[s.start:s.end] for s in spans] == [f"{k}:t{k};" for k in range(40)]
 
 
+def test_rewriting_far_back(spark):
+    def thinking(messages):  # the last user turn strips thoughts from all assistants before it
+        asked = max((k for k, m in enumerate(messages) if m["role"] == "user"), default=0)
+        return "".join(f"<{m['role']}>" + (re.sub("\\(.*?\\)", "", m["text"]) if k < asked else m["text"]) for k, m in enumerate(messages))
+
+    def recent(messages):
+        return "".join(f"<{m['text']}>" for m in messages[-10:])
+
+    def undone(messages):  # changes the first turn at one inner turn only
+        return "".join(f"<{'gone' if k == 0 and len(messages) == 13 else m['text']}>" for k, m in enumerate(messages))
+
+    roles = ["user", "assistant", *["tool", "assistant"] * 5, "user", "assistant", "tool", "assistant"]
+    talk = [{"role": r, "text": f"(hm {k}) t{k}" if k == 1 else f"t{k}"} for k, r in enumerate(roles)]
+    rows = spark.createDataFrame([(1, k, m["role"], m["text"]) for k, m in enumerate(talk)], "conv_id long, turn long, role string, text string")
+    for template in (thinking, recent, undone, chats.appending(lambda messages: thinking(messages))):
+        got = chats.format_chats(rows, template).first()
+        spans = chats.render_turns(talk, template)[1]
+        loss = [(s.text_start, s.text_end) for m, s in zip(talk, spans) if m["role"] == "assistant"]
+        assert got["formatted"] == template(talk) and got["rewrites"] and [tuple(x) for x in got["loss"]] == loss
+
+
 # Pages
 
 
