@@ -23,6 +23,9 @@ HARD_TAG = 20.0
 # Least score of a word.
 SOFT_WORD = 0.001
 
+# Words outside a named article that one inside it outweighs.
+OUTSIDE = 4.0
+
 # Names of HTML elements and class words, by what they mean here.
 NEVER = frozenset("head title script style noscript template svg math nav header footer aside form button select option textarea iframe object video audio canvas dialog menu".split())
 RAW = frozenset("script style textarea title noscript iframe template".split())
@@ -41,17 +44,16 @@ _SPLIT = re.compile(r"[^a-z0-9]+")
 
 @dataclass
 class Weights:
-    """Scores of words by the element they stand in, and of tags by name."""
+    """Scores of words by the element and the length of the run they stand in, and of tags by name."""
 
     words: dict[str, float] = field(default_factory=dict)
     tags: dict[str, float] = field(default_factory=dict)
 
-    def word(self, element: str, inside: bool = False, labelled: bool = False) -> float:
-        """In pages that name their article, only words inside it count fully."""
-        return (1.0 if inside else SOFT_WORD) if labelled else self.words.get(element, 0.5)
+    def word(self, element: str) -> float:
+        return self.words.get(element, 0.5)
 
-    def tag(self, name: str, inside: bool = False) -> float:
-        return -SOFT_WORD if inside else self.tags.get(name, -0.5)
+    def tag(self, name: str) -> float:
+        return self.tags.get(name, -0.5)
 
 
 def _junk(attributes: str) -> bool:
@@ -134,16 +136,64 @@ def tokens(page: str) -> Tokens:
     return out
 
 
+def _kinds(t: Tokens) -> list[str | None]:
+    """The name that scores each place: of words their element and the binary digits of their number, of a tag its own name.
+
+    An element whose words are dropped is one tag, with "!" after its name, however many it holds; the
+    others of its tags and its words have None.
+    """
+    before = [False, *t.dropped[:-1]]
+    return [
+        (None if b or x is not None else n + "!") if d else n if x is None else f"{n}#{len(x.split()).bit_length()}"
+        for x, n, d, b in zip(t.texts, t.names, t.dropped, before)
+    ]
+
+
+def _trust(t: Tokens, sizes: list[int]) -> float:
+    """How far the page's own label can be trusted, 0.5 without one.
+
+    It is the share of the page's words inside it, where one of them counts as ``OUTSIDE`` others: a page that
+    is nearly all article outweighs what stands around it, a teaser card does not.
+    """
+    within = OUTSIDE * sum(n for n, i in zip(sizes, t.inside) if i)
+    outside = sum(n for n, i in zip(sizes, t.inside) if not i)
+    return within / (within + outside) if t.labelled and within + outside else 0.5
+
+
+def _sizes(t: Tokens) -> list[int]:
+    """Words of each text run that is not dropped."""
+    return [0 if x is None or d else len(x.split()) for x, d in zip(t.texts, t.dropped)]
+
+
+def _scores(t: Tokens, weights: Weights) -> np.ndarray:
+    """Score of each place by the learnt weights and the trust in the page's own label."""
+    kinds, sizes = _kinds(t), _sizes(t)
+    trust = _trust(t, sizes)
+    more = max(trust, 1 - trust)
+    out = np.zeros(len(kinds))
+    for k, (kind, text, size, inside) in enumerate(zip(kinds, t.texts, sizes, t.inside)):
+        if kind is None:
+            continue
+        if text is None:
+            out[k] = min(-SOFT_WORD, weights.tag(kind) * (1 - trust if inside else 1.0))
+        elif size:
+            out[k] = max(SOFT_WORD, weights.word(kind) * (trust if inside or not t.labelled else 1 - trust) / more) * size
+    return out
+
+
 def count_labels(page: str) -> dict[tuple[str, str], list[int]]:
-    """Words by element and tags by name, inside and outside the labelled article of one page."""
+    """Words by element and tags by name, inside and outside the labelled article of one page.
+
+    Labels that are not trusted, as those of teaser cards, teach nothing.
+    """
     t = tokens(page)
     seen: dict[tuple[str, str], list[int]] = {}
-    if not t.labelled:
+    if not t.labelled or _trust(t, _sizes(t)) < 0.5:
         return seen
-    for text, name, dropped, inside in zip(t.texts, t.names, t.dropped, t.inside):
-        kind, n = ("tag", 1) if text is None else ("word", len(text.split()))
-        if text is not None and dropped:
+    for text, name, inside in zip(t.texts, _kinds(t), t.inside):
+        if name is None:
             continue
+        kind, n = ("tag", 1) if text is None else ("word", len(text.split()))
         seen.setdefault((kind, name), [0, 0])[0 if inside else 1] += n
     return seen
 
@@ -205,11 +255,7 @@ def extract(page: str | None, weights: Weights) -> str:
     if not page:
         return ""
     t = tokens(page)
-    scores = np.array([
-        weights.tag(n, i) if x is None else 0.0 if d else weights.word(n, i, t.labelled) * len(x.split())
-        for x, n, d, i in zip(t.texts, t.names, t.dropped, t.inside)
-    ])
-    start, end = best_run(scores)
+    start, end = best_run(_scores(t, weights))
     blocks: list[str] = []
     piece: list[str] = []
 

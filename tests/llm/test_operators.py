@@ -466,6 +466,30 @@ def test_pages(spark):
     assert pages.extract_pages(own.limit(0)).count() == 0
 
 
+def test_teasers_and_parts(spark):
+    """Weights from ordinary pages; then a teaser beside the text, two articles apart, and no article."""
+    say = lambda n, w: " ".join(f"{w}{k}" for k in range(n))
+    menu = "<nav><ul>" + "<li><a href=x>go</a></li>" * 30 + "</ul></nav>"
+    wrap = lambda body: f"<html><body>{menu}<div class=ad>buy now</div>{body}<footer>by us</footer></body></html>"
+    plain = wrap(f"<article><h1>t</h1><p>{say(100, 'a')}</p></article>")
+    long = "".join(f"<p>{say(100, c)}</p>" for c in "bcdefghijklmnopqrstu")
+    bare = "<br>".join(say(100, c) for c in "bcdefghijklmnopqrstu")
+    texts = {
+        1: wrap(f"<article class=card><h2>{say(4, 'x')}</h2><p>{say(16, 'y')}</p></article>{menu}<div>{long}</div>"),
+        2: wrap(f"<article><p>{say(20, 'y')}</p></article><div>{bare}</div>"),
+        3: wrap(f"<article><p>{say(300, 'm')}</p></article>{menu}<div class=ad>buy</div>{menu}<article><p>{say(200, 'n')}</p></article>"),
+        4: wrap(f"<div>{long}</div>"),
+        5: wrap(f"<div>a tagline</div><article><p>{say(300, 'm')}</p><div class=ad>buy</div><p>end</p></article>"),
+    }
+    own = spark.createDataFrame([(k, "u", plain) for k in range(10, 60)] + [(k, "u", t) for k, t in texts.items()], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"].split() for r in pages.extract_pages(own).collect()}
+    article = [w for c in "bcdefghijklmnopqrstu" for w in say(100, c).split()]
+    assert all(set(article) <= set(got[k]) for k in (1, 2)) and got[4] == article
+    assert got[3] == say(300, "m").split() + say(200, "n").split()
+    assert got[5] == say(300, "m").split() + ["end"]
+    assert all(got[k] == ["t", *say(100, "a").split()] for k in range(10, 60))
+
+
 def test_given_pages(spark, folder):
     """Against the articles that the markup of the given pages names."""
     import html as entities
