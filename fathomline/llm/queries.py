@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fathomline.catalog.base import Catalog, table
-from fathomline.llm import benchmark, chats, jaccard, pages, pieces, quality, separators, substrings, url_filters, warc
+from fathomline.llm import benchmark, chats, jaccard, lines, pages, pieces, quality, separators, substrings, url_filters, warc
 
 C = Catalog()
 
@@ -143,3 +143,20 @@ def op9_html_extraction(spark, folder):
 def op10_benchmark_decontamination(spark, folder):
     hits = benchmark.find_hits(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return benchmark.digest(hits)
+
+
+@C.add("op12_line_dedup", r"""
+WITH lines AS (
+  SELECT doc_id, k, line, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT doc_id, generate_subscripts(own, 1) AS k, unnest(own) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS own FROM documents))
+), firsts AS (
+  SELECT key, min(doc_id) AS first FROM lines WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) > 1
+), judged AS (
+  SELECT l.*, coalesce(doc_id > first, false) AS gone FROM lines l LEFT JOIN firsts USING (key)
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
+""")
+def op12_line_dedup(spark, folder):
+    return lines.line_digest(table(spark, folder, "documents"))
