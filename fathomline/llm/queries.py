@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fathomline.catalog.base import Catalog, table
-from fathomline.llm import benchmark, chats, jaccard, lines, pages, pieces, quality, separators, substrings, url_filters, warc
+from fathomline.llm import alignment, benchmark, chats, jaccard, lines, pages, pieces, quality, separators, substrings, url_filters, warc
 
 C = Catalog()
 
@@ -15,6 +15,7 @@ RULES = (
 )
 # Files of public tokenizers that every executor has.
 RANKS, PIECES = "/opt/tokenizers/byte_bpe_50k.tiktoken", "/opt/tokenizers/piece_bpe_32k.model"
+BYTE_LEVEL = "/opt/tokenizers/byte_bpe_50k.json"
 LISTED = "(^|\\.)(adult-x|ads-track|casino-win|cheap-pills|free-bets|spam-farm)\\."
 
 
@@ -160,3 +161,8 @@ FROM judged GROUP BY doc_id
 """)
 def op12_line_dedup(spark, folder):
     return lines.line_digest(table(spark, folder, "documents"))
+
+
+@C.add("op13_tokenizer_alignment")
+def op13_tokenizer_alignment(spark, folder):
+    return alignment.alignment_digest(table(spark, folder, "documents"), BYTE_LEVEL, PIECES)
