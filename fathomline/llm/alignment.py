@@ -23,8 +23,8 @@ from fathomline.session import scratch_folder, settle
 
 # Bytes of text whose tokens a task holds at a time, a longer text alone.
 SLICE = 1 << 20
-# Windows a worker process remembers, and the most tokens of one that is worth it.
-MOST_KEPT, MOST_TOKENS = 60_000, 48
+# Windows that a worker process remembers in each of two generations, and the most tokens of one that is worth it.
+MOST_KEPT, MOST_TOKENS = 150_000, 48
 # Id pairs that a task counts before it hands them on, and those of one block of the counted table.
 HELD, BLOCK = 1_000_000, 4_000_000
 # A longer run of white space is more than the quick encoder's pattern can take.
@@ -94,23 +94,28 @@ class Pieces:
         return self.model.encode(text)
 
 
-def align_window(a: tuple[int, ...], b: tuple[int, ...], a_size: list[int], b_size: list[int]) -> tuple[str, int, list[tuple[int, int]]]:
-    """Groups as text, their number, and the pairs of ids whose bytes overlap, of two id tuples over the same bytes."""
-    links, groups = [], []
+def align_window(a: list[int], b: list[int], sizes: tuple[list[int], list[int]], shown: tuple[list[str], list[str]]) -> tuple[str, list[int], list[int]]:
+    """Groups as text, and both ids of every link, of the ids of both tokenizers over the same bytes."""
+    (a_size, b_size), (a_shown, b_shown) = sizes, shown
+    left, right, groups = [], [], []
     i = j = a_from = b_from = 0
     a_end, b_end = a_size[a[0]], b_size[b[0]]
     while True:
-        links.append((a[i], b[j]))
-        step_a, step_b = a_end <= b_end, b_end <= a_end
-        i, j = i + step_a, j + step_b
-        if step_a and step_b:
-            groups.append(f"{','.join(map(str, a[a_from:i]))}|{','.join(map(str, b[b_from:j]))}")
+        left.append(a[i])
+        right.append(b[j])
+        if a_end < b_end:
+            i += 1
+            a_end += a_size[a[i]]
+        elif b_end < a_end:
+            j += 1
+            b_end += b_size[b[j]]
+        else:
+            i, j = i + 1, j + 1
+            groups.append(f"{','.join([a_shown[k] for k in a[a_from:i]])}|{','.join([b_shown[k] for k in b[b_from:j]])}")
             if i == len(a):
-                return ";".join(groups), len(groups), links
+                return ";".join(groups), left, right
             a_from, b_from = i, j
-        if step_a:
             a_end += a_size[a[i]]
-        if step_b:
             b_end += b_size[b[j]]
 
 
@@ -122,13 +127,21 @@ class Aligner:
         self.a, self.b = ByteLevel(a_path), Pieces(b_path)
         self.a_size, self.b_size = ([len(x) for x in t.bytes] for t in (self.a, self.b))
         self.width = len(self.b.bytes)
-        self.known: dict[tuple, tuple[str, int, np.ndarray]] = {}
-
-    def _window(self, key: tuple) -> tuple[str, int, np.ndarray]:
-        text, n, links = align_window(*key, self.a_size, self.b_size)
-        out = text, n, np.array([x * self.width + y for x, y in links], np.int64)
-        if len(key[0]) + len(key[1]) <= MOST_TOKENS:
+        self.sizes = self.a_size, self.b_size
+        self.shown = tuple([str(i) for i in range(len(t.bytes))] for t in (self.a, self.b))
+        self.known: dict[bytes, tuple[bytes, bytes]] = {}
+        self.older: dict[bytes, tuple[bytes, bytes]] = {}
+
+    def _window(self, key: bytes, cut: int) -> tuple[bytes, bytes]:
+        """Groups as text and packed links of a window, from the older generation or made anew; B's ids begin at byte ``cut``."""
+        out = self.older.get(key)
+        if out is None:
+            a, b = np.frombuffer(key[:cut], np.int32), np.frombuffer(key[cut:], np.int32) - len(self.a.bytes)
+            text, left, right = align_window(a.tolist(), b.tolist(), self.sizes, self.shown)
+            out = text.encode(), (np.array(left, np.int64) * self.width + np.array(right, np.int64)).tobytes()
+        if len(key) <= 4 * MOST_TOKENS:
             if len(self.known) >= MOST_KEPT:
+                self.older = self.known.copy()
                 self.known.clear()
             self.known[key] = out
         return out
@@ -150,7 +163,7 @@ class Aligner:
         """
         found = [self._tokens(t) for t in texts]
         own = [f for f in found if f]
-        empty = 0, 0, 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int64)
+        empty = 0, 0, 0, 0, b"", np.zeros(0, np.int64), np.zeros(0, np.int64)
         if not own:
             return [empty] * len(texts)
         a, b = (np.concatenate([f[k] for f in own]) for k in (0, 1))
@@ -158,12 +171,13 @@ class Aligner:
         a_end, b_end = np.cumsum(np.array(self.a_size)[a]), np.cumsum(np.array(self.b_size)[b])
         shared, a_at, b_at = np.intersect1d(a_end, b_end, assume_unique=True, return_indices=True)
         cut = np.append(data[shared[:-1]] == 0x20, True)
-        anchors, a_cut, b_cut = shared[cut], (a_at[cut] + 1).tolist(), (b_at[cut] + 1).tolist()
-        a_list, b_list, known = a.tolist(), b.tolist(), self.known
+        anchors, a_cut, b_cut = shared[cut], (4 * (a_at[cut] + 1)).tolist(), (4 * (b_at[cut] + 1)).tolist()
+        # A window's key is its ids as bytes; those of B come after all of A's numbers.
+        a_ids, b_ids, known = a.tobytes(), (b + np.int32(len(self.a.bytes))).tobytes(), self.known
         windows, i, j = [], 0, 0
         for x, y in zip(a_cut, b_cut):
-            key = tuple(a_list[i:x]), tuple(b_list[j:y])
-            windows.append(known.get(key) or self._window(key))
+            key = a_ids[i:x] + b_ids[j:y]
+            windows.append(known.get(key) or self._window(key, x - i))
             i, j = x, y
         ends = np.searchsorted(anchors, np.cumsum([len(f[2]) for f in own])) + 1
         out, low, k = [], 0, 0
@@ -172,9 +186,10 @@ class Aligner:
                 out.append(empty)
                 continue
             part, low, k = windows[low:ends[k]], int(ends[k]), k + 1
-            links = np.concatenate([w[2] for w in part])
+            links = np.frombuffer(b"".join([w[1] for w in part]), np.int64)
             pairs, times = np.unique(links, return_counts=True)
-            out.append((len(f[0]), len(f[1]), sum(w[1] for w in part), len(links), ";".join([w[0] for w in part]), pairs, times))
+            groups = b";".join([w[0] for w in part])
+            out.append((len(f[0]), len(f[1]), groups.count(b";") + 1, len(links), groups, pairs, times))
         return out
 
 
@@ -227,7 +242,7 @@ def align_tokens(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
             inner = pa.StructArray.from_arrays([pa.array(x.astype(np.int32)) for x in (keys // width, keys % width, times)], fields=list(pair))
             offsets = pa.array(np.cumsum([0, *(len(f[5]) for f in found)]), pa.int32())
             counts = [pa.array([f[k] for f in found], pa.int64()) for k in range(4)]
-            groups = pa.array([f[4] for f in found], pa.string())
+            groups = pa.array([f[4].decode() for f in found], pa.string())
             yield pa.RecordBatch.from_arrays(
                 [ids, *counts, groups, pa.ListArray.from_arrays(offsets, inner)],
                 names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups", "pairs"],
@@ -240,7 +255,7 @@ def _packed(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """As ``align_tokens``, with the digest of the groups, and the pairs as packed numbers (A id times B's vocabulary plus B id)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, found in _parts(batches, a_path, b_path):
-            digests = [hashlib.sha256(f[4].encode()).hexdigest() if f[4] else "" for f in found]
+            digests = [hashlib.sha256(f[4]).hexdigest() if f[4] else "" for f in found]
             packed = [f[5].astype("<u8").tobytes() for f in found], [f[6].astype("<u4").tobytes() for f in found]
             yield _batch([ids, *([f[k] for f in found] for k in range(4)), digests, *packed], _PACKED)
 
