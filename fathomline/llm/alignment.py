@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from fathomline.llm.columns import batch
 from fathomline.llm.storage import opened
 from fathomline.llm.words import slices
 from fathomline.session import scratch_folder, settle
@@ -208,12 +209,6 @@ _COUNTS = "doc_id long, n_a long, n_b long, n_groups long, n_links long"
 _PACKED = f"{_COUNTS}, groups_sha256 string, pairs binary, times binary"
 
 
-def _batch(columns: list, ddl: str) -> pa.RecordBatch:
-    kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
-    fields = [x.split() for x in ddl.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields)], names=[n for n, _ in fields])
-
-
 def _parts(batches: Iterator[pa.RecordBatch], a_path: str, b_path: str) -> Iterator[tuple[pa.Array, list[tuple]]]:
     own = aligner(a_path, b_path)
     for b in batches:
@@ -257,7 +252,7 @@ def _packed(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
         for ids, found in _parts(batches, a_path, b_path):
             digests = [hashlib.sha256(f[4]).hexdigest() if f[4] else "" for f in found]
             packed = [f[5].astype("<u8").tobytes() for f in found], [f[6].astype("<u4").tobytes() for f in found]
-            yield _batch([ids, *([f[k] for f in found] for k in range(4)), digests, *packed], _PACKED)
+            yield batch([ids, *([f[k] for f in found] for k in range(4)), digests, *packed], _PACKED)
 
     return _documents(docs).mapInArrow(run, _PACKED)
 
@@ -277,10 +272,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.bincount(back, weights=np.concatenate((counts, n)), minlength=len(merged)).astype(np.int64)
         keys = merged
         if len(keys) > HELD:
-            yield _batch([keys.astype(np.int64), counts], "pair long, count long")
+            yield batch([keys.astype(np.int64), counts], "pair long, count long")
             keys, counts = keys[:0], counts[:0]
     if len(keys):
-        yield _batch([keys.astype(np.int64), counts], "pair long, count long")
+        yield batch([keys.astype(np.int64), counts], "pair long, count long")
 
 
 def count_pairs(packed: DataFrame, width: int) -> DataFrame:
@@ -348,6 +343,6 @@ def alignment_digest(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
             times = _flat(b.column("times"), "<u4")[0].astype(np.int64)
             count, best = table.look_up(keys)
             sums = [np.diff(np.concatenate(([0], np.cumsum(x)))[offsets]) for x in (times * best, times * count)]
-            yield _batch([*(b.column(c) for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links")), *sums, b.column("groups_sha256")], DIGEST)
+            yield batch([*(b.column(c) for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links")), *sums, b.column("groups_sha256")], DIGEST)
 
     return packed.mapInArrow(run, DIGEST)

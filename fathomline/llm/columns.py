@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StructField, StructType
 
@@ -18,3 +19,12 @@ def disguised(df: DataFrame, *more: str) -> DataFrame:
 
 def undisguised(names: list[str]) -> list[Column]:
     return [F.col(f"own_{k}").alias(c) for k, c in enumerate(names)]
+
+
+_KINDS = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_()}
+
+
+def batch(columns: list, ddl: str) -> pa.RecordBatch:
+    """A batch with the names and types of a DDL text of plain types."""
+    fields = [x.split() for x in ddl.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, _KINDS[k]) for c, (_, k) in zip(columns, fields)], names=[n for n, _ in fields])

@@ -17,7 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fathomline.llm.columns import disguised, undisguised
+from fathomline.llm.columns import batch, disguised, undisguised
 from fathomline.llm.words import slices
 from fathomline.session import settle
 
@@ -33,12 +33,6 @@ BITMAPS = "doc long, row long, n_lines long, n_dropped long, keep binary"
 DROP, OPEN, FIRST = 0, 1, 2
 
 
-def _batch(columns: list, ddl: str) -> pa.RecordBatch:
-    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string()}
-    fields = [x.split() for x in ddl.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields)], names=[n for n, _ in fields])
-
-
 def _identity() -> list[Column]:
     """What tells a row's text: its id, and a hash for rows that share the id."""
     return [F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("row")]
@@ -76,7 +70,7 @@ def keyed_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
                 if hashes:
                     lanes = np.frombuffer(b"".join(hashes), np.int64).reshape(-1, 2)
                     owner = np.array(owner)
-                    yield _batch([
+                    yield batch([
                         lanes[:, 0], lanes[:, 1], np.array(docs_of, np.int64)[owner], np.array(rows_of, np.int64)[owner],
                         np.array(places, np.int32), np.array(of, np.int32)[owner],
                     ], KEYED)
@@ -96,7 +90,7 @@ def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new = np.ones(len(doc), bool)
         new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
         if last is None:
-            yield _batch([[h1[0]], [h2[0]], [doc[0]], [0], [0], [0], [FIRST]], MARKED)
+            yield batch([[h1[0]], [h2[0]], [doc[0]], [0], [0], [0], [FIRST]], MARKED)
         else:
             new[0] = (h1[0], h2[0]) != last[:2]
         begun = np.maximum.accumulate(np.where(new, np.arange(len(doc)), -1))
@@ -111,9 +105,9 @@ def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found[:cut] = True
         at = np.flatnonzero(found)
         if len(at):
-            yield _batch([*(c[at] for c in columns), np.where(at < cut, OPEN, DROP)], MARKED)
+            yield batch([*(c[at] for c in columns), np.where(at < cut, OPEN, DROP)], MARKED)
     if last is not None:
-        yield _batch([[last[0]], [last[1]], [last[2]], [0], [0], [0], [FIRST]], MARKED)
+        yield batch([[last[0]], [last[1]], [last[2]], [0], [0], [0], [FIRST]], MARKED)
 
 
 def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,7 +118,7 @@ def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bits[places.values.to_numpy(zero_copy_only=False)] = False
             keep.append(zlib.compress(np.packbits(bits).tobytes(), 6))
             dropped.append(len(places))
-        yield _batch([b.column("doc"), b.column("row"), b.column("n_lines"), dropped, keep], BITMAPS)
+        yield batch([b.column("doc"), b.column("row"), b.column("n_lines"), dropped, keep], BITMAPS)
 
 
 def kept_bits(keep: bytes, n_lines: int) -> np.ndarray:
@@ -182,7 +176,7 @@ def line_digest(docs: DataFrame, least: int = LEAST) -> DataFrame:
                 left, n, gone = _kept(text, keep)
                 for column, value in zip(out, (n, gone, hashlib.sha256(left).hexdigest())):
                     column.append(value)
-            yield _batch([b.column("doc_id"), *out], DIGEST)
+            yield batch([b.column("doc_id"), *out], DIGEST)
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return _with_bitmaps(own, docs, least).select("doc_id", "text", "keep").mapInArrow(run, DIGEST)

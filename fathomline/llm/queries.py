@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fathomline.catalog.base import Catalog, table
-from fathomline.llm import alignment, benchmark, chats, jaccard, lines, pages, pieces, quality, separators, substrings, url_filters, warc
+from fathomline.llm import alignment, benchmark, chats, jaccard, lines, pages, pieces, quality, repair, separators, substrings, url_filters, warc
 
 C = Catalog()
 
@@ -146,6 +146,12 @@ def op10_benchmark_decontamination(spark, folder):
     return benchmark.digest(hits)
 
 
+@C.add("op11_structure_repair")
+def op11_structure_repair(spark, folder):
+    turns = table(spark, folder, "conversations")
+    return repair.repair_digest(repair.damaged(turns), turns)
+
+
 @C.add("op12_line_dedup", r"""
 WITH lines AS (
   SELECT doc_id, k, line, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key

@@ -63,7 +63,7 @@ def test_a_hash_over_many_partitions():
     import pyarrow as pa
 
     def part(rows):
-        return [lines._batch(list(zip(*rows[at:at + 2])), lines.KEYED) for at in range(0, len(rows), 2)]
+        return [lines.batch(list(zip(*rows[at:at + 2])), lines.KEYED) for at in range(0, len(rows), 2)]
 
     def marks(rows):
         return [tuple(r.values()) for b in lines._stream(iter(part(rows))) for r in pa.Table.from_batches([b]).to_pylist()]
