@@ -90,7 +90,18 @@ def _(s, d):
     return neighbours.leave_one_out(votes, e, key="vec_id", label="label")[1]
 
 
-@C.add("random_analogs")
+def _draw_sql(column: str, salt: int) -> str:
+    return f"CAST('0x' || substr(md5(concat_ws(':', {column}, '{42 + salt}')), 1, 15) AS BIGINT)"
+
+
+@C.add("random_analogs", f"""WITH n AS (SELECT count(*) AS n FROM embeddings),
+       s AS (SELECT i, list_filter(range(greatest(1, n * (2 * i + 1) // 128), greatest(1, n * (2 * i + 1) // 128) + 200), lambda s: gcd(s, n) = 1)[1] AS step
+         FROM n, range(64) t(i)),
+       p AS (SELECT vec_id AS item_id, row_number() OVER (ORDER BY {_draw_sql("vec_id", 0)}, vec_id) - 1 AS place FROM embeddings),
+       d AS (SELECT vec_id AS query_id, j, ({_draw_sql("vec_id", 2)} % n + j * step) % n AS place
+         FROM embeddings, n, range(6) t(j) JOIN s ON s.i = {_draw_sql("vec_id", 1)} % 64)
+       SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY j) - 1 AS rank
+       FROM d JOIN p USING (place) WHERE query_id <> item_id QUALIFY rank < 5""")
 def _(s, d):
     e = table(s, d, "embeddings")
     return neighbours.random_analogs(e, e, key="vec_id", k=5)

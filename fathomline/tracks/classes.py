@@ -9,6 +9,7 @@ from fathomline.functions import values as V
 from fathomline.functions.geo import great_circle_km
 from fathomline.operators.ordered import needs_blocks, over_rows, position
 from fathomline.tracks.neighbours import scan_top
+from fathomline.tracks.pruned import Cells, Space, ball_bound
 from fathomline.tracks.paths import CENTRE
 
 # Distances in km, meridians and parallels the classes are cut at.
@@ -187,7 +188,8 @@ def rule_similarity(
     # The farthest candidate of a query scales its feature distances.
     asked, known = slim(queries), slim(items)
     row_bytes = 8 * (known.agg(F.max(F.size("vector"))).first()[0] or 1) + 64
-    reach = scan_top(asked, known, key=key, columns=["vector"], kernel=far, k=1, row_bytes=row_bytes).select(
+    outward = Space(lambda d, rows, cells: -(d + cells.high) * (1 + 1e-6) - 1e-6)
+    reach = scan_top(asked, known, key=key, columns=["vector"], at="vector", space=outward, kernel=far, k=1, row_bytes=row_bytes).select(
         F.col("query_id").alias(key), (-F.col("distance")).alias("reach")
     )
 
@@ -200,7 +202,10 @@ def rule_similarity(
             + w["intensity"] * wind_gap
         )
 
+    def least(d: np.ndarray, rows: dict, cells: Cells) -> np.ndarray:
+        return w["feature"] * ball_bound(d, rows, cells) / (rows["reach"][:, None] + 1e-8)
+
     return scan_top(
-        asked.join(reach, key), known, key=key, columns=["vector", "cls", "wind"], kernel=mixed, k=k,
-        row_bytes=row_bytes,
+        asked.join(reach, key), known, key=key, columns=["vector", "cls", "wind"], at="vector",
+        space=Space(least, ("reach",)), kernel=mixed, k=k, row_bytes=row_bytes,
     )

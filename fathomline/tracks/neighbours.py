@@ -11,8 +11,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fathomline.functions import values as V
 from fathomline.operators.aggregate import class_accuracy
+from fathomline.operators.ordered import over_present, position
 from fathomline.operators.rows import top_per_group
 from fathomline.session import BLOCK_BYTES, setting, settle
+from fathomline.tracks.pruned import BALLS, Space, pruned_top
 
 # The damping of a rank, and the weights of the fused methods.
 RANK_DAMPING = 60
@@ -85,25 +87,31 @@ def scan_top(
     columns: list[str],
     kernel: Callable[[dict, dict, int], np.ndarray],
     k: int,
+    at: str,
+    space: Space = BALLS,
     exclude_self: bool = True,
     row_bytes: int = 1024,
 ) -> DataFrame:
-    """(query_id, item_id, distance, rank): the k nearest items of every query.
+    """(query_id, item_id, distance, rank): the k nearest items of every query, cells of items by the vector ``at``.
 
-    Blocks of queries meet blocks of items; each meeting keeps k candidates per query, which then meet in
-    one small shuffle. Ranks start at 0, ties go by item id.
+    ``space`` bounds the kernel's distances from below, so that a query visits only the blocks that may hold one of its
+    nearest items. Ranks start at 0, ties go by item id.
     """
     schema = (
         f"query_id {V.kind(queries, key).simpleString()}, item_id {V.kind(items, key).simpleString()}, distance double"
     )
-    asked = queries.select(V.col(queries, key).alias("_key"), *[V.col(queries, c) for c in queries.columns if c != key])
-    known = items.select(V.col(items, key).alias("_key"), *[V.col(items, c) for c in columns])
+
+    def rows(df: DataFrame, wanted: list[str]) -> DataFrame:
+        return df.select(V.col(df, key).alias("_key"), V.col(df, at).alias("_at"), *[V.col(df, c) for c in wanted])
+
+    known = rows(items, columns)
+    asked = known if queries is items else rows(queries, [c for c in queries.columns if c != key])
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         right = right.sort_values("_key", kind="stable")
         ids, names = right["_key"].to_numpy(), left["_key"].to_numpy()
         it = {c: _stack(right[c]) for c in columns}
-        q = {"ids": names, **{c: _stack(left[c]) for c in left.columns if c not in ("_key", "_qb", "_ib")}}
+        q = {"ids": names, **{c: _stack(left[c]) for c in left.columns if not c.startswith("_")}}
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         deep = max([v.shape[1] for v in it.values() if v.ndim > 1], default=1)
         step = max(1, _CELLS // max(1, len(ids) * deep))
@@ -117,18 +125,14 @@ def scan_top(
             # The items are in id order and the sort is stable, so ties go by id.
             near = np.argsort(d, axis=1, kind="stable")[:, :k]
             d = np.take_along_axis(d, near, 1)
-            rows, cols = np.nonzero(np.isfinite(d))
-            found.append((mine["ids"][rows], ids[near[rows, cols]], d[rows, cols]))
+            at_query, at_item = np.nonzero(np.isfinite(d))
+            found.append((mine["ids"][at_query], ids[near[at_query, at_item]], d[at_query, at_item]))
         if not found:
             return plain_frame({"query_id": names[:0], "item_id": ids[:0], "distance": np.zeros(0)})
         one, other, far = (np.concatenate(x) for x in zip(*found))
         return plain_frame({"query_id": one, "item_id": other, "distance": far})
 
-    found = block_pairs(
-        asked, known, query_by=[F.col("_key")], item_by=[F.col("_key")], kernel=meet, schema=schema, row_bytes=row_bytes
-    )
-    ranked = top_per_group(found, k=k, group_by="query_id", order_by="distance,item_id", output="rank")
-    return ranked.withColumn("rank", F.col("rank") - 1)
+    return pruned_top(asked, known, k=k, kernel=meet, schema=schema, space=space, row_bytes=row_bytes)
 
 
 def nearest(
@@ -144,7 +148,7 @@ def nearest(
     # One pass over the queries alone tells how wide a vector is.
     wide = asked.agg(F.max(F.size("vector"))).first()[0] or 1
     found = scan_top(
-        asked, asked if queries is items else plain(items), key=key, columns=["vector"],
+        asked, asked if queries is items else plain(items), key=key, columns=["vector"], at="vector",
         kernel=euclid, k=k, exclude_self=exclude_self, row_bytes=8 * wide + 16 * k,
     )
     farthest = F.max("distance").over(Window.partitionBy("query_id"))
@@ -172,38 +176,82 @@ def standardise(df: DataFrame, *, columns, weights: list[float] | None = None,
 
 def random_analogs(queries: DataFrame, items: DataFrame, *, key: str, k: int = 5,
                    seed: int = 42) -> DataFrame:
-    """The baseline: k others per query in an order drawn by hashing."""
+    """The baseline: k others per query, drawn without replacement.
 
-    def hashed(q: dict, it: dict, _k: int) -> np.ndarray:
-        mixed = (q["draw"][:, None] ^ it["draw"][None, :]).astype(np.uint64)
-        # A fixed 64-bit mix makes every pair's draw its own.
-        mixed = (mixed ^ (mixed >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-        mixed = (mixed ^ (mixed >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-        return (mixed >> np.uint64(11)).astype(float) / 2.0**53
+    Items get dense positions in the order of their hash. A query draws k + 1 distinct positions: its own hash
+    is the start and an odd-stepped walk over the positions the order, so n times k rows exist in all. Items of a repeated
+    key are drawn as one.
+    """
+    def drawn(column: str, salt: int) -> Column:
+        return F.conv(F.substring(F.md5(F.concat_ws(":", F.col(column).cast("string"), F.lit(str(seed + salt))).cast("binary")), 1, 15), 16, 10).cast("long")
+
+    known = settle(items.select(V.col(items, key).alias("item_id")).where("item_id is not null").distinct())
+    n = known.count()
+    placed = settle(position(known.withColumn("_h", drawn("item_id", 0)), "_at", group_by=[], order_by="_h,item_id"))
+    asked = queries.select(V.col(queries, key).alias("query_id")).where("query_id is not null").distinct()
+    steps = _coprime(max(1, n))
+    step = F.element_at(F.array(*[F.lit(s).cast("long") for s in steps]), (drawn("query_id", 1) % len(steps)).cast("int") + 1)
+    start = drawn("query_id", 2) % max(1, n)
+    draws = asked.withColumns({"_start": start, "_step": step}).withColumn(
+        "_draw", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(min(k, max(0, n - 1))).cast("long")))
+    )
+    at = draws.withColumn("_at", F.pmod(F.col("_start") + F.col("_draw") * F.col("_step"), F.lit(max(1, n))) + 1)
+    pairs = at.join(placed.select("item_id", "_at"), "_at").where("query_id <> item_id")
+    ranked = top_per_group(pairs.select("query_id", "item_id", "_draw"), k=k, group_by="query_id", order_by="_draw", output="rank")
+    return ranked.select("query_id", "item_id", (F.col("rank") - 1).alias("rank"))
 
-    def drawn(df: DataFrame) -> DataFrame:
-        c = V.col(df, key)
-        return df.select(c, F.xxhash64(c, F.lit(seed)).alias("draw"))
 
-    return scan_top(drawn(queries), drawn(items), key=key, columns=["draw"], kernel=hashed, k=k,
-                    row_bytes=32 + 16 * k)
+def _coprime(n: int) -> list[int]:
+    """Sixty-four steps spread over 1..n that share no divisor with it: a walk by one visits every position before the first again."""
+    found: list[int] = []
+    for i in range(64):
+        s = max(1, n * (2 * i + 1) // 128)
+        while math.gcd(s, n) != 1:
+            s += 1
+        found.append(s)
+    return found
 
 
 def difference_ranks(
     queries: DataFrame, items: DataFrame, *, key: str, value: str, k: int
 ) -> DataFrame:
-    """Items by how near their value is to the query's; items without one come last."""
-
-    def gap(q: dict, it: dict, _k: int) -> np.ndarray:
-        d = np.abs(q["v"][:, None].astype(float) - it["v"][None, :].astype(float))
-        return np.where(np.isnan(d), 1e300, d)
+    """Items by how near their value is to the query's; items without one come last.
 
+    Items and queries are laid out once by value; the k + 1 items before a query and the k + 1 behind it hold its
+    nearest ones, up to ties with the farthest of them, which the items of these values add. Items without a
+    value are wanted only where there are too few others, so the first k + 1 of them by id do.
+    """
     def slim(df: DataFrame) -> DataFrame:
-        return df.select(V.col(df, key), V.number(df, value).alias("v"))
-
-    asked = slim(queries).where(F.col("v").isNotNull())
-    return scan_top(asked, slim(items), key=key, columns=["v"], kernel=gap, k=k,
-                    row_bytes=32 + 16 * k)
+        return df.select(V.col(df, key).alias("_key"), V.number(df, value).alias("v"))
+
+    known, asked = settle(slim(items)), slim(queries).where(F.col("v").isNotNull())
+    # Of the items of one value only the first k + 1 by id can be among a query's k nearest.
+    values = top_per_group(known.where(F.col("v").isNotNull()), k=k + 1, group_by="v", order_by="_key", output="_n")
+    held = values.groupBy("v").agg(F.array_sort(F.collect_list("_key")).alias("keys"))
+    # A value and the wanted ones; both tables meet in the order of values.
+    points = asked.select("v").distinct().withColumn("asks", F.lit(True)).join(held, "v", "full").withColumn("here", F.col("keys").isNotNull())
+    slot = F.when(F.col("here"), F.struct("v", "keys"))
+    points = points.withColumn("slot", slot)
+    near = over_present(
+        points, F.col("slot"), lambda w: {"before": F.collect_list("slot").over(w)}, window=k + 1, group_by=[], order_by="v"
+    )
+    behind = over_present(
+        near.withColumn("_down", -F.col("v")), F.col("slot"), lambda w: {"after": F.collect_list("slot").over(w)},
+        window=k + 2, group_by=[], order_by="_down",
+    )
+    around = behind.where("asks").select("v", F.explode(F.array_distinct(F.concat("before", "after"))).alias("s"))
+    listed = around.select("v", F.explode("s.keys").alias("item_id"), F.col("s.v").alias("w"))
+    # A value's own list is cut to what any query of it can use, itself left out later.
+    best = top_per_group(
+        listed.withColumn("_d", F.abs(F.col("v") - F.col("w"))), k=k + 1, group_by="v", order_by="_d,item_id", output="_n"
+    ).select("v", "item_id", "_d")
+    blank = top_per_group(known.where(F.col("v").isNull()).withColumn("_all", F.lit(0)), k=k + 1, group_by="_all", order_by="_key", output="_n")
+    pairs = asked.withColumnRenamed("_key", "query_id").join(best, "v").select("query_id", "item_id", "_d")
+    # At most k + 1 rows.
+    spare = asked.select(F.col("_key").alias("query_id")).join(F.broadcast(blank.select(F.col("_key").alias("item_id"))))
+    both = pairs.unionByName(spare.withColumn("_d", F.lit(1e300))).where("query_id <> item_id")
+    ranked = top_per_group(both, k=k, group_by="query_id", order_by="_d,item_id", output="rank")
+    return ranked.select("query_id", "item_id", F.col("_d").alias("distance"), (F.col("rank") - 1).alias("rank"))
 
 
 def fuse_ranks(
@@ -238,14 +286,20 @@ def pool_size(items: int, k: int, factor: int) -> int:
 
 def rule_ranks(queries: DataFrame, items: DataFrame, *, key: str, label: str, k: int) -> DataFrame:
     """Items of the query's class first, the others after them, each in id order."""
-    classes = [r[0] for r in queries.select(V.col(queries, label)).distinct().collect()]
-    each = items.select(V.col(items, key).alias("_id"), V.col(items, label).alias("_label")).withColumn(
-        "_class", F.explode(F.array(*[F.lit(c) for c in classes]))
-    )
-    each = each.withColumn("_other", (~F.col("_label").eqNullSafe(F.col("_class"))).cast("int"))
-    # One more than k, since a query itself may stand among its class.
-    listed = top_per_group(each, k=k + 1, group_by="_class", order_by="_other,_id", output="_order")
+    each = items.select(V.col(items, key).alias("_id"), V.col(items, label).alias("_label"))
     asked = queries.select(V.col(queries, key).alias("query_id"), V.col(queries, label).alias("_c"))
+    # One more than k, since a query itself may stand among its class.
+    own = top_per_group(each, k=k + 1, group_by="_label", order_by="_id", output="_order")
+    # The first k + 1 by id of other classes are among the first k + 1 of all classes but one, hence among
+    # the 2k + 2 first when of each class only k + 1 are listed.
+    first = top_per_group(own.withColumn("_all", F.lit(0)), k=2 * k + 2, group_by="_all", order_by="_id", output="_place")
+    wanted = asked.select("_c").distinct()
+    # At most 2k + 2 rows meet every class.
+    others = wanted.join(F.broadcast(first.select("_id", "_label"))).where(~F.col("_c").eqNullSafe(F.col("_label")))
+    listed = own.select(F.col("_label").alias("_class"), "_id", F.lit(0).alias("_other")).unionByName(
+        others.select(F.col("_c").alias("_class"), "_id", F.lit(1).alias("_other"))
+    )
+    listed = top_per_group(listed, k=k + 1, group_by="_class", order_by="_other,_id", output="_order")
     pairs = asked.join(listed, F.col("_c").eqNullSafe(F.col("_class"))).where(
         F.col("query_id") != F.col("_id")
     )

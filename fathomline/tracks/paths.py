@@ -14,7 +14,9 @@ from fathomline.functions.geo import great_circle_km, polar, similarity
 from fathomline.operators.aggregate import circular_mean
 from fathomline.operators.ordered import needs_blocks, over_rows, position
 from fathomline.operators.rows import top_per_group
+from fathomline.session import settle
 from fathomline.tracks.neighbours import block_pairs, plain_frame
+from fathomline.tracks.pruned import BOXES, pruned_top
 
 # The reference point, km per degree there, and the island's outline.
 CENTRE = (23.7, 121.0)
@@ -200,12 +202,22 @@ def path_distance(
 ) -> DataFrame:
     """Symmetric mean nearest-point distance of tracks, the k nearest per query.
 
-    Blocks of query lines meet blocks of tracks on the executors. Where no track is hot,
-    a meeting sees whole tracks and keeps the k best per query. A hot track is spread
-    over blocks: each emits the sum of its own points' distances and the least distance
-    to every query point, and an aggregation puts them together.
+    Where no track is hot, a track is one row, cells are cut by the middle of a track's box, and a query visits only the
+    blocks whose boxes lie near enough (``pruned_top``); within a block a raster of distances bounds every pair before
+    any is measured. A hot track is spread over blocks: each emits the sum of its own points' distances
+    and the least distance to every query point, and an aggregation puts them together.
     """
     hot = needs_blocks(tracks, [track], blocks)
+    kinds = f"query_id {V.kind(queries, track).simpleString()}, item_id {V.kind(tracks, track).simpleString()}"
+    if not hot:
+        known = settle(track_lines(tracks, track=track, order_by=order_by, x=x, y=y))
+        asked = known if tracks is queries else track_lines(queries, track=track, order_by=order_by, x=x, y=y)
+        length = known.agg(F.avg(F.size("_x"))).first()[0] or 1
+        found = pruned_top(
+            asked, known, k=k, kernel=lambda left, right: _raster_top(left, right, k, exclude_self),
+            schema=f"{kinds}, distance double", space=BOXES, row_bytes=64 + 16 * int(length),
+        )
+        return found.withColumn("score", similarity(F.col("distance")))
 
     def segments(df: DataFrame) -> DataFrame:
         slim = df.select(
@@ -223,7 +235,6 @@ def path_distance(
             F.coalesce("_ny", "_y").alias("_ny"),
         )
 
-    kinds = f"query_id {V.kind(queries, track).simpleString()}, item_id {V.kind(tracks, track).simpleString()}"
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         left = left.sort_values(track, kind="stable")
         codes, names = pd.factorize(left[track])
@@ -233,27 +244,26 @@ def path_distance(
             "lines": _segments(left[["_x", "_y"]].to_numpy(), left[["_nx", "_ny"]].to_numpy()),
             "heads": np.flatnonzero(np.r_[True, np.diff(codes) > 0]),
         }
-        run = _spread(held, track, exclude_self) if hot else _whole(held, track, exclude_self, k)
+        run = _spread(held, track, exclude_self)
         made = [x for x in (run(iter([right])) if len(left) and len(right) else ()) if len(x)]
         return plain_frame({n: np.concatenate([x[n].to_numpy() for x in made] or [np.zeros(0, object)]) for n in columns})
 
-    columns = ["query_id", "item_id", *(["point", "value", "n"] if hot else ["distance"])]
+    columns = ["query_id", "item_id", "point", "value", "n"]
     own = F.col(f"`{track}`")
-    # A query's own line stays whole; so do the others, unless one is too long for a task.
+    # A query's own line stays whole; the others are too long for a task.
     found = block_pairs(
-        segments(queries), segments(tracks), query_by=[own], item_by=[own, F.col("_x"), F.col("_y")] if hot else [own],
-        kernel=meet, schema=kinds + (", point int, value double, n bigint" if hot else ", distance double"), row_bytes=80,
+        segments(queries), segments(tracks), query_by=[own], item_by=[own, F.col("_x"), F.col("_y")],
+        kernel=meet, schema=f"{kinds}, point int, value double, n bigint", row_bytes=80,
+    )
+    own = F.col("point") < 0
+    per_point = found.groupBy("query_id", "item_id", "point").agg(
+        F.min("value").alias("least"),
+        (F.sum("value") / F.nullif(F.sum("n"), F.lit(0))).alias("mean"),
+    )
+    found = per_point.groupBy("query_id", "item_id").agg(
+        (0.5 * (F.max(F.when(own, F.col("mean"))) + F.avg(F.when(~own, F.col("least")))))
+        .alias("distance")
     )
-    if hot:
-        own = F.col("point") < 0
-        per_point = found.groupBy("query_id", "item_id", "point").agg(
-            F.min("value").alias("least"),
-            (F.sum("value") / F.nullif(F.sum("n"), F.lit(0))).alias("mean"),
-        )
-        found = per_point.groupBy("query_id", "item_id").agg(
-            (0.5 * (F.max(F.when(own, F.col("mean"))) + F.avg(F.when(~own, F.col("least")))))
-            .alias("distance")
-        )
     ranked = top_per_group(
         found.withColumn("distance", F.round("distance", 9)), k=k, group_by="query_id",
         order_by="distance,item_id", output="rank",
@@ -290,60 +300,136 @@ def _runs(batch: pd.DataFrame, track: str):
     )
 
 
-def _whole(held, track: str, exclude_self: bool, k: int):
-    """Tasks that see whole tracks in sequence: the k best tracks per query."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        q = held
-        names, n = q["names"], len(q["names"])
-        sizes = np.diff(np.r_[q["heads"], len(q["points"])])
-        best, who = np.full((n, 0), np.inf), np.empty((n, 0), dtype=object)
-        open_ = None  # the track that may go on in the next batch
-
-        def take(ids, sums, least, counts):
-            nonlocal best, who
-            back = np.add.reduceat(least, q["heads"], axis=0) / sizes[:, None]
-            d = np.round(0.5 * ((sums / counts[:, None]).T + back), 9)
+def track_lines(df: DataFrame, *, track: str, order_by, x: str = "x", y: str = "y") -> DataFrame:
+    """One row for each track: its points in order, its box, and the middle of the box."""
+    order = F.struct(*[V.col(df, o).alias(f"o{i}") for i, o in enumerate(V.must_order(order_by))])
+    point = F.struct(order.alias("o"), V.number(df, x).alias("x"), V.number(df, y).alias("y"))
+    lines = df.groupBy(V.col(df, track).alias("_key")).agg(F.array_sort(F.collect_list(point)).alias("p"))
+    lines = lines.select("_key", F.col("p.x").alias("_x"), F.col("p.y").alias("_y"))
+    boxed = lines.withColumns({f"_{c}{i}": f(f"_{c}") for c in "xy" for i, f in enumerate((F.array_min, F.array_max))})
+    return boxed.withColumn("_at", F.array(*((F.col(f"_{c}0") + F.col(f"_{c}1")) / 2 for c in "xy")))
+
+
+class _Lines:
+    """Tracks of a block as one run of points."""
+
+    def __init__(self, rows: pd.DataFrame) -> None:
+        rows = rows.sort_values("_key", kind="stable")
+        self.names = rows["_key"].to_numpy(dtype=object)
+        self.sizes = rows["_x"].map(len).to_numpy()
+        self.heads = np.cumsum(self.sizes) - self.sizes
+        self.points = np.column_stack([np.concatenate([np.asarray(v, float) for v in rows[c]]) for c in ("_x", "_y")])
+        after = np.roll(self.points, -1, axis=0)
+        last = self.heads + self.sizes - 1
+        after[last] = self.points[last]
+        self.lines = _segments(self.points, after)
+
+    def __len__(self) -> int:
+        return len(self.names)
+
+    def span(self, low: int, high: int) -> slice:
+        """Points of the tracks from low to high."""
+        return slice(self.heads[low], self.heads[high - 1] + self.sizes[high - 1])
+
+
+class _Raster:
+    """Cells over the points that ask; a distance from a cell's middle is off by no more than the way to the middle."""
+
+    def __init__(self, points: np.ndarray, side: int) -> None:
+        self.low, high = points.min(0), points.max(0)
+        self.side, self.step = side, np.maximum((high - self.low) / side, 1e-9)
+        grid = np.stack(np.meshgrid(np.arange(side), np.arange(side), indexing="ij"), -1).reshape(-1, 2)
+        self.middles = self.low + (grid + 0.5) * self.step
+
+    def cell(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which cell a point is in, and how far from its middle."""
+        at = np.clip(((points - self.low) / self.step).astype(int), 0, self.side - 1)
+        cell = at[:, 0] * self.side + at[:, 1]
+        return cell, np.hypot(*(points - self.middles[cell]).T).astype(np.float32)
+
+    def field(self, own: _Lines, low: int, high: int) -> np.ndarray:
+        """(cells, tracks) distances of the middles to some of the tracks."""
+        span = own.span(low, high)
+        lines = tuple(v[span] for v in own.lines)
+        heads = own.heads[low:high] - own.heads[low]
+        step = max(1, _CELLS // len(lines[0]))
+        return np.sqrt(np.concatenate([
+            np.minimum.reduceat(_squared(self.middles[i:i + step], lines), heads, axis=1).astype(np.float32)
+            for i in range(0, len(self.middles), step)
+        ]))
+
+    def bounds(self, field: np.ndarray, own: _Lines, low: int, high: int) -> np.ndarray:
+        """(tracks of own, tracks of the field) least mean distances of the points of some tracks."""
+        cell, off = self.cell(own.points[own.span(low, high)])
+        heads = own.heads[low:high] - own.heads[low]
+        out, step = [], max(1, _FIELD // max(1, field.shape[1]))
+        at = 0
+        while at < len(heads):
+            to = max(at + 1, int(np.searchsorted(heads, heads[at] + step, "right")) - 1)
+            end = heads[to] if to < len(heads) else len(cell)
+            near = field[cell[heads[at]:end]]
+            near -= off[heads[at]:end, None]
+            np.maximum(near, 0.0, out=near)
+            out.append(np.add.reduceat(near, heads[at:to] - heads[at], axis=0) / own.sizes[low + at:low + to, None])
+            at = to
+        return np.concatenate(out)
+
+
+# Numbers of a raster field held at once.
+_FIELD = 8_000_000
+
+
+def _mean_apart(q: _Lines, i: int, items: _Lines, some: np.ndarray) -> np.ndarray:
+    """Symmetric mean nearest-point distances of one track to some of the items, to nine places."""
+    mine = q.span(i, i + 1)
+    sizes = items.sizes[some]
+    heads = np.cumsum(sizes) - sizes
+    at = np.repeat(items.heads[some] - heads, sizes) + np.arange(sizes.sum())
+    there = np.sqrt(np.minimum.reduceat(_squared(q.points[mine], tuple(v[at] for v in items.lines)), heads, axis=1)).mean(0)
+    back = np.add.reduceat(_nearest(items.points[at], tuple(v[mine] for v in q.lines)), heads) / sizes
+    return np.round(0.5 * (there + back), 9)
+
+
+def _raster_top(left: pd.DataFrame, right: pd.DataFrame, k: int, exclude_self: bool) -> pd.DataFrame:
+    """The k nearest tracks of a block for each query; only pairs whose bound lets them be among these are measured."""
+    if not len(left) or not len(right):
+        return pd.DataFrame({"query_id": [], "item_id": [], "distance": np.zeros(0)})
+    left = left.sort_values("_key", kind="stable")
+    q, items = _Lines(left), _Lines(right)
+    limit = left["_bound"].fillna(np.inf).to_numpy(dtype=float)
+    best = [(np.zeros(0), np.zeros(0, int)) for _ in range(len(q))]
+    # A field may cost a quarter of what measuring all pairs would.
+    to_items, to_queries = (_Raster(own.points, int(np.clip((len(own.points) / 4) ** 0.5, 4, 128))) for own in (q, items))
+    room = max(1, _FIELD // max(len(to_items.middles), len(to_queries.middles)))
+    for low in range(0, len(q), room):
+        high = min(len(q), low + room)
+        from_items = to_queries.field(q, low, high)
+        for a in range(0, len(items), room):
+            z = min(len(items), a + room)
+            bound = to_items.bounds(to_items.field(items, a, z), q, low, high)
+            bound = 0.5 * (bound + to_queries.bounds(from_items, items, a, z).T) - 1e-3
             if exclude_self:
-                d[names[:, None] == ids[None, :]] = np.inf
-            d = np.concatenate([best, d], axis=1)
-            w = np.concatenate([who, np.broadcast_to(ids.astype(object), (n, len(ids)))], axis=1)
-            if d.shape[1] > k:
-                rows = [sorted(range(d.shape[1]), key=lambda j, r=r: (d[r, j], w[r, j]))[:k]
-                        if d.shape[1] <= 4 * k else _first(d[r], w[r], k) for r in range(n)]
-                rows = np.array(rows)
-                d, w = np.take_along_axis(d, rows, 1), np.take_along_axis(w, rows, 1)
-            best, who = d, w
-
-        for batch in batches:
-            if not len(batch):
-                continue
-            ids, a, b, heads, counts = _runs(batch, track)
-            sums, least = _measure(q, a, b, heads)
-            if open_ is not None:
-                name, s, m, c = open_
-                if ids[0] == name:
-                    sums[0] += s
-                    least[:, 0] = np.minimum(least[:, 0], m)
-                    counts[0] += c
-                else:
-                    take(np.asarray([name]), s[None], m[:, None], np.asarray([c]))
-            if len(ids) > 1:
-                take(ids[:-1], sums[:-1], least[:, :-1], counts[:-1])
-            open_ = (ids[-1], sums[-1], least[:, -1], counts[-1])
-        if open_ is not None:
-            take(np.asarray([open_[0]]), open_[1][None], open_[2][:, None], np.asarray([open_[3]]))
-        rows, cols = np.nonzero(np.isfinite(best))
-        yield pd.DataFrame({"query_id": names[rows], "item_id": who[rows, cols], "distance": best[rows, cols]})
-
-    return run
-
-
-def _first(d: np.ndarray, who: np.ndarray, k: int) -> list[int]:
-    """Positions of the k smallest, equal ones by name."""
-    edge = np.partition(d, k - 1)[k - 1]
-    near = np.flatnonzero(d <= edge)
-    return sorted(near, key=lambda j: (d[j], who[j]))[:k]
+                bound[q.names[low:high, None] == items.names[None, a:z]] = np.inf
+            for i in range(low, high):
+                row = bound[i - low]
+                order = np.flatnonzero(np.isfinite(row))
+                order = order[np.argsort(row[order], kind="stable")]
+                for some in (order[:2 * k], order[2 * k:]):
+                    far, who = best[i]
+                    edge = min(limit[i], far[k - 1] if len(far) >= k else np.inf)
+                    some = some[row[some] <= edge + 1e-9]
+                    for c in range(0, len(some), 256):
+                        part = some[c:c + 256] + a
+                        far = np.concatenate([far, _mean_apart(q, i, items, part)])
+                        who = np.concatenate([who, part])
+                        keep = np.lexsort((who, far))[:k]
+                        far, who = far[keep], who[keep]
+                    best[i] = far, who
+    found = [len(w) for _, w in best]
+    return plain_frame({
+        "query_id": np.repeat(q.names, found), "item_id": items.names[np.concatenate([w for _, w in best])],
+        "distance": np.concatenate([d for d, _ in best]),
+    })
 
 
 def _spread(held, track: str, exclude_self: bool):
