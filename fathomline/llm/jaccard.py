@@ -141,11 +141,13 @@ def _scan_tokens(texts: DataFrame, size: int, percent: int) -> DataFrame:
     return texts.select("text").mapInArrow(run, "band byte, token long, c long, n int, m int")
 
 
-def prefix_signatures(band: Band, n: int, m: int, tokens: np.ndarray, times: np.ndarray, percent: int) -> tuple[list[int], list[int]]:
-    """(signatures, places) of one class from its tokens that other classes hold too.
+def prefix_signatures(
+    band: Band, n: int, m: int, tokens: np.ndarray, times: np.ndarray, percent: int
+) -> tuple[list[int], list[int], list[int | None]]:
+    """(signatures, places, signatures before) of one class from its tokens that other classes hold too.
 
     A place is a lower bound for the number of the class's tokens that come before the signature's in the
-    common order, less what combining wastes.
+    common order, less what combining wastes. Before a signature comes another of its kind, at a place no greater.
     """
     first = tokens % np.uint64(band.every) == 0
     order = np.lexsort((tokens, times, ~first))
@@ -153,9 +155,10 @@ def prefix_signatures(band: Band, n: int, m: int, tokens: np.ndarray, times: np.
     alone = m - int(first.sum())
     missing = slack(n, percent) + 1 - alone
     if missing <= 0:
-        return [], []
+        return [], [], []
     kinds = np.where(~first | (times < PAIRS), 1, np.where(times < TRIPLES, 2, 3)).clip(max=band.most)
-    places = np.where(first, alone + np.arange(len(tokens)), m + np.arange(len(tokens)) - int(first.sum()))
+    # Tokens of the first part that only meet in combinations may be common without being met there.
+    places = np.where(first, alone + np.arange(len(tokens)), np.maximum(0, m + np.arange(len(tokens)) - int(first.sum()) - band.waste))
     found: dict[int, list[tuple[int, int]]] = {1: [], 2: [], 3: []}
     for token, kind, place, is_first in zip(tokens.tolist(), kinds.tolist(), places.tolist(), first.tolist()):
         if missing <= 0:
@@ -163,16 +166,19 @@ def prefix_signatures(band: Band, n: int, m: int, tokens: np.ndarray, times: np.
         found[kind].append((token, place))
         if len(found[kind]) >= kind and is_first:  # how many of those behind the first part were dropped is not known
             missing -= 1
-    sigs, at = [], []
+    sigs, at, before = [], [], []
     for kind, own in found.items():
+        last = None
         for group in combinations(own, kind):
-            sigs.append(hash((band.number, kind, *sorted(t for t, _ in group))))
+            before.append(last)
+            last = hash((band.number, kind, *sorted(t for t, _ in group)))
+            sigs.append(last)
             at.append(max(0, group[0][1] - (band.waste if kind > 1 else 0)))
-    return sigs, at
+    return sigs, at, before
 
 
-def _signatures(tokens: DataFrame, percent: int, bands: tuple[Band, ...] = BANDS) -> DataFrame:
-    """sig, c, n and place of the classes, from the tokens that at least two of them hold."""
+def _signatures(tokens: DataFrame, percent: int, bands: tuple[Band, ...] = BANDS, chained: bool = False) -> DataFrame:
+    """sig, c, n and place of the classes, from the tokens that at least two of them hold; where ``chained`` also the signature before."""
     shared = settle(tokens.groupBy("band", "token").agg(F.count("*").cast("int").alias("times")).where("times > 1"))
     held = F.collect_list(F.struct("times", "token")).alias("held")
     grouped = tokens.join(shared, ["band", "token"]).groupBy("c", "band", "n", "m").agg(held)
@@ -183,20 +189,20 @@ def _signatures(tokens: DataFrame, percent: int, bands: tuple[Band, ...] = BANDS
             ends = np.cumsum(lists.value_lengths().to_numpy())
             flat = lists.flatten()
             times, tokens = flat.field(0).to_numpy(), flat.field(1).to_numpy().view(np.uint64)
-            sigs, owner, places, low = [], [], [], 0
+            sigs, owner, places, earlier, low = [], [], [], [], 0
             keys = [b.column(c).to_pylist() for c in ("band", "n", "m")]
             for k, (band, n, m, high) in enumerate(zip(*keys, ends.tolist())):
-                own, at = prefix_signatures(bands[band], n, m, tokens[low:high], times[low:high], percent)
+                own, at, before = prefix_signatures(bands[band], n, m, tokens[low:high], times[low:high], percent)
                 sigs += own
                 places += at
+                earlier += before
                 owner += [k] * len(own)
                 low = high
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(sigs, pa.int64()), b.column("c").take(pa.array(owner, pa.int64())), b.column("n").take(pa.array(owner, pa.int64())), pa.array(places, pa.int32())],
-                names=["sig", "c", "n", "place"],
-            )
+            owner = pa.array(owner, pa.int64())
+            columns = [pa.array(sigs, pa.int64()), b.column("c").take(owner), b.column("n").take(owner), pa.array(places, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns + [pa.array(earlier, pa.int64())] * chained, names=["sig", "c", "n", "place"] + ["before"] * chained)
 
-    return settle(grouped.mapInArrow(run, "sig long, c long, n int, place int"))
+    return settle(grouped.mapInArrow(run, "sig long, c long, n int, place int" + ", before long" * chained))
 
 
 def _finer_signatures(classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -223,7 +229,7 @@ def _finer_signatures(classes: DataFrame, sets: DataFrame, percent: int) -> Data
                 )
 
     tokens = classes.join(sets, "c").select("c", "n", "held").mapInArrow(run, "band byte, token long, c long, n int, m int")
-    return _signatures(tokens, percent, bands)
+    return _signatures(tokens, percent, bands, chained=True)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -336,9 +342,11 @@ def link_classes(docs: DataFrame, members: DataFrame, classes: DataFrame, size:
             # Two crowded classes that are similar share a finer signature, so they need not meet elsewhere.
             flags = crowded.select("c", F.lit(True).alias("settled"))
             others = left.where(F.col("crowd") < CROWDED).drop("crowd").join(flags, "c", "left").withColumn("settled", F.coalesce("settled", F.lit(False)))
-            left = settle(others.unionByName(finer.withColumn("settled", F.lit(False))))
-            right = left.select("sig", *(F.col(x).alias(f"other_{x}") for x in ("c", "n", "place", "label", "settled")))
-            pairs = left.join(right, "sig").where("c < other_c and label <> other_label and not (settled and other_settled)").where(
+            left = settle(others.withColumn("before", F.lit(None).cast("long")).unionByName(finer.withColumn("settled", F.lit(False))))
+            right = left.select("sig", *(F.col(x).alias(f"other_{x}") for x in ("c", "n", "place", "label", "settled", "before")))
+            # Classes with the same signature before this one have met there, at places no greater.
+            new = "not (settled and other_settled) and coalesce(before <> other_before, true)"
+            pairs = left.join(right, "sig").where(f"c < other_c and label <> other_label and {new}").where(
                 _close("n", "other_n", "place", "other_place", percent)
             ).select(F.col("c").alias("a"), F.col("other_c").alias("b"))
         found = _verified(pairs.distinct(), sets, percent)
