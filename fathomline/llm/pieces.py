@@ -20,8 +20,8 @@ from fathomline.llm.words import Words, byte_class, mix, slices
 
 SPACE = "▁"
 THREADS = 2
-# Distinct segments whose ids a worker process keeps.
-MOST_KEPT = 1_000_000
+# Bytes of text encoded at a time, a longer text alone; segments learnt at a time, and those a worker process keeps.
+SLICE, LEARNT, MOST_KEPT = 2 << 20, 10_000, 1_000_000
 
 # Kinds of pieces and of models in the model format.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -162,20 +162,27 @@ class Codec:
 
     def __init__(self, data: bytes) -> None:
         import sentencepiece
-        from tokenizers import Tokenizer, decoders, normalizers
+        from tokenizers import decoders, normalizers
 
         model = parse_model(data)
-        self.tokenizer = build_tokenizer(model)
+        self.data, self._tokenizer = data, None
         self.reference = sentencepiece.SentencePieceProcessor(model_proto=data)
         self.prefix = model.dummy_prefix
         self._forget()
         # Texts may be cut at spaces, and each distinct segment encoded once, where nothing but spaces is normalised.
         self.segments = None
         if cuts_at_spaces(model) and not model.charsmap and not model.remove_extra_spaces and not any(k == USER for *_, k in model.pieces):
-            self.segments = Tokenizer.from_str(self.tokenizer.to_str())
+            self.segments = build_tokenizer(model)
             self.segments.normalizer = normalizers.Replace(" ", SPACE)
             self.segments.decoder = decoders.Sequence([decoders.Replace(SPACE, " "), decoders.ByteFallback(), decoders.Fuse()])
 
+    @property
+    def tokenizer(self):
+        """The tokenizer of whole texts, built when it is first asked for."""
+        if self._tokenizer is None:
+            self._tokenizer = build_tokenizer(parse_model(self.data))
+        return self._tokenizer
+
     def _forget(self) -> None:
         """Drop the segments encoded so far: their hashes (ordered), places and numbers of ids, whether they decode, and the ids."""
         self.known, self.base, self.sizes = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -183,12 +190,18 @@ class Codec:
         self.flat = np.zeros(0, np.int32)
 
     def _learn(self, hashes: np.ndarray, texts: list[str]) -> None:
-        found = [e.ids for e in self.segments.encode_batch_fast(texts, add_special_tokens=False)]
-        back = self.segments.decode_batch(found, skip_special_tokens=False)
-        fine = np.fromiter((x == y for x, y in zip(back, texts)), bool, len(texts))
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        flat, sizes, fine = [self.flat], [], []
+        # The library's encodings are far larger than their ids, so only a few are held.
+        for low in range(0, len(texts), LEARNT):
+            part = texts[low:low + LEARNT]
+            found = [e.ids for e in self.segments.encode_batch_fast(part, add_special_tokens=False)]
+            back = self.segments.decode_batch(found, skip_special_tokens=False)
+            fine.append(np.fromiter((x == y for x, y in zip(back, part)), bool, len(part)))
+            sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
+            flat.append(np.fromiter((i for own in found for i in own), np.int32, int(sizes[-1].sum())))
+        sizes, fine = np.concatenate(sizes), np.concatenate(fine)
         base = np.cumsum(sizes) - sizes + len(self.flat)
-        self.flat = np.concatenate((self.flat, np.array([i for own in found for i in own], np.int32)))
+        self.flat = np.concatenate(flat)
         known = np.concatenate((self.known, hashes))
         order = np.argsort(known)
         self.known, self.base, self.sizes = known[order], np.concatenate((self.base, base))[order], np.concatenate((self.sizes, sizes))[order]
@@ -274,7 +287,7 @@ def encode_pieces(docs: DataFrame, model_path: str, *, columns: tuple[str, ...]
         own = codec(model_path, threads)
         for b in batches:
             whole = b.column(len(columns))
-            for low, high in slices(whole):
+            for low, high in slices(whole, SLICE):
                 column = whole.slice(low, high - low).fill_null("")
                 texts = column.to_pylist()
                 ids, offsets, fine = own.encode(column)
@@ -286,6 +299,7 @@ def encode_pieces(docs: DataFrame, model_path: str, *, columns: tuple[str, ...]
                     pa.array(fine), pa.array(same, pa.bool_()),
                 ]
                 yield pa.RecordBatch.from_arrays([*(b.column(k).slice(low, high - low) for k in range(len(columns))), *found], names=names)
+            pa.default_memory_pool().release_unused()
 
     return docs.select(*columns, F.col("text").alias("encoded_text")).mapInArrow(run, schema_of(docs, columns, CODES))
 
