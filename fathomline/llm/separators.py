@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from fathomline.llm.storage import new_file, opened, shared_folder
+from fathomline.llm.storage import new_file, opened, reading_tasks, shared_folder
 from fathomline.llm.words import slices
 from fathomline.session import settle
 
@@ -81,7 +81,9 @@ def scan_blocks(files: DataFrame, *, separator: int = SEPARATOR, dtype: str = DT
     step = block_bytes // width * width
     blocks = files.select(
         "path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("bytes") - 1) / step))).alias("block")
-    ).where("bytes > 0").repartition("path", "block")
+    ).where("bytes > 0")
+    # Each row stands for a block of bytes; the number of tasks is given, as sizes of rows would put all into one.
+    blocks = blocks.repartition(reading_tasks(blocks), "path", "block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

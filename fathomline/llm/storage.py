@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyarrow import fs
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from fathomline.session import scratch_folder
 
@@ -29,3 +29,8 @@ def new_file(folder: str, ending: str):
     system, inner = opened(path)
     system.create_dir(inner.rpartition("/")[0], recursive=True)
     return path, system.open_output_stream(inner)
+
+
+def reading_tasks(ranges: DataFrame, each: int = 4) -> int:
+    """Tasks that read ranges of files: one for every few ranges, at least as many as run at once, at most 100 000."""
+    return int(min(100_000, max(ranges.sparkSession.sparkContext.defaultParallelism, -(-ranges.count() // each))))

@@ -20,7 +20,7 @@ from urllib.parse import quote
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fathomline.llm.storage import new_file, opened, shared_folder
+from fathomline.llm.storage import new_file, opened, reading_tasks, shared_folder
 from fathomline.session import settle
 
 # Payloads of at least so many bytes are stored once.
@@ -267,7 +267,9 @@ def read_packages(packages: DataFrame, *, payloads: bool = True, range_bytes: in
                 columns = [[None] * len(rows) if n == "payload" and not payloads else [x[n] for x in rows] for n in names]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES)], names=names)
 
-    return find_ranges(packages, range_bytes).repartition("path", "start").mapInArrow(run, RECORDS)
+    # The rows of ranges are tiny and the work on them is not, so the number of tasks is given, not left to sizes of rows.
+    ranges = settle(find_ranges(packages, range_bytes))
+    return ranges.repartition(reading_tasks(ranges), "path", "start").mapInArrow(run, RECORDS)
 
 
 def archive_and_read(spark: SparkSession, pages: DataFrame) -> DataFrame:

@@ -604,3 +604,58 @@ def test_pipeline_on_nothing(spark, folder, texts):
         for _, stage in corpus_pipeline.STAGES:
             own = stage(spark, own, folder).cache()
             own.count()
+
+
+def test_a_pair_that_meets_behind_the_first_part_alone():
+    """59 of 64 tokens in common, one of them in the first part and indexed in pairs only; all others there are each set's own."""
+    import numpy as np
+
+    band, both = jaccard.BANDS[1], -(-85 * 128 // 185)
+    common = np.array([400, *(4 * k + 1 for k in range(1000, 1058))], np.uint64)
+    found = []
+    for own in (range(4000, 4020, 4), range(8000, 8020, 4)):
+        tokens = np.concatenate([common, np.array(own, np.uint64)])
+        times = np.array([300, *[2] * 58, *[2] * 5])
+        sigs, places, before = jaccard.prefix_signatures(band, 64, 6, tokens, times, 85)
+        assert len(sigs) == len(places) == len(before) and all(b is None or b in sigs for b in before)
+        found.append({s for s, p in zip(sigs, places) if 64 - p >= both})
+    assert found[0] & found[1]
+
+
+def test_near_copies_around_the_threshold(spark):
+    """Many texts that share most words: more crowded signatures than the limit, and no link lost."""
+    r = random.Random(11)
+    base = [f"w{k}" for k in range(120)]
+    texts = []
+    for _ in range(150):
+        own = list(base)
+        for at in r.sample(range(120), r.choice((2, 3, 4, 5, 6))):
+            own[at] = f"x{r.randrange(10**6)}"
+        texts.append(" ".join(own))
+    sets = [{tuple(t.split()[k:k + 4]) for k in range(117)} for t in texts]
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(sets)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(docs(spark, texts)).collect()}
+    assert got == {k: find(k) for k in range(len(texts))}
+
+
+def test_ranges_are_read_by_many_tasks(spark, tmp_path):
+    """Blocks of files are dealt to a given number of tasks, which adaptive execution leaves alone."""
+    import numpy as np
+
+    path = str(tmp_path / "flat.bin")
+    np.zeros(100_000, np.uint16).tofile(path)
+    files = spark.createDataFrame([(path, 200_000)], "path string, bytes long")
+    blocks = separators.scan_blocks(files, block_bytes=1000)
+    assert blocks.count() == 200 and blocks.rdd.getNumPartitions() >= 50
+    assert "REPARTITION_BY_NUM" in blocks._jdf.queryExecution().toString()
