@@ -21,7 +21,7 @@ from fathomline.llm.words import Words, byte_class, mix, slices
 SPACE = "▁"
 THREADS = 2
 # Bytes of text encoded at a time, a longer text alone; segments learnt at a time, and those a worker process keeps.
-SLICE, LEARNT, MOST_KEPT = 2 << 20, 10_000, 1_000_000
+SLICE, LEARNT, MOST_KEPT = 1 << 19, 5_000, 800_000
 
 # Kinds of pieces and of models in the model format.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -185,7 +185,7 @@ class Codec:
 
     def _forget(self) -> None:
         """Drop the segments encoded so far: their hashes (ordered), places and numbers of ids, whether they decode, and the ids."""
-        self.known, self.base, self.sizes = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.known, self.base, self.sizes = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.fine = np.zeros(0, bool)
         self.flat = np.zeros(0, np.int32)
 
@@ -197,15 +197,15 @@ class Codec:
             found = [e.ids for e in self.segments.encode_batch_fast(part, add_special_tokens=False)]
             back = self.segments.decode_batch(found, skip_special_tokens=False)
             fine.append(np.fromiter((x == y for x, y in zip(back, part)), bool, len(part)))
-            sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
+            sizes.append(np.fromiter(map(len, found), np.int32, len(found)))
             flat.append(np.fromiter((i for own in found for i in own), np.int32, int(sizes[-1].sum())))
         sizes, fine = np.concatenate(sizes), np.concatenate(fine)
-        base = np.cumsum(sizes) - sizes + len(self.flat)
+        base = np.cumsum(sizes, dtype=np.int64) - sizes + len(self.flat)
         self.flat = np.concatenate(flat)
-        known = np.concatenate((self.known, hashes))
-        order = np.argsort(known)
-        self.known, self.base, self.sizes = known[order], np.concatenate((self.base, base))[order], np.concatenate((self.sizes, sizes))[order]
-        self.fine = np.concatenate((self.fine, fine))[order]
+        order = np.argsort(hashes)
+        at = np.searchsorted(self.known, hashes[order])
+        self.known, self.base = np.insert(self.known, at, hashes[order]), np.insert(self.base, at, base[order])
+        self.sizes, self.fine = np.insert(self.sizes, at, sizes[order]), np.insert(self.fine, at, fine[order])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids of all texts, offsets of each text's ids, whether each decodes to its text)."""
@@ -247,7 +247,7 @@ class Codec:
         sizes, base, fine, flat = self.sizes[at], self.base[at], self.fine[at], self.flat
         if len(self.known) > MOST_KEPT:
             self._forget()
-        count = sizes[back]
+        count = sizes[back].astype(np.int64)
         to = np.cumsum(count)
         ids = flat[np.repeat(base[back] - (to - count), count) + np.arange(to[-1] if len(to) else 0)]
         per_text = np.bincount(owner, weights=count, minlength=len(w)).astype(np.int64)
