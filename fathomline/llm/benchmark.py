@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from fathomline.llm.columns import disguised, schema_of, undisguised
+from fathomline.llm.storage import releasing
 from fathomline.llm.words import LETTERS, Words, slices
 
 # Words of items in one automaton; more items make more automata, each with its own pass.
@@ -245,7 +246,7 @@ def _scan(docs: DataFrame, columns: list[str], block: list[tuple[str, str]], win
                     names=[*columns, "n_words", "spans", "items"],
                 )
 
-    return docs.select(*columns, F.col(text).alias("scanned_text")).mapInArrow(run, schema_of(docs, columns, HITS))
+    return docs.select(*columns, F.col(text).alias("scanned_text")).mapInArrow(releasing(run), schema_of(docs, columns, HITS))
 
 
 def _merged(spans: list) -> list[dict]:
@@ -330,7 +331,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, le
                 texts = pa.array(new, pa.string())
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in carried), texts], names=[*carried, "text"])
 
-    done = kept.select(*own.columns, "spans").mapInArrow(cut, own.schema)
+    done = kept.select(*own.columns, "spans").mapInArrow(releasing(cut), own.schema)
     place = docs.columns.index("text")
     return done.select(*(c if k != place else F.col("text") for k, c in enumerate(undisguised(docs.columns))))
 

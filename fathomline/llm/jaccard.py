@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from fathomline.llm.storage import releasing
 from fathomline.llm.words import NOT_SPACE, Words, prefix_hash, slices, windows
 from fathomline.session import settle
 
@@ -30,6 +31,8 @@ PAIRS, TRIPLES = 256, 4096
 STARS = 2
 # Classes of a signature from which on it is replaced by finer ones, before its classes are compared in pairs.
 CROWDED = 32
+# Signatures that a task holds before it hands them on.
+HELD = 50_000
 # Ids that may be sent to every task, to pick texts before a shuffle.
 MOST_SENT = 1_000_000
 
@@ -107,7 +110,7 @@ def scan_members(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
                 )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_keyed(), "text")
-    return rows.mapInArrow(run, "doc_id long, doc long, fp long, n long, one long, two long")
+    return rows.mapInArrow(releasing(run), "doc_id long, doc long, fp long, n long, one long, two long")
 
 
 def _scan_tokens(texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -138,7 +141,7 @@ def _scan_tokens(texts: DataFrame, size: int, percent: int) -> DataFrame:
                         names=["band", "token", "c", "n", "m"],
                     )
 
-    return texts.select("text").mapInArrow(run, "band byte, token long, c long, n int, m int")
+    return texts.select("text").mapInArrow(releasing(run), "band byte, token long, c long, n int, m int")
 
 
 def prefix_signatures(
@@ -198,11 +201,17 @@ def _signatures(tokens: DataFrame, percent: int, bands: tuple[Band, ...] = BANDS
                 earlier += before
                 owner += [k] * len(own)
                 low = high
-            owner = pa.array(owner, pa.int64())
-            columns = [pa.array(sigs, pa.int64()), b.column("c").take(owner), b.column("n").take(owner), pa.array(places, pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns + [pa.array(earlier, pa.int64())] * chained, names=["sig", "c", "n", "place"] + ["before"] * chained)
+                if len(sigs) >= HELD:
+                    yield told(b, sigs, owner, places, earlier)
+                    sigs, owner, places, earlier = [], [], [], []
+            yield told(b, sigs, owner, places, earlier)
 
-    return settle(grouped.mapInArrow(run, "sig long, c long, n int, place int" + ", before long" * chained))
+    def told(b: pa.RecordBatch, sigs: list, owner: list, places: list, earlier: list) -> pa.RecordBatch:
+        owner = pa.array(owner, pa.int64())
+        columns = [pa.array(sigs, pa.int64()), b.column("c").take(owner), b.column("n").take(owner), pa.array(places, pa.int32())]
+        return pa.RecordBatch.from_arrays(columns + [pa.array(earlier, pa.int64())] * chained, names=["sig", "c", "n", "place"] + ["before"] * chained)
+
+    return settle(grouped.mapInArrow(releasing(run), "sig long, c long, n int, place int" + ", before long" * chained))
 
 
 def _finer_signatures(classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -228,7 +237,7 @@ def _finer_signatures(classes: DataFrame, sets: DataFrame, percent: int) -> Data
                     names=["band", "token", "c", "n", "m"],
                 )
 
-    tokens = classes.join(sets, "c").select("c", "n", "held").mapInArrow(run, "band byte, token long, c long, n int, m int")
+    tokens = classes.join(sets, "c").select("c", "n", "held").mapInArrow(releasing(run), "band byte, token long, c long, n int, m int")
     return _signatures(tokens, percent, bands, chained=True)
 
 
@@ -272,7 +281,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     joined = pairs.join(sets.select(F.col("c").alias("a"), F.col("held").alias("left_set")), "a")
     joined = joined.join(sets.select(F.col("c").alias("b"), F.col("held").alias("right_set")), "b")
-    return settle(joined.select("a", "b", "left_set", "right_set").mapInArrow(run, "a long, b long"))
+    return settle(joined.select("a", "b", "left_set", "right_set").mapInArrow(releasing(run), "a long, b long"))
 
 
 def _pick(texts: DataFrame, keys: DataFrame, how: str) -> DataFrame:
@@ -299,7 +308,7 @@ def _class_sets(texts: DataFrame, size: int) -> DataFrame:
                 held = pa.array([values[x:y].tobytes() for x, y in zip(first[:-1], first[1:])], pa.binary())
                 yield pa.RecordBatch.from_arrays([_signed(one), held], names=["c", "held"])
 
-    return texts.select("text").mapInArrow(run, "c long, held binary")
+    return texts.select("text").mapInArrow(releasing(run), "c long, held binary")
 
 
 def link_classes(docs: DataFrame, members: DataFrame, classes: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from fathomline.llm.columns import schema_of
+from fathomline.llm.storage import releasing
 from fathomline.llm.words import Words, byte_class, mix, slices
 
 SPACE = "▁"
@@ -301,7 +302,7 @@ def encode_pieces(docs: DataFrame, model_path: str, *, columns: tuple[str, ...]
                 yield pa.RecordBatch.from_arrays([*(b.column(k).slice(low, high - low) for k in range(len(columns))), *found], names=names)
             pa.default_memory_pool().release_unused()
 
-    return docs.select(*columns, F.col("text").alias("encoded_text")).mapInArrow(run, schema_of(docs, columns, CODES))
+    return docs.select(*columns, F.col("text").alias("encoded_text")).mapInArrow(releasing(run), schema_of(docs, columns, CODES))
 
 
 def decode_pieces(codes: DataFrame, model_path: str, *, threads: int = THREADS) -> DataFrame:
@@ -315,4 +316,4 @@ def decode_pieces(codes: DataFrame, model_path: str, *, threads: int = THREADS)
                 [b.column("doc_id"), pa.array([None if i is None else t for i, t in zip(ids, texts)], pa.string())], names=["doc_id", "text"]
             )
 
-    return codes.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, "doc_id long, text string")
+    return codes.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(releasing(run), "doc_id long, text string")

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from fathomline.llm.columns import disguised, schema_of, undisguised
+from fathomline.llm.storage import releasing
 from fathomline.llm.words import LETTERS, NOT_SPACE, Words, byte_class, mix, slices, windows
 
 BUCKETS = 1 << 14
@@ -134,7 +135,7 @@ def count_grams(docs: DataFrame, trusted: list[int], buckets: int = BUCKETS) ->
             [pa.array(some, pa.int32()), *(pa.array(x[some]) for x in total)], names=["bucket", "corpus", "even", "odd"]
         )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "bucket int, corpus long, even long, odd long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(releasing(run), "bucket int, corpus long, even long, odd long")
     return rows.groupBy("bucket").agg(*(F.sum(c).alias(c) for c in ("corpus", "even", "odd")))
 
 
@@ -176,7 +177,7 @@ def count_words(labelled: DataFrame, buckets: int) -> np.ndarray:
         some = np.flatnonzero(total.any(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *(pa.array(x[some]) for x in total)], names=["bucket", *"abcd"])
 
-    rows = labelled.mapInArrow(run, "bucket int, a int, b int, c int, d int")
+    rows = labelled.mapInArrow(releasing(run), "bucket int, a int, b int, c int, d int")
     # At most ``buckets`` + 1 rows.
     told = rows.groupBy("bucket").agg(*(F.sum(c).cast("int").alias(c) for c in "abcd")).toArrow()
     counts = np.zeros((4, buckets + 1), np.int64)
@@ -253,7 +254,7 @@ def fit_contrast(docs: DataFrame, labels: DataFrame, *, trusted: int = TRUSTED,
                 yield pa.RecordBatch.from_arrays([pa.array(own[passed] // 2, pa.int32()), pa.array(score[passed])], names=["kind", "score"])
 
     found: tuple[dict, dict] = {}, {}
-    for r in labelled.mapInArrow(run, "kind int, score long").groupBy("kind", "score").agg(F.count("*").alias("rows")).collect():
+    for r in labelled.mapInArrow(releasing(run), "kind int, score long").groupBy("kind", "score").agg(F.count("*").alias("rows")).collect():
         found[r["kind"]][r["score"]] = r["rows"]
     bound = fewest_wrong(*found, passing)
     return None if bound is None else (contrast(counts[0] + counts[1], counts[2] + counts[3]), bound)
@@ -298,7 +299,7 @@ def _measure(docs: DataFrame, weights: np.ndarray, columns: tuple[str, ...], wor
                 kept = [b.column(k).slice(low, high - low) for k in range(len(columns))]
                 yield pa.RecordBatch.from_arrays([*kept, *map(pa.array, found)], names=names)
 
-    return docs.select(*columns, F.col("text").alias("measured_text")).mapInArrow(run, schema_of(docs, columns, RULES))
+    return docs.select(*columns, F.col("text").alias("measured_text")).mapInArrow(releasing(run), schema_of(docs, columns, RULES))
 
 
 def fit_rules(docs: DataFrame, labels: DataFrame, *, buckets: int = BUCKETS, trusted: int = TRUSTED, passing: float = PASSING) -> tuple[np.ndarray, int]:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,3 +38,17 @@ def new_file(folder: str, ending: str):
 def reading_tasks(ranges: DataFrame, each: int = 4) -> int:
     """Tasks that read ranges of files: one for every few ranges, at least as many as run at once, at most 100 000."""
     return int(min(100_000, max(ranges.sparkSession.sparkContext.defaultParallelism, -(-ranges.count() // each))))
+
+
+def releasing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same function of batches; when it ends, its worker process, which lives on, hands free memory back to the system."""
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # other C libraries have no such call
+            pass
+
+    return wrapped

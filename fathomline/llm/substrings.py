@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fathomline.llm.columns import disguised, undisguised
+from fathomline.llm.storage import releasing
 from fathomline.llm.words import NOT_SPACE, Words, prefix_hash, slices, windows
 from fathomline.session import settle
 
@@ -87,7 +88,7 @@ def _scan_runs(docs: DataFrame, width: int) -> DataFrame:
                 )
 
     texts = docs.select(*_keyed(docs), "text").where("text is not null")
-    return texts.mapInArrow(run, "anchor long, run long, doc long, fp long, start int, count int")
+    return texts.mapInArrow(releasing(run), "anchor long, run long, doc long, fp long, start int, count int")
 
 
 def _scan_windows(docs: DataFrame, asked: DataFrame, width: int) -> DataFrame:
@@ -120,7 +121,7 @@ def _scan_windows(docs: DataFrame, asked: DataFrame, width: int) -> DataFrame:
         texts = texts.join(F.broadcast(ids), keys, "left_semi")
     # Equal rows have equal windows; one of them is enough.
     texts = texts.join(asked, keys)
-    return texts.mapInArrow(run, "one long, two long, doc long, fp long, start int")
+    return texts.mapInArrow(releasing(run), "one long, two long, doc long, fp long, start int")
 
 
 def find_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -203,7 +204,7 @@ def removal_digest(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 )
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return _with_spans(docs, own, width).select("doc_id", "text", "spans").mapInArrow(run, DIGEST)
+    return _with_spans(docs, own, width).select("doc_id", "text", "spans").mapInArrow(releasing(run), DIGEST)
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -228,6 +229,6 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in carried), texts], names=[*carried, "text"])
 
     out = own.drop("doc_id")
-    done = _with_spans(docs, own, width).select(*carried, "text", "spans").mapInArrow(run, out.schema)
+    done = _with_spans(docs, own, width).select(*carried, "text", "spans").mapInArrow(releasing(run), out.schema)
     place = docs.columns.index("text")
     return done.select(*(c if k != place else F.col("text") for k, c in enumerate(undisguised(docs.columns))))
