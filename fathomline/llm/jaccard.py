@@ -27,8 +27,8 @@ from fathomline.session import settle
 SHINGLE, PERCENT = 4, 85
 # Tokens in at least so many classes are indexed in pairs, and in triples.
 PAIRS, TRIPLES = 256, 4096
-# Rounds that compare the classes of a signature with one of them, before the rest is compared in pairs.
-STARS = 2
+# Rounds that compare the classes of a signature with one of them (the first by document, then by hash), before the rest is compared in pairs.
+STARS = 1
 # Classes of a signature from which on it is replaced by finer ones, before its classes are compared in pairs.
 CROWDED = 32
 # Signatures that a task holds before it hands them on.
@@ -314,8 +314,8 @@ def _class_sets(texts: DataFrame, size: int) -> DataFrame:
 def link_classes(docs: DataFrame, members: DataFrame, classes: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Links (a, b) between classes that connect all classes that similarity connects.
 
-    First the classes of a signature are compared with one of them, the first by document and then the
-    first by hash. Classes that those links do not connect are then compared in pairs; where many share a
+    First the classes of a signature are compared with one of them, the first by document (by hash in
+    any further round). Classes that those links do not connect are then compared in pairs; where many share a
     signature, finer signatures of these classes take its place first. Pairs within a connected group add
     nothing and are left out.
     """
