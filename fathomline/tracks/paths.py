@@ -393,7 +393,7 @@ def _mean_apart(q: _Lines, i: int, items: _Lines, some: np.ndarray) -> np.ndarra
 def _raster_top(left: pd.DataFrame, right: pd.DataFrame, k: int, exclude_self: bool) -> pd.DataFrame:
     """The k nearest tracks of a block for each query; only pairs whose bound lets them be among these are measured."""
     if not len(left) or not len(right):
-        return pd.DataFrame({"query_id": [], "item_id": [], "distance": np.zeros(0)})
+        return plain_frame({"query_id": np.zeros(0, object), "item_id": np.zeros(0, object), "distance": np.zeros(0)})
     left = left.sort_values("_key", kind="stable")
     q, items = _Lines(left), _Lines(right)
     limit = left["_bound"].fillna(np.inf).to_numpy(dtype=float)
