@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from fathomline.catalog.base import Catalog, table
+from fathomline.catalog.decided import DECIDED, FOUND, JUDGED
 from fathomline.condition import assess as A
 from fathomline.condition import backtest as B
 from fathomline.condition import features as X
@@ -210,8 +211,11 @@ def _(s, d):
     return X.fleet_snapshot(features(s, d)).select("asset_id", "parameter", "day", "value_mean", "status_rank")
 
 
-VIEW = FEATURES + f""",
-  mo AS (SELECT CAST(m AS TIMESTAMP) AS m FROM (VALUES {', '.join(f"('{m}')" for m in MOMENTS)}) v(m)),
+_LISTED = f"""SELECT CAST(m AS TIMESTAMP) AS m FROM (VALUES {', '.join(f"('{m}')" for m in MOMENTS)}) v(m)"""
+# The days that a backtest looks at: after ten days of warm-up, every fourth, five before the end at last.
+_CHECKED = """SELECT unnest(generate_series(first, last - INTERVAL 5 DAYS, INTERVAL 4 DAYS)) AS m FROM (
+    SELECT coalesce(min(t) FILTER (i = 11), min(t)) AS first, max(t) AS last FROM (SELECT t, dense_rank() OVER (ORDER BY t) AS i FROM ft))"""
+_SEEN = """
   me AS (SELECT m, f.* FROM ft f JOIN mo ON f.t <= m QUALIFY row_number() OVER (PARTITION BY m, a, parameter ORDER BY t DESC) = 1),
   dq AS (SELECT user_id // 10 AS a, event_type AS parameter, round(60.0 + avg(value) % 40, 2) AS q FROM events GROUP BY ALL),
   mq AS (SELECT me.*, q, CASE WHEN q IS NULL THEN 0.85 ELSE greatest(0.3, least(1, q / 100)) END AS qf FROM me LEFT JOIN dq USING (a, parameter)),
@@ -228,6 +232,13 @@ VIEW = FEATURES + f""",
     100 * floor((epoch_us(m) - epoch_us(last)) / 8.64e10) / dys AS du FROM iv)"""
 
 
+def _at(moments):
+    return f"{FEATURES},\n  mo AS ({moments}),{_SEEN}"
+
+
+VIEW = _at(_LISTED)
+
+
 def _named(columns):
     return f"concat('A', a) AS asset_id, strftime(m, '%Y-%m-%d') AS as_of, {columns}"
 
@@ -307,13 +318,18 @@ def _(s, d):
     return _found(N.quality_findings(_measured(s, d, f), W.facts(f.features, f.maintenance, MOMENTS)))
 
 
-_ROLL = VIEW + f""",
+_ROLLED = f""",
   ro AS (SELECT a, parameter, t, CASE WHEN count(*) {_over(21)} >= 6 THEN round((residual - avg(residual) {_over(21)}) / stddev_samp(residual) {_over(21)}, 6) END AS z,
     CASE WHEN count(*) {_over(7)} >= 3 THEN round(stddev_samp(residual) {_over(7)}, 6) END AS s7,
     CASE WHEN count(*) {_over(30)} >= 10 THEN round(stddev_samp(residual) {_over(30)}, 6) END AS s30,
     CASE WHEN count(*) {_over(21)} >= 6 THEN round(regr_slope(progress, epoch_us(t) / 8.64e10) {_over(21)}, 6) END AS sl,
     CASE WHEN count(*) {_over(21)} >= 6 THEN round(regr_r2(progress, epoch_us(t) / 8.64e10) {_over(21)}, 6) END AS r2 FROM ft),
   mr AS (SELECT mq.*, z, s7, s30, sl, r2, since IS NULL OR since >= 21 AS clean, since FROM mq JOIN ro USING (a, parameter, t) JOIN fk USING (m, a))"""
+_ROLL = VIEW + _ROLLED
+_CHAIN = _ROLL + DECIDED
+_REPLAY = _at(_CHECKED) + _ROLLED + JUDGED
+_FINDING = """an AS analyzer, cat AS category, parameter, mode AS failure_mode, st AS statement, round(w, 7) AS weight, round(c, 7) AS confidence,
+       act AS action, round(s, 7) AS contribution"""
 
 
 @C.add("trend_findings", f"""WITH {_ROLL}, x AS (SELECT m, a, NULL AS parameter, -6.0 AS w, 0.85 AS c FROM fk WHERE since < 21
@@ -361,10 +377,15 @@ def _assessed(s, d, policies=tuple(A.POLICIES)):
     return A.assess(fleet(s, d), moments=MOMENTS, policies=policies, parameters=list(PARAMETERS), keep=settle)
 
 
-@C.add("rule_findings")
+def _rounded(df):
+    """Weights, confidences and contributions to seven places, as sums differ in the last."""
+    return _dated(df).withColumns({c: F.round(c, 7) for c in ("weight", "confidence", "contribution")})
+
+
+@C.add("rule_findings", f"WITH {_ROLL}{FOUND} SELECT {_named(_FINDING)} FROM fi WHERE an = 'engineering'")
 def _(s, d):
     done = _assessed(s, d)
-    return _dated(done.findings.where("analyzer = 'engineering'"))
+    return _rounded(done.findings.where("analyzer = 'engineering'"))
 
 
 @C.add("concern", f"""WITH {VIEW}, k AS (SELECT m, a, 'threshold' AS an, CASE rank WHEN 1 THEN 18.0 WHEN 2 THEN 34.0 ELSE 52.0 END * 0.95 * qf AS c FROM mq WHERE rank >= 1
@@ -379,22 +400,30 @@ def _(s, d):
     return out.select("asset_id", "as_of", "policy", F.round("concern", 8).alias("concern"), "evidence_count")
 
 
-@C.add("decisions")
+@C.add("decisions", f"WITH {_CHAIN} SELECT {_named('* EXCLUDE (m, a)')} FROM dc")
 def _(s, d):
     return _dated(_assessed(s, d).decisions)
 
 
-@C.add("top_reasons")
+@C.add("top_reasons", f"""WITH {_ROLL}{FOUND}, k AS (SELECT * FROM pf WHERE s > 0 QUALIFY row_number() OVER (PARTITION BY m, a, policy ORDER BY s DESC, an, st) <= 3)
+       SELECT {_named("policy, string_agg(st, ' / ' ORDER BY s DESC, an, st) AS reasons")} FROM k GROUP BY m, a, policy""")
 def _(s, d):
     return _dated(A.top_reasons(_assessed(s, d).findings))
 
 
-@C.add("evidence_rows")
+@C.add("evidence_rows", f"WITH {_ROLL}{FOUND} SELECT {_named(_FINDING)} FROM fi WHERE abs(s) >= 2")
 def _(s, d):
-    return _dated(A.evidence_rows(_assessed(s, d).findings, min_contribution=2.0))
+    return _rounded(A.evidence_rows(_assessed(s, d).findings, min_contribution=2.0))
+
+
+def _counts(column, levels):
+    return ", ".join(f"CAST(count_if({column} = '{v}') AS BIGINT) AS {column}_{v.lower()}" for v in levels.split())
 
 
-@C.add("fleet_summary")
+@C.add("fleet_summary", f"""WITH {_CHAIN} SELECT strftime(m, '%Y-%m-%d') AS as_of, policy, count(*) AS assets, CAST(count_if(maintenance_required) AS BIGINT) AS required,
+       {_counts("risk_level", "LOW MEDIUM HIGH CRITICAL")}, {_counts("health_status", "HEALTHY WATCH DEGRADED POOR CRITICAL UNKNOWN")},
+       {_counts("priority", "NONE LOW MEDIUM HIGH IMMEDIATE")}, {_counts("criticality", "critical high medium low")},
+       round(avg(health_score), 2) AS mean_health, round(avg(concern_score), 2) AS mean_concern, CAST(count_if(data_quality_score < 70) AS BIGINT) AS suspect_data FROM dc GROUP BY m, policy""")
 def _(s, d):
     return _dated(A.fleet_summary(_assessed(s, d).decisions))
 
@@ -422,12 +451,16 @@ def _judged(s, d):
     return f, settle(B.backtest(f, truth(f), moments=moments, policies=tuple(A.POLICIES), horizon_days=5, keep=settle))
 
 
-@C.add("policy_backtest")
+@C.add("policy_backtest", f"""WITH {_REPLAY} SELECT policy, assessed_at, tp, fp, fn, tn, round(p, 4) AS precision, round(r, 4) AS recall,
+       round(coalesce(2 * p * r / nullif(p + r, 0), 0), 4) AS f1, round(coalesce(tn / nullif(tn + fp, 0), 0), 4) AS specificity,
+       round((tp + fp) / (tp + fp + fn + tn), 4) AS alert_rate FROM pr""")
 def _(s, d):
     return B.scores(_judged(s, d)[1])
 
 
-@C.add("policy_episodes")
+@C.add("policy_episodes", f"""WITH {_REPLAY} SELECT policy, (SELECT count(DISTINCT a) FROM fl) AS episodes, count(ca.a) AS episodes_detected,
+       round(coalesce(count(ca.a) / nullif((SELECT count(DISTINCT a) FROM fl), 0), 0), 4) AS episode_recall, round(avg(lead), 2) AS mean_detection_lead_days
+       FROM (SELECT DISTINCT policy FROM ju) LEFT JOIN ca USING (policy) GROUP BY policy""")
 def _(s, d):
     f, rows = _judged(s, d)
     return B.episode_scores(rows, truth(f))
