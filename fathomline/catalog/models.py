@@ -138,7 +138,25 @@ def _(s, d):
                       "score_orders", "score_balance_share")
 
 
-@C.add("scorecard_explained")
+# One row per component that has a score: weakest first, then the heavier, then as stated.
+_SHOWN = "CASE WHEN {0} = floor({0}) THEN CAST(CAST({0} AS BIGINT) AS VARCHAR) ELSE CAST(round({0}, 6) AS VARCHAR) END"
+
+
+@C.add(
+    "scorecard_explained",
+    f"""WITH {_CUSTOMERS}, c AS (
+         SELECT c_custkey, 0 AS i, 2.0 AS w, 'balance' AS name, greatest(0, least(100, 100 * (1 - (bal - 9000) / -9500.0))) AS s,
+           concat('c_acctbal = ', {_SHOWN.format("bal")}) AS why FROM u WHERE bal IS NOT NULL
+         UNION ALL SELECT c_custkey, 1, 1.0, 'orders', CASE WHEN n IS NULL THEN 0.0 WHEN n <= 5 THEN 20.0 WHEN n <= 12 THEN 60.0 ELSE 95.0 END,
+           CASE WHEN n IS NULL THEN 'value missing, no marks given' WHEN n <= 5 THEN 'n_orders ≤ 5' WHEN n <= 12 THEN 'n_orders ≤ 12' ELSE 'busy' END FROM u
+         UNION ALL SELECT c_custkey, 2, 0.5, 'furniture', CASE WHEN f THEN 0.0 ELSE 100.0 END, CASE WHEN f THEN 'furniture is on' ELSE 'furniture is off' END FROM u
+         UNION ALL SELECT c_custkey, 3, 1.0, 'recent', coalesce(o, 60.0), coalesce('open_share = ' || {_SHOWN.format("o")}, 'value missing, middle marks given') FROM u),
+       k AS (SELECT *, round(s, 2) AS r, row_number() OVER (PARTITION BY c_custkey ORDER BY round(s, 2), w DESC, i) AS place FROM c),
+       t AS (SELECT c_custkey, sum(w) AS w, sum(w * s) / sum(w) AS total,
+         string_agg(concat(name, ' ', CAST(round(r) AS BIGINT), '/100 (', why, ')'), '; ' ORDER BY place) FILTER (place <= 2) AS weakest FROM k GROUP BY c_custkey)
+       SELECT c_custkey, CASE WHEN w / 4.5 >= 0.5 THEN concat(CAST(round(total) AS BIGINT), ' points, held down by ', weakest)
+         ELSE 'too few of the components have a value' END AS score_explanation FROM t""",
+)
 def _(s, d):
     out = cards.scorecard(customers(s, d), components=CARD, min_coverage=0.5)
     return out.select("c_custkey", "score_explanation")
@@ -331,6 +349,33 @@ def _(s, d):
     return s.createDataFrame([(k, float(v)) for k, v in metrics.items()], "metric string, value double")
 
 
+def _scores(s, df, algorithms, **options):
+    """The held-out scores of each algorithm."""
+    rows = [
+        (name, metric, float(value)) for name, more in algorithms.items()
+        for metric, value in learning.train(df, algorithm=name, hyperparameters=more, **options)[1].items()
+    ]
+    return s.createDataFrame(rows, "algorithm string, metric string, value double")
+
+
+@C.add("train_regressors")
+def _(s, d):
+    return _scores(
+        s, table(s, d, "part"), target="p_retailprice", features=["p_size", "p_partkey"],
+        algorithms={"ridge": {}, "random_forest_regressor": {"n_estimators": 20},
+                    "gradient_boosting_regressor": {"n_estimators": 20}},
+    )
+
+
+@C.add("train_classifiers")
+def _(s, d):
+    band = F.when(F.col("p_retailprice") < 930, "cheap").when(F.col("p_retailprice") < 970, "usual").otherwise("dear")
+    return _scores(
+        s, table(s, d, "part").withColumn("band", band), target="band", features=["p_size", "p_partkey"],
+        algorithms={"random_forest_classifier": {"n_estimators": 20, "max_depth": 10}, "decision_tree_classifier": {"max_depth": 10}},
+    )
+
+
 @C.add("predict_logistic")
 def _(s, d):
     emb = table(s, d, "embeddings").select(

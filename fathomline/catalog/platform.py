@@ -47,6 +47,18 @@ def _(s, d):
     return back.select("c_custkey", "c_mktsegment", F.inline("body.orders"))
 
 
+@C.add("read_json_records", "SELECT c_custkey, c_name, c_acctbal FROM customer")
+def _(s, d):
+    """Documents of at most a thousand customers, each a file with its records two levels down."""
+    path = _place(s, "json")
+    rows = F.collect_list(F.struct("c_custkey", "c_name", "c_acctbal"))
+    docs = table(s, d, "customer").groupBy(F.floor(F.col("c_custkey") / 1000).alias("part")).agg(
+        F.to_json(F.struct(F.struct(rows.alias("rows")).alias("body"), F.count(F.lit(1)).alias("total"))).alias("value")
+    )
+    docs.write.partitionBy("part").text(path)
+    return readers.read_json(s, path, records_path="body.rows").select("c_custkey", "c_name", "c_acctbal")
+
+
 @C.add("read_parquet_columns", "SELECT l_orderkey, l_shipdate FROM lineitem")
 def _(s, d):
     return readers.read_parquet(s, f"{d}/lineitem.parquet", columns="l_orderkey,l_shipdate")
@@ -68,6 +80,20 @@ def _(s, d):
     return readers.inline_rows(s, readers.describe_schema(table(s, d, "lineitem"))).drop("nullable")
 
 
+@C.add("contract_of_text", """SELECT * FROM (VALUES ('errors', 'column ''c_segment'' is missing'), ('warnings', 'column ''c_name'' is string, wanted integer'),
+       ('warnings', 'column ''c_nationkey'' is integer, wanted string')) v(level, message) WHERE EXISTS (SELECT 1 FROM customer)""")
+def _(s, d):
+    """A contract against a table read back from text, whose types every row decides."""
+    path = _place(s, "csv")
+    table(s, d, "customer").write.csv(path, header=True)
+    found = readers.check_contract(readers.read_csv(s, path), [
+        {"name": "c_custkey", "type": "integer"}, {"name": "c_name", "type": "integer"},
+        {"name": "c_acctbal", "type": "integer"}, {"name": "c_nationkey", "type": "string"},
+        {"name": "c_segment", "type": "string"}, {"name": "c_comment", "type": "string", "required": False},
+    ])
+    return s.createDataFrame([(k, m) for k, said in found.items() for m in said], "level string, message string")
+
+
 @C.add("dataset_versions", """SELECT 'customer' AS dataset, CAST(1 AS BIGINT) AS version, count(*) AS rows, CAST(5 AS BIGINT) AS columns FROM customer
        UNION ALL SELECT 'customer', 2, count(*), 5 FROM customer WHERE c_acctbal > 0""")
 def _(s, d):
@@ -85,6 +111,21 @@ def _(s, d):
     return store.read("orders", version=first, columns="o_orderstatus,o_orderkey,o_totalprice")
 
 
+@C.add("dataset_preview", """SELECT least(count(*), 100) AS shown, count(*) AS total, CAST(3 AS BIGINT) AS fields,
+       (SELECT count(*) FROM orders WHERE o_totalprice > 100000) AS first_version FROM orders""")
+def _(s, d):
+    """The size of the newest version's first page, the rows and columns listed for it, and the rows of the version before."""
+    store = Datasets(s, _place(s, "store"))
+    o = table(s, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    first = store.write(o.where("o_totalprice > 100000"), "orders")
+    store.write(o, "orders")
+    page, schema, total = store.preview("orders")
+    return page.agg(F.count(F.lit(1)).alias("shown")).select(
+        "shown", F.lit(total).cast("bigint").alias("total"), F.lit(len(schema)).cast("bigint").alias("fields"),
+        F.lit(store.row_count("orders", version=first)).cast("bigint").alias("first_version"),
+    )
+
+
 @C.add("steps_from_query", """SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'O' AND o_totalprice >= 300000
        ORDER BY o_totalprice DESC""")
 def _(s, d):
@@ -123,7 +164,8 @@ def _(s, d):
     return out.withColumn("c_acctbal_sum", F.round("c_acctbal_sum", 2))
 
 
-@C.add("observed_run")
+@C.add("observed_run", """SELECT 'flags' AS step, 'succeeded' AS status, count(DISTINCT l_returnflag) AS rows FROM lineitem
+       UNION ALL SELECT 'taxed', 'succeeded', count(*) FROM lineitem WHERE l_quantity > 40""")
 def _(s, d):
     """Rows per written output; the seconds are left out, as they differ by run."""
     spec = [

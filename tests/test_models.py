@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from fathomline.catalog import everything
 from fathomline.models import curve, evidence, learning, matrix, projection, quality
 from fathomline.models.scorecard import scorecard
 from fathomline.tracks import classes, neighbours, paths
@@ -152,3 +153,14 @@ def test_landfall_zones(spark):
     df = spark.createDataFrame([("宜蘭至花蓮間",), ("花蓮縣",), ("臺東",), ("恆春",), ("高雄",), ("基隆",), ("---",), ("火星",)], "p string")
     got = [r[0] for r in df.select(classes.landfall_zone(F.col("p"))).collect()]
     assert got == ["east_north", "east_central", "east_south", "south_tip", "west_south", "east_north", None, None]
+
+
+def test_queries_of_trees_hold_out_well(spark, folder):
+    """The registered queries score held-out parts, whose price follows their key."""
+    queries = everything().queries
+    value = {(r[0], r[1]): r[2] for r in queries["train_regressors"](spark, folder).collect()}
+    assert {k for k, _ in value} == {"ridge", "random_forest_regressor", "gradient_boosting_regressor"}
+    assert value["gradient_boosting_regressor", "r2"] > 0.8
+    value = {(r[0], r[1]): r[2] for r in queries["train_classifiers"](spark, folder).collect()}
+    assert {k for k, _ in value} == {"random_forest_classifier", "decision_tree_classifier"}
+    assert min(v for (_, m), v in value.items() if m == "accuracy") > 0.4
