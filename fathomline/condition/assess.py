@@ -30,6 +30,7 @@ POLICIES = {
 BY_CRITICALITY = {"critical": 26.0, "high": 34.0, "medium": 44.0, "low": 56.0}
 DEFAULT_THRESHOLD = 44.0
 PRIORITY = {"CRITICAL": "IMMEDIATE", "HIGH": "HIGH", "MEDIUM": "MEDIUM", "LOW": "LOW"}
+# The risk grid, the health components and bands, the limits of trends.
 RISK = {
     "likelihood": {"column": "concern", "levels": ["low", "medium", "high"], "bands": [30.0, 60.0],
                    "default": "low"},
