@@ -85,8 +85,8 @@ def readings(s, d):
 
 
 def features(s, d):
-    daily = X.daily_readings(readings(s, d))
-    # One row per series and day; every assessment step reads it again.
+    # One row per series and day: read by the check for hot series and by the trends, then by every step.
+    daily = settle(X.daily_readings(readings(s, d)))
     return settle(X.trends(X.residuals(daily, response(s), thresholds(s))))
 
 

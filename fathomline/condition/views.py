@@ -18,10 +18,21 @@ def whole_days(later: Column, earlier: Column) -> Column:
     return F.floor((F.unix_micros(later) - F.unix_micros(earlier)) / F.lit(8.64e10))
 
 
-def _from_then_on(df: DataFrame, at: Column, moments: list) -> DataFrame:
-    """Each row once per moment at or after it."""
-    times = F.array(*[F.lit(m).cast("timestamp") for m in moments])
-    return df.withColumn("as_of", F.explode(F.filter(times, lambda m: m >= at)))
+def _first_told(at: Column, moments: list) -> Column:
+    """The first moment at or after `at`; null if there is none."""
+    return F.array_min(F.filter(_listed(moments), lambda m: m >= at))
+
+
+def _listed(moments: list) -> Column:
+    return F.array(*[F.lit(m).cast("timestamp") for m in moments])
+
+
+def _held(states: DataFrame, keys: list[str], since: str, moments: list) -> DataFrame:
+    """States, one per key and time, handed to the moments from their own time until the next state."""
+    following = F.lead(since).over(Window.partitionBy(*keys).orderBy(since))
+    until = F.col("_until")
+    mine = F.filter(_listed(moments), lambda m: (m >= F.col(since)) & (until.isNull() | (m < until)))
+    return states.withColumn("_until", following).withColumn("as_of", F.explode(mine)).drop("_until")
 
 
 def measurements(
@@ -38,33 +49,49 @@ def measurements(
 
 
 def facts(features: DataFrame, maintenance: DataFrame, moments: list) -> DataFrame:
-    """Per asset and moment: days observed, running hours, days since the last repair."""
-    daily = _from_then_on(
-        features.select("asset_id", "parameter", "day", "runtime_hours_total_max", "sample_count"),
-        F.to_timestamp("day"), moments,
-    )
-    per_day = daily.groupBy(*KEY, "day").agg(
+    """Per asset and moment: days observed, running hours, days since the last repair.
+
+    Days become running states, and a moment takes the last state before it: the history is read once,
+    however many moments there are. Rows without a day or a repair date are left out.
+    """
+    per_day = features.select("*", F.to_timestamp("day").alias("_t")).where("_t IS NOT NULL").groupBy(
+        "asset_id", "_t"
+    ).agg(
         F.max("runtime_hours_total_max").alias("_rt"),
         F.min_by("sample_count", "parameter").alias("_s"),
         F.min("parameter").alias("_p"),
     )
     # A partition here holds one asset's days, which the calendar bounds.
-    whole = Window.partitionBy(*KEY)
-    recent = F.row_number().over(whole.orderBy(F.col("day").desc()))
-    placed = per_day.withColumns(
-        {"_i": recent, "_n": F.count(F.lit(1)).over(whole), "_first": F.min("_p").over(whole)}
+    days = Window.partitionBy("asset_id").orderBy("_t")
+    upto = days.rowsBetween(Window.unboundedPreceding, 0)
+    day = F.struct("_s", "_p", F.row_number().over(days).alias("i"))
+    running = per_day.withColumn("_day", day).withColumns(
+        {
+            "observed_days": F.count(F.lit(1)).over(upto),
+            "runtime_hours_total": F.max(F.coalesce("_rt", F.lit(0.0))).over(upto),
+            "_first": F.min("_p").over(upto),
+            "_week": F.collect_list("_day").over(days.rowsBetween(-6, 0)),
+        }
     )
-    in_week = (F.col("_i") <= F.least(F.lit(7), F.col("_n") - 1)) & (F.col("_p") == F.col("_first"))
-    seen = placed.groupBy(*KEY).agg(
-        F.count(F.lit(1)).alias("observed_days"),
-        F.max(F.coalesce("_rt", F.lit(0.0))).alias("runtime_hours_total"),
-        F.coalesce(F.sum(F.when(in_week, F.col("_s"))), F.lit(0)).cast("double").alias("runtime_hours_7d"),
+    # The first day of all has no day before it to count from.
+    counted = F.filter("_week", lambda e: (e["i"] > 1) & (e["_p"] == F.col("_first")))
+    week = F.aggregate(counted, F.lit(0).cast("long"), lambda n, e: n + F.coalesce(e["_s"], F.lit(0)))
+    states = running.select(
+        "asset_id", "_t", "observed_days", "runtime_hours_total", week.cast("double").alias("runtime_hours_7d")
     )
+    seen = _held(states, ["asset_id"], "_t", moments).drop("_t")
+
     at = V.moment(maintenance, "maintenance_date")
-    fixed = maintenance.where(F.col("maintenance_type") == "corrective").withColumn("_at", at)
-    repairs = _from_then_on(fixed.where("_at IS NOT NULL"), F.col("_at"), moments).groupBy(*KEY).agg(
-        F.max("_at").alias("_fixed"), F.count(F.lit(1)).alias("corrective_count")
-    )
+    # One row per asset and moment that repairs came before; a busy asset is combined on the map side.
+    told = maintenance.where(F.col("maintenance_type") == "corrective").select(
+        "asset_id", at.alias("_at"), _first_told(at, moments).alias("_told")
+    ).where("_told IS NOT NULL").groupBy("asset_id", "_told").agg(
+        F.max("_at").alias("_fixed"), F.count(F.lit(1)).alias("_n")
+    )
+    earlier = Window.partitionBy("asset_id").orderBy("_told").rowsBetween(Window.unboundedPreceding, 0)
+    repairs = _held(
+        told.withColumns({"corrective_count": F.sum("_n").over(earlier)}).drop("_n"), ["asset_id"], "_told", moments
+    ).drop("_told")
     out = seen.join(repairs, KEY, "left")
     since = whole_days(F.col("as_of"), F.col("_fixed"))
     return out.withColumns(
@@ -81,25 +108,30 @@ def intervals(
 ) -> DataFrame:
     """Per asset, moment and policy: how much of the maintenance interval is used.
 
-    Without a record of the task the use is unknown, and stays so.
+    The last work that counts for a policy is a state of (asset, policy); a moment takes the last one before
+    it. Without a record of the task the use is unknown, and stays so.
     """
-    due = known.select(*KEY, "runtime_hours_total", "runtime_hours_7d").join(
-        assets.select("asset_id", "asset_type"), "asset_id"
-    ).join(
-        policies.select("policy_id", "asset_type", "task", "action_kind", "interval_hours", "interval_days"),
-        "asset_type",
+    kinds = assets.select("asset_id", "asset_type")
+    wanted = policies.select("policy_id", "asset_type", "task", "action_kind", "interval_hours", "interval_days")
+    due = known.select(*KEY, "runtime_hours_total", "runtime_hours_7d").join(kinds, "asset_id").join(
+        wanted, "asset_type"
     )
     at = V.moment(maintenance, "maintenance_date")
-    done = _from_then_on(
-        maintenance.withColumn("_at", at).where("_at IS NOT NULL"), F.col("_at"), moments
-    ).groupBy(*KEY, F.col("task").alias("_task"), F.col("action_kind").alias("_kind"),
-              (F.col("maintenance_type") == "corrective").alias("_fix")).agg(F.max("_at").alias("_at"))
+    done = maintenance.select(
+        "asset_id", F.col("task").alias("_task"), F.col("action_kind").alias("_kind"),
+        (F.col("maintenance_type") == "corrective").alias("_fix"),
+        at.alias("_at"), _first_told(at, moments).alias("_told"),
+    ).where("_told IS NOT NULL").groupBy("asset_id", "_task", "_kind", "_fix", "_told").agg(F.max("_at").alias("_at"))
     same = (
         F.coalesce(F.col("_task") == F.col("task"), F.lit(False))
         | F.coalesce((F.col("_kind") == F.col("action_kind")) & (F.col("action_kind") != ""), F.lit(False))
         | F.coalesce(F.col("_fix"), F.lit(False))
     )
-    last = due.join(done, KEY).where(same).groupBy(*KEY, "policy_id").agg(F.max("_at").alias("last_done"))
+    one = ["asset_id", "policy_id"]
+    work = done.join(kinds, "asset_id").join(wanted, "asset_type").where(same).groupBy(*one, "_told").agg(
+        F.max("_at").alias("last_done")
+    )
+    last = _held(work, one, "_told", moments).select(*KEY, "policy_id", "last_done")
     out = due.join(last, [*KEY, "policy_id"], "left")
     elapsed = F.greatest(F.lit(0.0), (F.unix_micros("as_of") - F.unix_micros("last_done")) / F.lit(8.64e10))
     daily = F.when(F.col("runtime_hours_7d") > 0, F.col("runtime_hours_7d") / 7).otherwise(F.lit(8.0))
