@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import Window, functions as F
 
 from fathomline.operators.ordered import over_present, over_rows, position, running_sum
+from fathomline.operators import quantiles as quantile_rounds
 from fathomline.operators.quantiles import quantiles
 from fathomline.operators.aggregate import summarise
 from fathomline.operators.windows import half_drift, longest_runs, rolling_stats
@@ -102,6 +103,46 @@ def test_quantiles_brackets(spark):
     )
 
 
+@pytest.mark.parametrize("groups", GROUPS)
+def test_quantiles_rounds(spark, monkeypatch, groups):
+    """Brackets cut again and again: ties, a third of equal values, lone far values, unsorted probabilities."""
+    monkeypatch.setattr(quantile_rounds, "_ACCURACY", 200)
+    monkeypatch.setattr(quantile_rounds, "_STEPS", 20)
+    monkeypatch.setattr(quantile_rounds, "HOT_ROWS", ("fathomline.none", "1"))
+    rounds = []
+    cut = quantile_rounds._cut
+    monkeypatch.setattr(quantile_rounds, "_cut", lambda *a: rounds.append(1) or cut(*a))
+    df = spark.range(120_000).select(
+        F.when(F.col("id") % 1000 == 0, "small").when(F.col("id") % 1000 == 1, None).otherwise("large").alias("g"),
+        F.when(F.col("id") % 3 == 0, 7.0).when(F.col("id") % 50_000 == 1, 1e300).when(F.col("id") % 7 == 0, None)
+        .otherwise(F.exp((F.xxhash64("id") % 90_007) / 1000.0)).alias("v"),
+    )
+    p = [0.5, 0.0, 0.25, 0.9, 0.37, 0.371, 1.0]
+    plain = df.groupBy(*groups).agg(F.percentile("v", F.array(*[F.lit(x) for x in p])).alias("q"))
+    got = quantiles(df, F.col("v"), p, group_by=groups, output="q", blocks=True)
+    assert sorted(map(str, got.collect())) == sorted(map(str, plain.collect()))
+    assert rounds
+    shown = got._jdf.queryExecution().executedPlan().toString()
+    windows = [x for x in shown.split("\n") if " Window " in x]
+    assert windows and all("[i#" in x or ", i#" in x for x in windows)
+
+
+def test_quantiles_missed_bracket(spark, monkeypatch):
+    from pyspark.errors import PySparkException
+
+    df = spark.range(1000).select(F.col("id").cast("double").alias("v"))
+    wrong = df.agg(F.count("v").alias("_n"), F.array(F.lit(900.0)).alias("_lo"), F.array(F.lit(950.0)).alias("_hi"))
+    monkeypatch.setattr(quantile_rounds, "_brackets", lambda *a: wrong)
+    with pytest.raises(PySparkException, match="bracket"):
+        quantiles(df, F.col("v"), [0.5], blocks=True).collect()
+
+
+def test_quantiles_nothing(spark):
+    df = spark.createDataFrame([(None,)], "v double")
+    assert quantiles(df, F.col("v"), [0.5], blocks=True).first()["quantiles"] is None
+    assert quantiles(df.limit(0), F.col("v"), [0.5], blocks=True).first()["quantiles"] is None
+
+
 def test_composed_operators(events, spark, hot):
     coarse = events.withColumn("v", F.floor(F.col("v") / 50) * 50.0)
     calls = [
