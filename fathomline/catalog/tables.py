@@ -282,11 +282,13 @@ def _(s, d):
 
 def _profile_sql(column, numeric, kind):
     number = f"CAST({column} AS DOUBLE)" if numeric else "CAST(NULL AS DOUBLE)"
+    top = "CAST(NULL AS VARCHAR)" if numeric else f"""(SELECT string_agg(concat(v, ' ', n), ', ' ORDER BY n DESC, v) FROM
+      (SELECT {column} AS v, count(*) AS n FROM e WHERE {column} IS NOT NULL GROUP BY ALL ORDER BY n DESC, v LIMIT 12))"""
     return f"""SELECT '{column}' AS "column", '{kind}' AS type, count(*) AS count,
       count(*) - count({column}) AS null_count, round((count(*) - count({column})) / count(*), 4) AS null_ratio,
       count(DISTINCT {column}) AS distinct_count, min({number}) AS min, max({number}) AS max,
       round(avg({number}), 6) AS mean, median({number}) AS median,
-      round(stddev_samp({number}), 6) AS stddev FROM e"""
+      round(stddev_samp({number}), 6) AS stddev, {top} AS top_values FROM e"""
 
 
 @C.add(
@@ -302,7 +304,8 @@ def _(s, d):
     e = table(s, d, "events").select(
         "user_id", "event_type", F.when(F.col("event_type") != "error", F.col("value")).alias("value")
     )
-    return A.profile(e)
+    listed = F.transform("top_values", lambda t: F.concat_ws(" ", t["value"], t["count"]))
+    return A.profile(e).withColumn("top_values", F.array_join(listed, ", "))
 
 
 @C.add(

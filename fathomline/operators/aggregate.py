@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from fathomline.functions import values as V
 from fathomline.operators.quantiles import quantiles
@@ -12,6 +12,8 @@ from fathomline.session import has_hot_group
 
 BASIC = ("sum", "mean", "min", "max", "count")
 SUMMARIES = (*BASIC, "median")
+# Commonest values told of a column without numbers.
+TOP_VALUES = 12
 
 
 def _basic(c: Column, how: str) -> Column:
@@ -93,53 +95,106 @@ def explore_aggregate(df: DataFrame, *, by: str, columns, agg: str) -> DataFrame
 
 
 def profile(
-    df: DataFrame, *, columns=None, exact: bool = True, blocks: bool | None = None
+    df: DataFrame, *, columns=None, exact: bool = True, blocks: bool | None = None, top: int = TOP_VALUES
 ) -> DataFrame:
-    """One row per column, from one pass; exact medians and distincts on request."""
+    """One row per column: counts, spread, median, and the commonest values of a column without numbers.
+
+    Columns are turned into one table of (column, value, count), combined on the map side; every figure is
+    read from it, so the table is scanned once. Where it is large, medians come from rounds of selection over
+    all columns together. With `exact=False` distinct counts and medians are sketched in one plain pass, and
+    there are no common values. Nested values count as they are printed; an empty table has a row per column.
+    """
     wanted = V.names(columns) or df.columns
     V.need(df, *wanted)
-    hot = exact and (has_hot_group(df, []) if blocks is None else blocks)
+    listed = df.sparkSession.range(1).select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("_i"), F.lit(c).alias("column"), F.lit(V.kind(df, c).simpleString()).alias("type"))
+        for i, c in enumerate(wanted)
+    ])))
+    told = _counted_columns(df, wanted, blocks, top) if exact else _sketched_columns(df, wanted)
+    rows, nulls = F.coalesce("_rows", F.lit(0)), F.coalesce("_nulls", F.lit(0))
+    return listed.join(told, "_i", "left").select(
+        "column", "type", rows.alias("count"), nulls.alias("null_count"),
+        F.round(F.coalesce(F.try_divide(nulls, rows), F.lit(0.0)), 4).alias("null_ratio"),
+        F.coalesce("_distinct", F.lit(0)).alias("distinct_count"),
+        F.col("_min").alias("min"), F.col("_max").alias("max"), F.round("_mean", 6).alias("mean"),
+        F.col("_median").alias("median"),
+        F.when(F.col("_min").isNotNull(), F.round(F.coalesce("_sd", F.lit(0.0)), 6)).alias("stddev"),
+        F.when(F.col("_min").isNull(), F.col("_top")).alias("top_values"),
+    )
+
+
+def _distinct_text(df: DataFrame, column: str) -> Column:
+    """A value as text that differs where values differ."""
+    c, kind = V.col(df, column), V.kind(df, column)
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return (c + F.lit(0).cast(kind)).cast("string")
+    if isinstance(kind, T.TimestampType):
+        return F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSSXXX")
+    return F.hex(c) if isinstance(kind, T.BinaryType) else c.cast("string")
+
+
+def _measured(df: DataFrame, column: str) -> Column:
+    """The number a value is; nested and binary values are none."""
+    if isinstance(V.kind(df, column), (T.ArrayType, T.MapType, T.StructType, T.BinaryType)):
+        return F.lit(None).cast("double")
+    return V.float_view(df, column)
+
+
+def _counted_columns(df: DataFrame, wanted: list[str], blocks: bool | None, top: int) -> DataFrame:
+    hot = has_hot_group(df, []) if blocks is None else blocks
+    cells = df.select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("_i"), _distinct_text(df, c).alias("_k"), _measured(df, c).alias("_x"))
+        for i, c in enumerate(wanted)
+    ])))
+    counts = cells.groupBy("_i", "_k", "_x").agg(F.count(F.lit(1)).alias("_c"))
+    held = F.sum(F.when(F.col("_x").isNotNull(), F.col("_c")))
+    made = [
+        F.sum("_c").alias("_rows"), F.sum(F.when(F.col("_k").isNull(), F.col("_c"))).alias("_nulls"),
+        F.count("_k").alias("_distinct"), F.min("_x").alias("_min"), F.max("_x").alias("_max"),
+        held.alias("_held"), (F.sum(F.col("_x") * F.col("_c")) / held).alias("_mean"),
+    ]
+    if not hot:
+        made.append(F.percentile("_x", F.lit(0.5), F.col("_c")).alias("_median"))
+    figures = counts.groupBy("_i").agg(*made)
+    # Squares around the mean need it first; the exchange of the counts is used again, and a row per column sent.
+    off = F.col("_x") - F.col("_mean")
+    squares = counts.join(F.broadcast(figures.select("_i", "_mean")), "_i").groupBy("_i").agg(
+        F.sum(off * off * F.col("_c")).alias("_squares")
+    )
+    # Filters on the keys would move below the counting and spoil that, so other rows are put last instead.
+    other = F.col("_k").isNull() | F.col("_x").isNotNull()
+    best = Window.partitionBy("_i").orderBy(other, F.col("_c").desc(), "_k")
+    common = counts.withColumn("_place", F.row_number().over(best)).where(
+        (F.col("_place") <= top) & ~other
+    ).groupBy("_i").agg(F.array_sort(F.collect_list(
+        F.struct("_place", F.col("_k").alias("value"), F.col("_c").alias("count"))
+    )).alias("_listed"))
+    out = figures.join(squares, "_i", "left").join(common, "_i", "left")
+    if hot:
+        half = quantiles(cells, F.col("_x"), [0.5], group_by="_i", blocks=True)
+        out = out.join(half.select("_i", F.col("quantiles")[0].alias("_median")), "_i", "left")
+    return out.withColumns({
+        "_sd": F.sqrt(F.try_divide(F.col("_squares"), F.col("_held") - 1)),
+        "_top": F.transform("_listed", lambda e: F.struct(e["value"].alias("value"), e["count"].alias("count"))),
+    })
+
+
+def _sketched_columns(df: DataFrame, wanted: list[str]) -> DataFrame:
     made = [F.count(F.lit(1)).alias("_rows")]
     for i, c in enumerate(wanted):
-        v, raw = V.float_view(df, c), V.col(df, c)
-        distinct = F.count_distinct(raw) if exact else F.approx_count_distinct(raw)
+        v, raw = _measured(df, c), V.col(df, c)
         made += [
             F.count_if(raw.isNull()).alias(f"_nulls{i}"),
-            distinct.alias(f"_distinct{i}"),
-            F.min(v).alias(f"_min{i}"),
-            F.max(v).alias(f"_max{i}"),
-            F.avg(v).alias(f"_mean{i}"),
-            F.stddev_samp(v).alias(f"_sd{i}"),
+            F.approx_count_distinct(_distinct_text(df, c)).alias(f"_distinct{i}"),
+            F.min(v).alias(f"_min{i}"), F.max(v).alias(f"_max{i}"), F.avg(v).alias(f"_mean{i}"),
+            F.stddev_samp(v).alias(f"_sd{i}"), F.percentile_approx(v, 0.5).alias(f"_median{i}"),
         ]
-        if not exact:
-            made.append(F.percentile_approx(v, 0.5).alias(f"_median{i}"))
-        elif not hot:
-            made.append(F.median(v).alias(f"_median{i}"))
-    wide = df.agg(*made)
-    if hot:
-        for i, c in enumerate(wanted):
-            q = quantiles(df, V.float_view(df, c), [0.5], blocks=True)
-            wide = wide.withColumn(f"_median{i}", q.select(F.col("quantiles")[0]).scalar())
-    entries = [
-        F.struct(
-            F.lit(c).alias("column"),
-            F.lit(V.kind(df, c).simpleString()).alias("type"),
-            F.col("_rows").alias("count"),
-            F.col(f"_nulls{i}").alias("null_count"),
-            F.round(F.coalesce(F.try_divide(f"_nulls{i}", "_rows"), F.lit(0.0)), 4).alias(
-                "null_ratio"
-            ),
-            F.col(f"_distinct{i}").alias("distinct_count"),
-            F.col(f"_min{i}").alias("min"),
-            F.col(f"_max{i}").alias("max"),
-            F.round(f"_mean{i}", 6).alias("mean"),
-            F.col(f"_median{i}").alias("median"),
-            F.when(F.col(f"_min{i}").isNotNull(),
-                   F.round(F.coalesce(F.col(f"_sd{i}"), F.lit(0.0)), 6)).alias("stddev"),
-        )
-        for i, c in enumerate(wanted)
-    ]
-    return wide.select(F.inline(F.array(*entries)))
+    parts = ("_nulls", "_distinct", "_min", "_max", "_mean", "_sd", "_median")
+    none = F.lit(None).cast("array<struct<value:string,count:bigint>>")
+    return df.agg(*made).select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("_i"), "_rows", *[F.col(f"{p}{i}").alias(p) for p in parts], none.alias("_top"))
+        for i in range(len(wanted))
+    ])))
 
 
 def column_stats(df: DataFrame, *, column: str) -> DataFrame:
