@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from fathomline.functions import values as V
 from fathomline.functions.geo import EARTH_KM, great_circle_km
-from fathomline.operators.ordered import over_rows
+from fathomline.operators.ordered import lay_out, over_rows
+from fathomline.session import has_hot_group
 
 HOWS = ("inner", "left", "full")
 
@@ -196,14 +197,17 @@ def look_ahead(
     event_time: str,
     horizon_seconds: int,
     output: str = "lead_seconds",
+    blocks: bool | None = None,
 ) -> DataFrame:
     """Seconds to the nearest event of the same keys in (t, t + horizon], else null.
 
-    Rows and events are merged in time order inside (keys, horizon-wide bucket);
-    an event also visits the bucket before its own. No row is paired with more
-    than its next event.
+    Rows and events are merged in time order inside (keys, horizon-wide bucket); an event also visits the
+    bucket before its own. No row is paired with more than its next event. Where a bucket of some key is too
+    large for a task, rows and events are laid out by (keys, time) instead, and the first event of each block
+    is carried to the blocks before it. A row without a moment gets null; null keys are equal.
     """
     groups = V.names(keys)
+    marks = [f"_k{i}" for i in range(len(groups))]
     step = horizon_seconds * 1_000_000
     width = F.lit(step)
     rows = df.select(F.struct("*").alias("_r"), F.unix_micros(V.moment(df, time)).alias("_t"),
@@ -219,27 +223,46 @@ def look_ahead(
             *[V.col(events, k).alias(f"_k{i}") for i, k in enumerate(groups)],
         )
         .where(F.col("_t").isNotNull())
-        .dropDuplicates(["_t", *[f"_k{i}" for i in range(len(groups))]])
+        .dropDuplicates(["_t", *marks])
         .withColumn("_event", F.col("_t"))
-        .withColumn(
-            "_slot",
-            F.explode(F.array(F.floor(F.col("_t") / width), F.floor(F.col("_t") / width) - 1)),
-        )
-    )
-    later = (
-        Window.partitionBy("_slot", *[f"_k{i}" for i in range(len(groups))])
-        .orderBy(F.col("_t").desc())
-        .rangeBetween(Window.unboundedPreceding, -1)
-    )
-    merged = rows.unionByName(heads).withColumn(
-        "_next", F.last("_event", ignorenulls=True).over(later)
     )
+    if has_hot_group(rows, ["_slot", *marks]) if blocks is None else blocks:
+        merged = _next_event(rows.drop("_slot").unionByName(heads), marks)
+    else:
+        slots = F.array(F.floor(F.col("_t") / width), F.floor(F.col("_t") / width) - 1)
+        later = (
+            Window.partitionBy("_slot", *marks)
+            .orderBy(F.col("_t").desc())
+            .rangeBetween(Window.unboundedPreceding, -1)
+        )
+        merged = rows.unionByName(heads.withColumn("_slot", F.explode(slots))).withColumn(
+            "_next", F.last("_event", ignorenulls=True).over(later)
+        )
     lead = F.col("_next") - F.col("_t")
     return merged.where(F.col("_r").isNotNull()).select(
         "_r.*", F.when(lead <= width, lead / F.lit(1e6)).alias(output)
     )
 
 
+def _next_event(merged: DataFrame, marks: list[str]) -> DataFrame:
+    """Rows and events, latest first, with the last event before each; at one moment rows come first."""
+    laid = lay_out(merged.withColumn("_is", F.col("_event").isNotNull()), marks, ["-_t", "_is"]).rows
+    named = [F.col(m).alias(f"{m}b") for m in marks]
+    # One row per block and key it touches; the latest of the blocks before is carried on.
+    told = laid.groupBy(F.col("_block").alias("_b"), *named).agg(
+        F.max_by("_event", F.when(F.col("_event").isNotNull(), F.col("_idx"))).alias("_told")
+    )
+    before = Window.partitionBy(*[f"{m}b" for m in marks]).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = told.withColumn("_carried", F.last("_told", ignorenulls=True).over(before)).drop("_told")
+    same = [F.col("_block") == F.col("_b")] + [F.col(m).eqNullSafe(F.col(f"{m}b")) for m in marks]
+    inside = Window.partitionBy("_block", *marks).orderBy("_idx").rowsBetween(Window.unboundedPreceding, 0)
+    return (
+        laid.withColumn("_near", F.last("_event", ignorenulls=True).over(inside))
+        .join(carried, V.every(same))
+        .withColumn("_next", F.coalesce("_near", "_carried"))
+    )
+
+
 def within_distance(
     queries: DataFrame,
     history: DataFrame,

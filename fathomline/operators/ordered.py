@@ -36,20 +36,31 @@ class Layout:
         return max(1, math.ceil(self.total / self.block_rows))
 
 
-def lay_out(df: DataFrame, group_by: list[str], order_by: list[str], reach: int = 1) -> Layout:
-    spark = df.sparkSession
-    keys = [F.col(f"`{g}`").asc_nulls_first() for g in group_by] + ordering(order_by)
+def _tie_breaker(df: DataFrame) -> list[Column]:
+    """A hash of the row, so that rows of one order value do not all fall into one range."""
+    plain = [f.name for f in df.schema if not any(k in f.dataType.simpleString() for k in ("map<", "variant"))]
+    return [F.xxhash64(*[F.col(f"`{c}`") for c in plain])] if plain else []
+
+
+def _laid(df: DataFrame, keys: list[Column]) -> tuple[DataFrame, list[tuple[int, int]]]:
+    """Rows written in order of the keys, numbered by `_row` inside each partition, and the partitions' sizes."""
+    keys = keys + _tie_breaker(df)
     laid = settle(
         df.repartitionByRange(*keys)
         .sortWithinPartitions(*keys)
         .withColumn("_row", F.monotonically_increasing_id())
     )
     part = F.shiftrightunsigned("_row", 33)
-    at = F.col("_row").bitwiseAND(F.lit(_IN_PART))
     # One row per partition of the layout.
-    sizes = sorted(
-        (r[0], r[1]) for r in laid.groupBy(part.alias("p")).agg(F.max(at) + 1).collect()
-    )
+    held = laid.groupBy(part.alias("p")).agg(F.max(F.col("_row").bitwiseAND(F.lit(_IN_PART))) + 1)
+    return laid, sorted((r[0], r[1]) for r in held.collect())
+
+
+def lay_out(df: DataFrame, group_by: list[str], order_by: list[str], reach: int = 1) -> Layout:
+    spark = df.sparkSession
+    laid, sizes = _laid(df, [F.col(f"`{g}`").asc_nulls_first() for g in group_by] + ordering(order_by))
+    part = F.shiftrightunsigned("_row", 33)
+    at = F.col("_row").bitwiseAND(F.lit(_IN_PART))
     starts, total = [], 0
     for p, size in sizes:
         starts.append((p, total))
@@ -66,6 +77,31 @@ def lay_out(df: DataFrame, group_by: list[str], order_by: list[str], reach: int
     return Layout(rows, total, block_rows)
 
 
+def page_rows(df: DataFrame, *, offset: int, length: int, order_by) -> DataFrame:
+    """Rows `offset` to `offset + length` of the order.
+
+    Near the start the rows up to the page's end are cut in every task. A page that ends further back than one
+    task may hold is found by the sizes of the ranges of a layout, and only the files that hold it are read.
+    """
+    order = must_order(order_by)
+    need(df, *[o.lstrip("-") for o in order])
+    offset, length = max(0, int(offset)), max(0, int(length))
+    if offset + length <= setting(df.sparkSession, HOT_ROWS):
+        return df.orderBy(*ordering(order)).offset(offset).limit(length)
+    laid, sizes = _laid(df, ordering(order))
+
+    def place(wanted: int) -> int:
+        """The number of the row at a position; beyond the last row, one past every number."""
+        for p, size in sizes:
+            if wanted < size:
+                return (p << 33) + wanted
+            wanted -= size
+        return (sizes[-1][0] + 1) << 33 if sizes else 0
+
+    here = (F.col("_row") >= F.lit(place(offset))) & (F.col("_row") < F.lit(place(offset + length)))
+    return laid.where(here).orderBy("_row").drop("_row")
+
+
 def needs_blocks(df: DataFrame, group_by: list[str], blocks: bool | None) -> bool:
     """Ungrouped order always goes by blocks; grouped order where a group is hot."""
     if not group_by:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from fathomline.functions import values as V
-from fathomline.operators.ordered import position
+from fathomline.operators.ordered import page_rows, position
 from fathomline.session import null_on_failure
 
 # The words that read as true, the date parts, the number in a text.
@@ -233,13 +233,23 @@ def explore_query(
     limit: int = 100,
     offset: int = 0,
 ) -> DataFrame:
-    """One page of the rows that pass. An offset needs an order, else pages may overlap; it should be unique."""
+    """One page of the rows that pass, a hundred unless `limit` says otherwise, also in a composed plan.
+
+    An offset needs an order, else pages may overlap; it should be unique.
+    """
     if offset and not sort_by:
         raise ValueError("an offset needs sort_by")
     out = explore_filter(df, conditions=conditions or [])
     if sort_by:
-        out = out.orderBy(*V.ordering(sort_by, descending=descending))
-    out = out.offset(max(0, int(offset))).limit(int(limit))
+        order = V.names(sort_by)
+        if descending:
+            order = [o[1:] if o.startswith("-") else f"-{o}" for o in order]
+        if columns:
+            kept = {*V.names(columns), *[o.lstrip("-") for o in order]}
+            out = out.select(*[f"`{c}`" for c in out.columns if c in kept])
+        out = page_rows(out, offset=offset, length=limit, order_by=order)
+    else:
+        out = out.limit(int(limit))
     return select_columns(out, columns=columns) if columns else out
 
 
@@ -469,7 +479,8 @@ def limit_rows(df: DataFrame, *, count: int = 100, from_end: bool = False, order
 
 
 def page(df: DataFrame, *, offset: int, length: int, order_by) -> DataFrame:
-    return df.orderBy(*V.ordering(V.must_order(order_by))).offset(offset).limit(length)
+    """Rows `offset` to `offset + length`, also far back."""
+    return page_rows(df, offset=offset, length=length, order_by=order_by)
 
 
 def drop_duplicates(df: DataFrame, *, columns=None, order_by=None) -> DataFrame:

@@ -3,7 +3,9 @@
 import pytest
 from pyspark.sql import Window, functions as F
 
-from fathomline.operators.ordered import over_present, over_rows, position, running_sum
+from fathomline.operators.joins import look_ahead
+from fathomline.operators.rows import explore_query, page
+from fathomline.operators.ordered import lay_out, over_present, over_rows, position, running_sum
 from fathomline.operators import quantiles as quantile_rounds
 from fathomline.operators.quantiles import quantiles
 from fathomline.operators.aggregate import summarise
@@ -143,6 +145,51 @@ def test_quantiles_nothing(spark):
     assert quantiles(df.limit(0), F.col("v"), [0.5], blocks=True).first()["quantiles"] is None
 
 
+@pytest.mark.parametrize("key", ["one", None, "g"])
+def test_look_ahead(events, hot, key):
+    """One key for all rows, in blocks of seven: rows at the moment of an event, no events for long, null keys."""
+    k = F.col("g") if key == "g" else F.lit(key).cast("string")
+    rows = events.select("event_id", "ts", F.when(F.col("event_id") % 11 > 0, k).alias("k"))
+    rows = rows.withColumn("ts", F.when(F.col("event_id") % 50 > 0, F.date_trunc("hour", "ts")))
+    happened = rows.where("event_id % 40 = 3").unionByName(rows.where("event_id % 80 = 3"))
+    for horizon in (3600, 86_400, 10_000_000):
+        args = dict(keys="k", time="ts", event_time="ts", horizon_seconds=horizon)
+        got = look_ahead(rows, happened, **args)
+        same(got, look_ahead(rows, happened, blocks=False, **args))
+        pairs = rows.alias("a").join(happened.alias("b"), F.expr(
+            f"a.k <=> b.k AND b.ts > a.ts AND unix_micros(b.ts) - unix_micros(a.ts) <= {horizon}000000L"), "left")
+        brute = pairs.groupBy("a.event_id").agg(F.min((F.unix_micros("b.ts") - F.unix_micros("a.ts")) / 1e6).alias("lead_seconds"))
+        same(got.select("event_id", "lead_seconds"), brute)
+    assert got.where("lead_seconds IS NOT NULL").count() > 100
+
+
+def test_deep_pages(events, hot):
+    order = ["-value", "event_id"]
+    every = [r["event_id"] for r in events.orderBy(F.desc_nulls_last("value"), "event_id").collect()]
+    n = len(every)
+    for offset, length in ((0, 3), (0, n), (n // 2, 10), (n - 3, 50), (n + 5, 10), (5, 0)):
+        got = page(events, offset=offset, length=length, order_by=order)
+        assert [r["event_id"] for r in got.collect()] == every[offset:offset + length]
+    deep = page(events, offset=n // 2, length=10, order_by=order)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" not in deep and "GlobalLimit" not in deep and "GreaterThanOrEqual(_row" in deep
+    up = explore_query(events, columns="event_id", sort_by=["value", "-event_id"], descending=True, offset=50, limit=20)
+    assert [r[0] for r in up.collect()] == every[50:70] and up.columns == ["event_id"]
+    assert page(events.limit(0), offset=500, length=5, order_by=order).count() == 0
+
+
+def test_equal_order_values_spread(spark):
+    """Rows that an order cannot tell apart still fall into several ranges."""
+    df = spark.range(0, 40_000, 1, 8).select("id", F.lit(1).alias("t"), F.create_map("id", "id").alias("m"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = lay_out(df, [], ["t"]).rows
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    held = rows.groupBy(F.shiftrightunsigned("_row", 33).alias("p")).count().collect()
+    assert len(held) >= 6 and max(r["count"] for r in held) < 12_000
+    assert rows.select("_idx").distinct().count() == 40_000
+
+
 def test_composed_operators(events, spark, hot):
     coarse = events.withColumn("v", F.floor(F.col("v") / 50) * 50.0)
     calls = [
