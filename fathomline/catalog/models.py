@@ -6,6 +6,7 @@ from fathomline.catalog.base import Catalog, table
 from fathomline.catalog.tables import COARSE, READINGS, RUNS_SQL, SHIFT_SQL, _readings
 from fathomline.models import curve, evidence, learning, matrix, outcomes, projection, quality
 from fathomline.models import scorecard as cards
+from fathomline.plans.compose import run_plan
 
 C = Catalog()
 
@@ -340,6 +341,23 @@ WIDTH = 64
 FEATURES = ["l_quantity", "l_discount", "l_tax", "l_suppkey"]
 
 
+@C.add("trained_plan", """SELECT l_orderkey, l_linenumber, round(2 * l_quantity + 300 * l_discount + 1, 2) AS prediction FROM lineitem
+       WHERE l_returnflag = 'R'""")
+def _(s, d):
+    """A plan that fits a line to two thirds of the rows and applies it to the rest."""
+    lines = table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_returnflag")
+    spec = [
+        {"name": "known", "use": "filter_rows", "options": {"column": "l_returnflag", "op": "not_equals", "value": "R"}},
+        {"name": "goal", "use": "formula", "options": {"expressions": {"goal": "2 * l_quantity + 300 * l_discount + 1"}}},
+        {"name": "fit", "use": "train_model", "options": {
+            "algorithm": "linear_regression", "target": "goal", "features": ["l_quantity", "l_discount"]}},
+        {"name": "asked", "use": "filter_rows", "reads": "input",
+         "options": {"column": "l_returnflag", "op": "equals", "value": "R"}},
+        {"name": "told", "use": "apply_model", "inputs": {"trained": "fit"}},
+    ]
+    return run_plan(spec, lines)["told"].select("l_orderkey", "l_linenumber", F.round("prediction", 2).alias("prediction"))
+
+
 @C.add("train_linear")
 def _(s, d):
     _model, metrics = learning.train(

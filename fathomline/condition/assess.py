@@ -14,6 +14,7 @@ from fathomline.models.projection import project_fits
 from fathomline.models.scorecard import scorecard
 from fathomline.operators.joins import append
 from fathomline.operators.rows import top_per_group
+from fathomline.session import settle
 
 KEY = W.KEY
 # The analyzers in order, and which of them a policy consults.
@@ -117,6 +118,16 @@ def assess(
     return Assessment(found, record, decisions)
 
 
+def maintenance_decisions(
+    features: DataFrame, assets: DataFrame, maintenance: DataFrame, failures: DataFrame, policies: DataFrame,
+    modes: DataFrame, rules: DataFrame, quality: DataFrame | None = None, *, moments: list,
+    under: list | None = None,
+) -> DataFrame:
+    """The decisions alone, for composed plans: `under` lists policies, all by default."""
+    fleet = Fleet(features, assets, maintenance, failures, policies, modes, rules, quality)
+    return assess(fleet, moments=moments, policies=tuple(under or POLICIES), keep=settle).decisions
+
+
 def policy_table(df: DataFrame, policies=tuple(POLICIES)) -> DataFrame:
     """(policy, analyzer, threshold), exploded onto the findings by their analyzer."""
     for p in policies:

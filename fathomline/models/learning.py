@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
@@ -15,6 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from fathomline.functions import values as V
 from fathomline.operators.aggregate import confusion_pairs
+from fathomline.session import scratch_folder
 
 REGRESSORS = {
     "linear_regression": lambda: LinearRegression(),
@@ -136,6 +139,32 @@ def predict(df: DataFrame, model: PipelineModel | str, *, features) -> DataFrame
     return applied.select(*[V.col(df, c) for c in df.columns], "prediction")
 
 
+def train_model(
+    df: DataFrame, *, algorithm: str, target: str, features, test_size: float = 0.2, random_state: int = 42,
+    hyperparameters: dict | None = None,
+) -> DataFrame:
+    """One row for a composed plan: the folder that the fitted model was written to, its features and scores."""
+    wanted = V.names(features)
+    model, scores = train(
+        df, algorithm=algorithm, target=target, features=wanted, test_size=test_size, random_state=random_state,
+        hyperparameters=hyperparameters,
+    )
+    path = f"{scratch_folder(df.sparkSession)}/model-{uuid.uuid4().hex}"
+    model.write().save(path)
+    row = (path, algorithm, wanted, {k: float(v) for k, v in scores.items()})
+    return df.sparkSession.createDataFrame(
+        [row], "model string, algorithm string, features array<string>, scores map<string,double>"
+    )
+
+
+def apply_model(df: DataFrame, trained: DataFrame) -> DataFrame:
+    """Predictions of a model that `train_model` wrote; `trained` is its one row."""
+    rows = trained.select("model", "features").take(2)
+    if len(rows) != 1:
+        raise ValueError("apply_model takes the one row of train_model")
+    return predict(df, rows[0]["model"], features=rows[0]["features"])
+
+
 def skipped(df: DataFrame, *, features) -> DataFrame:
     wanted = V.names(features)
     unread = ~V.every([V.number(df, f).isNotNull() for f in wanted])

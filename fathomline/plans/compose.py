@@ -97,6 +97,7 @@ def run_plan(
         if not step.use.startswith("plan:"):
             try:
                 lookup(step.use).check(step.options)
+                lookup(step.use).check_inputs(step.inputs)
             except ValueError as e:
                 raise StepFailed(step.name, e) from e
     made: dict[str, DataFrame] = {}
@@ -120,6 +121,7 @@ def run_plan(
                 made[step.name] = list(ends.values())[-1]
                 continue
             entry = lookup(step.use)
+            entry.check_dataset(first, step.options)
             out = entry.fn(first, **extra, **step.options)
             made[step.name] = out[0] if entry.kind == MODEL else out
         except StepFailed as e:

@@ -1,18 +1,35 @@
 """Every operator a composed plan may name, with the options it takes.
 
 Two kinds: a transform is (DataFrame, options) -> DataFrame; a model also returns
-a one-row DataFrame of metrics.
+a one-row DataFrame of metrics. Every entry checks its options by name and type, its
+further inputs by name and, where it says which options name columns, those too.
 """
 
 from __future__ import annotations
 
 import inspect
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark.sql import DataFrame
+
+from fathomline.functions import values as V
 from fathomline.operators import aggregate, charts, joins, reshape, rows, windows
 
 TRANSFORM, MODEL = "transform", "model"
+# What an option may hold, by the annotation of the function that takes it.
+TYPES = {"int": int, "float": (int, float), "str": str, "bool": bool, "list": (list, tuple), "dict": dict,
+         "None": type(None)}
+
+
+def _fits(value, annotation) -> bool:
+    kinds = [k.strip() for k in re.sub(r"\[.*\]", "", str(annotation)).split("|")]
+    if any(k not in TYPES for k in kinds):
+        return True
+    if isinstance(value, bool):
+        return "bool" in kinds
+    return any(isinstance(value, TYPES[k]) for k in kinds)
 
 
 @dataclass(frozen=True)
@@ -22,6 +39,9 @@ class Entry:
     fn: Callable
     inputs: tuple[str, ...]
     options: dict[str, inspect.Parameter]
+    # Inputs that must be given, and options that name columns of the main input.
+    needed: tuple[str, ...] = ()
+    columns: tuple[str, ...] = ()
 
     def check(self, options: dict) -> None:
         """Name what is unknown or missing before any plan is built."""
@@ -34,21 +54,40 @@ class Entry:
         )
         if missing:
             raise ValueError(f"{self.key} needs {missing}")
+        wrong = sorted(n for n, v in options.items() if not _fits(v, self.options[n].annotation))
+        if wrong:
+            kinds = {n: str(self.options[n].annotation) for n in wrong}
+            raise ValueError(f"{self.key} takes other types of options: {kinds}")
+
+    def check_inputs(self, given) -> None:
+        """The inputs beside the main one, by name."""
+        unknown = sorted(set(given) - set(self.inputs[1:]))
+        missing = sorted(set(self.needed[1:]) - set(given))
+        if unknown or missing:
+            raise ValueError(f"{self.key} reads {list(self.inputs[1:])}: unknown {unknown}, missing {missing}")
+
+    def check_dataset(self, df: DataFrame, options: dict) -> None:
+        """The columns that options name exist in the main input; nothing is computed for it."""
+        for n in self.columns:
+            value = options.get(n, self.options[n].default)
+            if value is not None and value is not inspect.Parameter.empty:
+                V.need(df, *[c.lstrip("-") for c in V.names(value)])
 
 
 REGISTRY: dict[str, Entry] = {}
 
 
-def register(fn: Callable, key: str | None = None, kind: str = TRANSFORM) -> Callable:
+def register(fn: Callable, key: str | None = None, kind: str = TRANSFORM, columns: tuple[str, ...] = ()) -> Callable:
     parameters = inspect.signature(fn).parameters
     inputs = tuple(
         n for n, p in parameters.items() if p.kind is inspect.Parameter.POSITIONAL_OR_KEYWORD
     )
+    needed = tuple(n for n in inputs if parameters[n].default is inspect.Parameter.empty)
     options = {n: p for n, p in parameters.items() if p.kind is inspect.Parameter.KEYWORD_ONLY}
     name = key or fn.__name__
     if name in REGISTRY:
         raise ValueError(f"operator {name!r} is registered twice")
-    REGISTRY[name] = Entry(name, kind, fn, inputs, options)
+    REGISTRY[name] = Entry(name, kind, fn, inputs, options, needed, columns)
     return fn
 
 
@@ -82,7 +121,7 @@ for _fn in (
 
 
 def _models() -> None:
-    from fathomline.models import curve, evidence, matrix, outcomes, projection, quality, scorecard
+    from fathomline.models import curve, evidence, learning, matrix, outcomes, projection, quality, scorecard
 
     for fn in (
         scorecard.scorecard, matrix.risk_matrix, projection.project, quality.data_quality,
@@ -91,6 +130,38 @@ def _models() -> None:
     ):
         register(fn)
     register(curve.fit_curve, kind=MODEL)
+    register(learning.train_model, columns=("target", "features"))
+    register(learning.apply_model)
+
+
+def _tracks() -> None:
+    from fathomline.tracks import classes, neighbours, paths
+
+    place = ("track", "order_by", "lat", "lon")
+    register(paths.clip_tracks, columns=place)
+    register(paths.track_features, columns=("track", "time", "lat", "lon", "wind", "pressure", "place"))
+    register(paths.path_distance, columns=("track", "order_by", "x", "y"))
+    register(paths.warped_distance)
+    register(classes.crossing_features, columns=(*place, "place"))
+    register(classes.classify)
+    register(classes.rule_similarity, columns=("key", "vector", "label", "wind"))
+    register(neighbours.nearest, columns=("key", "vector"))
+    register(neighbours.random_analogs, columns=("key",))
+    register(neighbours.difference_ranks, columns=("key", "value"))
+    for fn in (neighbours.vote, neighbours.leave_one_out, neighbours.path_fusion, neighbours.combined_fusion):
+        register(fn)
+
+
+def _condition() -> None:
+    from fathomline.condition import assess, features
+
+    for fn in (
+        features.condition_readings, features.daily_readings, features.residuals, features.trends,
+        features.fleet_snapshot, assess.maintenance_decisions, assess.fleet_summary,
+    ):
+        register(fn)
 
 
 _models()
+_tracks()
+_condition()

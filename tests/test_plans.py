@@ -35,6 +35,44 @@ def test_bad_plans_are_refused_before_anything_runs(orders):
             run_plan(spec, orders)
 
 
+def test_models_check_what_they_are_given(orders):
+    cases = [
+        ([step("a", "train_model", {"algorithm": 3, "target": "x", "features": "y"})], "other types"),
+        ([step("a", "limit_rows", {"count": True, "order_by": "o_orderkey"})], "other types"),
+        ([step("a", "train_model", {"algorithm": "ridge", "target": "nothing", "features": "o_totalprice"})], "nothing"),
+        ([step("a", "apply_model")], "missing"),
+        ([step("a", "vote", {"key": "k", "label": "l"}, inputs={"wrong": "t"})], "unknown"),
+        ([step("a", "nearest", {"key": "o_orderkey", "vector": "absent"}, inputs={"items": "t"})], "absent"),
+    ]
+    for spec, message in cases:
+        with pytest.raises(ValueError, match=message):
+            run_plan(spec, orders, tables={"t": orders})
+    twice = orders.sparkSession.createDataFrame([("a", ["x"]), ("b", ["x"])], "model string, features array<string>")
+    with pytest.raises(ValueError, match="one row"):
+        run_plan([step("a", "apply_model", inputs={"trained": "t"})], orders, tables={"t": twice})
+
+
+def test_tracks_in_a_plan(spark):
+    points = spark.createDataFrame(
+        [(k, i, 20.0 + i + n, 120.0 + i) for n, k in enumerate("abc") for i in range(5)],
+        "track string, i int, y double, x double",
+    )
+    spec = [step("near", "path_distance", {"track": "track", "order_by": "i", "k": 2}, inputs={"tracks": "all"})]
+    out = run_plan(spec, points, tables={"all": points})["near"]
+    assert out.count() == 6
+
+
+def test_condition_in_a_plan(spark, folder):
+    from fathomline.catalog import condition as C
+
+    f = C.fleet(spark, folder)
+    tables = {n: getattr(f, n) for n in ("assets", "maintenance", "failures", "policies", "modes", "rules", "quality")}
+    spec = [step("decided", "maintenance_decisions", {"moments": C.MOMENTS[:1], "under": ["full"]}, inputs={n: n for n in tables}),
+            step("summary", "fleet_summary")]
+    row = run_plan(spec, f.features, tables=tables)["summary"].first()
+    assert row["policy"] == "full" and row["assets"] > 0
+
+
 def test_outputs_branches_and_nesting(orders):
     spec = [
         step("open", "filter_rows", {"column": "o_orderstatus", "op": "equals", "value": "O"}, materialise=True),
