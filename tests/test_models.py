@@ -1,5 +1,6 @@
 import math
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from fathomline.catalog import everything
 from fathomline.models import curve, evidence, learning, matrix, projection, quality
 from fathomline.models.scorecard import scorecard
 from fathomline.tracks import classes, neighbours, paths
+from tests.oracle import difference
 
 
 def test_scorecard_leaves_absent_weights_out(spark):
@@ -164,3 +166,15 @@ def test_queries_of_trees_hold_out_well(spark, folder):
     value = {(r[0], r[1]): r[2] for r in queries["train_classifiers"](spark, folder).collect()}
     assert {k for k, _ in value} == {"random_forest_classifier", "decision_tree_classifier"}
     assert min(v for (_, m), v in value.items() if m == "accuracy") > 0.4
+
+
+@pytest.mark.parametrize("name", ["evidence_bundle", "compose_reasoning", "unsupported_citations"])
+def test_bundles_of_many_findings_equal_their_sql(name, spark, tmp_path):
+    docs = spark.range(100).selectExpr("id AS doc_id", "'en' AS lang", "concat('s', id % 2) AS source", "id * 7 AS n_chars")
+    docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.range(95).selectExpr("id AS doc_id", "id % 2 AS quality", "id % 3 % 2 AS toxic").coalesce(1).write.parquet(str(tmp_path / "labels.parquet"))
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    catalog = everything()
+    assert difference(catalog.queries[name](spark, str(tmp_path)), con, catalog.sql[name]) is None
