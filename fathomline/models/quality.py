@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fathomline.functions import values as V
@@ -147,16 +149,17 @@ def _limits(rows: DataFrame, ranges, range_key) -> DataFrame:
 
 
 def _scored(base, groups, value, wanted, flatline, step_ratio, drift_limit, min_score):
-    def share(a: str, b: str) -> Column:
-        return F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0))
+    def share(a: str, b: str, times: float) -> Column:
+        # Multiplied first: what a quotient loses would tip halves when it is rounded.
+        return F.coalesce(F.try_divide(F.lit(times) * F.col(a), F.col(b)), F.lit(0.0))
 
-    best, step, drift = F.col("longest_flatline"), F.col("_step"), F.col("_drift")
-    missing_pct = F.round(100 * share("missing", "readings"), 3)
+    best, step, drift = F.col("longest_flatline"), F.round("_step", 5), F.col("_drift")
+    missing_pct = F.round(share("missing", "readings", 100.0), 3)
     loss = {
-        "missing": PENALTY["missing"] * share("missing", "readings"),
+        "missing": share("missing", "readings", PENALTY["missing"]),
         "duplicates": F.least(F.lit(PENALTY["duplicates"]), PENALTY["duplicates"] * F.col("duplicates") / 10),
-        "range": PENALTY["range"] * share("out_of_range", "present"),
-        "outliers": PENALTY["outliers"] * share("outliers", "present"),
+        "range": share("out_of_range", "present", PENALTY["range"]),
+        "outliers": share("outliers", "present", PENALTY["outliers"]),
         "flatline": F.when(
             best >= flatline,
             PENALTY["flatline"] * F.least(F.lit(1.0), best / F.lit(max(24.0, 4.0 * flatline))),
@@ -165,7 +168,7 @@ def _scored(base, groups, value, wanted, flatline, step_ratio, drift_limit, min_
             step >= step_ratio,
             PENALTY["step"] * F.least(F.lit(1.0), (step - step_ratio) / (2 * step_ratio) + 0.5),
         ),
-        "gaps": PENALTY["gaps"] * F.least(F.lit(1.0), 4 * share("gaps", "intervals")),
+        "gaps": PENALTY["gaps"] * F.least(F.lit(1.0), share("gaps", "intervals", 4.0)),
         "drift": F.when(drift >= drift_limit, F.lit(PENALTY["drift"])),
     }
     found = {
@@ -178,8 +181,8 @@ def _scored(base, groups, value, wanted, flatline, step_ratio, drift_limit, min_
         "gaps": (F.col("gaps") > 0, F.concat(F.col("gaps"), F.lit(" sampling gaps"))),
         "drift": (drift >= drift_limit, F.concat(F.lit("halves differ by "), F.format_string("%.1f", drift), F.lit(" sigma"))),
     }
-    lost = sum(F.coalesce(loss[c], F.lit(0.0)) for c in CHECKS if c in wanted)
-    score = F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.lit(100.0) - lost))
+    left = reduce(lambda a, c: a - F.coalesce(loss[c], F.lit(0.0)), [c for c in CHECKS if c in wanted], F.lit(100.0))
+    score = F.greatest(F.lit(0.0), F.least(F.lit(100.0), left))
     flag = None
     for name, least in FLAGS:
         hit = F.col("_score") >= least

@@ -178,3 +178,9 @@ def test_bundles_of_many_findings_equal_their_sql(name, spark, tmp_path):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
     catalog = everything()
     assert difference(catalog.queries[name](spark, str(tmp_path)), con, catalog.sql[name]) is None
+
+
+def test_halves_of_a_missing_share_round_up(spark):
+    df = spark.range(320).selectExpr("id", "timestamp_seconds(id * 60) AS at", "CASE WHEN id >= 51 THEN id * 1.0 END AS v")
+    row = quality.data_quality(df, value="v", timestamp="at", checks="missing").first()
+    assert (row["missing_pct"], row["quality_score"]) == (15.938, 90.44)
