@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fathomline.functions import values as V
 from fathomline.functions.geo import great_circle_km
 from fathomline.operators.ordered import needs_blocks, over_rows, position
-from fathomline.tracks.neighbours import scan_top
+from fathomline.tracks.neighbours import Found, exact, own_edge, rough_squares, scan_top
 from fathomline.tracks.pruned import Cells, Space, ball_bound
 from fathomline.tracks.paths import CENTRE
 
@@ -182,8 +183,13 @@ def rule_similarity(
             V.col(df, label).cast("string").alias("cls"), V.number(df, wind).alias("wind"),
         )
 
-    def far(q: dict, it: dict, _k: int) -> np.ndarray:
-        return -np.sqrt(((q["vector"][:, None, :] - it["vector"][None]) ** 2).sum(2))
+    def far(q: dict, it: dict, _k: int) -> Found:
+        rough, off = rough_squares(q, it)
+        rough[q["self"]] = -np.inf
+        # The farthest known so far is the bound, less than nothing.
+        edge = np.fmax(np.fmax.reduce(rough, axis=1, initial=-np.inf), np.where(np.isfinite(q["bound"]), q["bound"], 0.0) ** 2)
+        rows, cols = np.nonzero(rough >= (edge - 1e-9 * np.abs(edge) - 2 * off)[:, None])
+        return rows, cols, -exact(q, it, rows, cols)
 
     # The farthest candidate of a query scales its feature distances.
     asked, known = slim(queries), slim(items)
@@ -193,14 +199,38 @@ def rule_similarity(
         F.col("query_id").alias(key), (-F.col("distance")).alias("reach")
     )
 
-    def mixed(q: dict, it: dict, _k: int) -> np.ndarray:
-        apart = np.sqrt(((q["vector"][:, None, :] - it["vector"][None]) ** 2).sum(2))
-        other = (q["cls"][:, None] != it["cls"][None, :]).astype(float)
-        wind_gap = np.minimum(np.abs(q["wind"][:, None] - it["wind"][None, :]) / 100.0, 1.0)
-        return (
-            w["feature"] * apart / (q["reach"][:, None] + 1e-8) + w["class"] * other
-            + w["intensity"] * wind_gap
-        )
+    def rest(q: dict, it: dict, rows, cols) -> np.ndarray:
+        """What class and wind add to the distance of pairs."""
+        gap = np.minimum(np.abs(q["wind"][rows] - it["wind"][cols]) / 100.0, 1.0)
+        return w["class"] * (q["cls"][rows] != it["cls"][cols]) + w["intensity"] * gap
+
+    def mixed(q: dict, it: dict, k: int) -> Found:
+        rough, off = rough_squares(q, it)
+        rough[q["self"]] = np.inf
+        kinds = pd.factorize(np.concatenate([q["cls"], it["cls"]]), use_na_sentinel=False)[0]
+        q, it = {**q, "cls": kinds[:len(rough)]}, {**it, "cls": kinds[len(rough):]}
+        reach = q["reach"] + 1e-8
+
+        def score(free: np.ndarray) -> np.ndarray:
+            out = np.sqrt(np.maximum(rough[free], 0.0))
+            out *= (w["feature"] / reach[free])[:, None]
+            out += rest(q, it, free[:, None], np.arange(rough.shape[1])[None])
+            return np.nan_to_num(out, nan=np.inf, posinf=np.inf)
+
+        edge = own_edge(q["bound"], k, score)
+        edge = edge + 1e-6 * (1.0 + np.abs(np.where(np.isfinite(edge), edge, 0.0)))
+        found = []
+        # The winds only add, so vectors of either class tell what may be near enough.
+        for kind in np.unique(it["cls"]):
+            where = np.flatnonzero(it["cls"] == kind)
+            room = edge - w["class"] * (q["cls"] != kind)
+            with np.errstate(divide="ignore"):
+                most = np.where(room >= 0, (room * reach / w["feature"]) ** 2 * (1 + 1e-9) + 2 * off, -np.inf)
+            mine = np.flatnonzero(most > -np.inf)
+            rows, cols = np.nonzero(rough[np.ix_(mine, where)] <= np.minimum(most[mine], np.finfo(float).max)[:, None])
+            found.append((mine[rows], where[cols]))
+        rows, cols = (np.concatenate(x) for x in zip(*found))
+        return rows, cols, w["feature"] * exact(q, it, rows, cols) / reach[rows] + rest(q, it, rows, cols)
 
     def least(d: np.ndarray, rows: dict, cells: Cells) -> np.ndarray:
         return w["feature"] * ball_bound(d, rows, cells) / (rows["reach"][:, None] + 1e-8)

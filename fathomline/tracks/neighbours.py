@@ -62,21 +62,47 @@ def _stack(column: pd.Series) -> np.ndarray:
     return column.to_numpy()
 
 
-def euclid(q: dict, items: dict, k: int) -> np.ndarray:
-    """Exact distances of whatever may be among a query's k nearest, else infinity."""
+Found = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def rough_squares(q: dict, items: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distances of every query to every item but for rounding, and how far off a query's may be."""
+    a, b = q["vector"], items["vector"]
+    one, other = (a * a).sum(1), (b * b).sum(1)
+    rough = np.column_stack([a * -2.0, one, np.ones(len(a))]) @ np.column_stack([b, np.ones(len(b)), other]).T
+    return rough, 1e-12 * (1.0 + one + np.nanmax(other, initial=0.0))
+
+
+def exact(q: dict, items: dict, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """Distances of the given pairs, a bounded number of them at a time."""
     a, b = q["vector"], items["vector"]
-    rough = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T)
-    out = np.full(rough.shape, np.inf)
-    if q.get("exclude") is not None:
-        rough[q["exclude"]] = np.inf
-    if rough.shape[1] > k:
-        edge = np.partition(rough, k - 1, axis=1)[:, k - 1]
-    else:
-        edge = np.full(len(a), np.inf)
-    slack = 1e-9 * (1.0 + np.abs(np.where(np.isfinite(edge), edge, 0.0)) + (a * a).sum(1))
-    rows, cols = np.nonzero(np.isfinite(rough) & (rough <= (edge + slack)[:, None]))
-    out[rows, cols] = np.sqrt(((a[rows] - b[cols]) ** 2).sum(1))
-    return out
+    step = max(1, _CELLS // max(1, a.shape[1]))
+    parts = [np.sqrt(((a[rows[i:i + step]] - b[cols[i:i + step]]) ** 2).sum(1)) for i in range(0, len(rows), step)]
+    return np.concatenate(parts or [np.zeros(0)])
+
+
+def kth_least(values: np.ndarray, k: int) -> np.ndarray:
+    """The k-th least number of each row, infinite where there are fewer."""
+    return np.partition(values, k - 1, axis=1)[:, k - 1] if values.shape[1] > k else np.full(len(values), np.inf)
+
+
+def own_edge(bound: np.ndarray, k: int, score: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """What the k nearest keep: the bound at hand, or the k-th least score of a query that has none."""
+    free = np.flatnonzero(~np.isfinite(bound))
+    edge = bound.copy()
+    if len(free):
+        edge[free] = kth_least(score(free), k)
+    return edge
+
+
+def euclid(q: dict, items: dict, k: int) -> Found:
+    """Exact distances of whatever may be among a query's k nearest."""
+    rough, off = rough_squares(q, items)
+    rough[q["self"]] = np.inf
+    edge = own_edge(q["bound"] ** 2, k, lambda free: rough[free])
+    slack = 1e-9 * np.where(np.isfinite(edge), edge, 0.0) + 2 * off
+    rows, cols = np.nonzero(rough <= np.minimum(edge + slack, np.finfo(float).max)[:, None])
+    return rows, cols, exact(q, items, rows, cols)
 
 
 def scan_top(
@@ -85,7 +111,7 @@ def scan_top(
     *,
     key: str,
     columns: list[str],
-    kernel: Callable[[dict, dict, int], np.ndarray],
+    kernel: Callable[[dict, dict, int], Found],
     k: int,
     at: str,
     space: Space = BALLS,
@@ -95,7 +121,9 @@ def scan_top(
     """(query_id, item_id, distance, rank): the k nearest items of every query, cells of items by the vector ``at``.
 
     ``space`` bounds the kernel's distances from below, so that a query visits only the blocks that may hold one of its
-    nearest items. Ranks start at 0, ties go by item id.
+    nearest items. The kernel gets a slice of the queries, with the ``bound`` of each (infinite where none is known) and the pairs
+    ``self`` to leave out, and names the pairs that may be among the k nearest: rows, columns, distances. Ranks start at 0, ties
+    go by item id.
     """
     schema = (
         f"query_id {V.kind(queries, key).simpleString()}, item_id {V.kind(items, key).simpleString()}, distance double"
@@ -112,21 +140,30 @@ def scan_top(
         ids, names = right["_key"].to_numpy(), left["_key"].to_numpy()
         it = {c: _stack(right[c]) for c in columns}
         q = {"ids": names, **{c: _stack(left[c]) for c in left.columns if not c.startswith("_")}}
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        deep = max([v.shape[1] for v in it.values() if v.ndim > 1], default=1)
-        step = max(1, _CELLS // max(1, len(ids) * deep))
+        found: list[Found] = []
+        limit = left["_bound"].fillna(np.inf).to_numpy(dtype=float)
+        # Items are in id order, so those of one id follow each other.
+        _each, starts, sizes = np.unique(pd.factorize(ids, use_na_sentinel=False)[0], return_index=True, return_counts=True)
+        whose = pd.Index(ids[starts]).get_indexer(pd.Index(names)) if exclude_self and len(ids) else np.full(len(names), -1)
+        step = max(1, _CELLS // max(1, len(ids)))
         for lo in range(0, len(names) if len(ids) else 0, step):
             mine = {c: v[lo:lo + step] for c, v in q.items()}
-            if exclude_self:
-                mine["exclude"] = mine["ids"][:, None] == ids[None, :]
-            d = kernel(mine, it, k)
-            if exclude_self:
-                d[mine["exclude"]] = np.inf
-            # The items are in id order and the sort is stable, so ties go by id.
-            near = np.argsort(d, axis=1, kind="stable")[:, :k]
-            d = np.take_along_axis(d, near, 1)
-            at_query, at_item = np.nonzero(np.isfinite(d))
-            found.append((mine["ids"][at_query], ids[near[at_query, at_item]], d[at_query, at_item]))
+            mine["bound"] = limit[lo:lo + step]
+            own = whose[lo:lo + step]
+            at = np.flatnonzero(own >= 0)
+            many = sizes[own[at]]
+            mine["self"] = (
+                np.repeat(at, many),
+                np.repeat(starts[own[at]], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many),
+            )
+            rows, cols, d = kernel(mine, it, k)
+            keep = np.isfinite(d)
+            rows, cols, d = rows[keep], cols[keep], d[keep]
+            # The items are in id order, so ties go by id.
+            order = np.lexsort((cols, d, rows))
+            rows, cols, d = rows[order], cols[order], d[order]
+            near = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+            found.append((mine["ids"][rows[near]], ids[cols[near]], d[near]))
         if not found:
             return plain_frame({"query_id": names[:0], "item_id": ids[:0], "distance": np.zeros(0)})
         one, other, far = (np.concatenate(x) for x in zip(*found))

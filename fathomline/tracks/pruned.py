@@ -213,6 +213,8 @@ def pruned_top(
         near = settle(found)
         bounds = near.groupBy(F.col("query_id").alias("_key")).agg(F.when(F.count("*") >= k, F.max("distance")).alias("_bound"))
         routed = settle(routes(asked.join(bounds, "_key", "left"), cells, space))
-        found = near.unionByName(_meet(routed, known, together, tasks, kernel, schema))
+        # About a task for each meeting of a block with a part of its queries, as these differ in length.
+        meetings = blocks + routed.count() // together
+        found = near.unionByName(_meet(routed, known, together, min(4096, max(tasks, meetings)), kernel, schema))
     ranked = top_per_group(found, k=k, group_by="query_id", order_by="distance,item_id", output="rank")
     return ranked.withColumn("rank", F.col("rank") - 1)
