@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fathomline.catalog import everything
 from fathomline.models import curve, evidence, learning, matrix, projection, quality
+from fathomline.operators import joins
 from fathomline.models.scorecard import scorecard
 from fathomline.tracks import classes, neighbours, paths
 from tests.oracle import difference
@@ -184,3 +185,17 @@ def test_halves_of_a_missing_share_round_up(spark):
     df = spark.range(320).selectExpr("id", "timestamp_seconds(id * 60) AS at", "CASE WHEN id >= 51 THEN id * 1.0 END AS v")
     row = quality.data_quality(df, value="v", timestamp="at", checks="missing").first()
     assert (row["missing_pct"], row["quality_score"]) == (15.938, 90.44)
+
+
+
+def test_a_small_file_of_positions_makes_its_pairs_in_many_tasks(spark, tmp_path):
+    spark.range(400).selectExpr("id", "double(id * 53 % 170 - 85) AS lat", "double(id * 37 % 360 - 180) AS lon").coalesce(1).write.parquet(str(tmp_path / "p"))
+    p = spark.read.parquet(str(tmp_path / "p"))
+    near = joins.within_distance(p, p, cutoff_km=900)
+    assert "REPARTITION_BY_NUM" in near._jdf.queryExecution().toString()
+    rows = p.collect()
+    at = np.radians([(r["lat"], r["lon"]) for r in rows])
+    la, lo = at[:, :1], at[:, 1:]
+    chord = np.sin((la - la.T) / 2) ** 2 + np.cos(la) * np.cos(la.T) * np.sin((lo - lo.T) / 2) ** 2
+    found = {(rows[i]["id"], rows[j]["id"]) for i, j in zip(*np.nonzero(2 * 6371.0 * np.arcsin(np.sqrt(np.minimum(chord, 1))) <= 900))}
+    assert {(r["id"], r["id_h"]) for r in near.collect()} == found
