@@ -13,6 +13,8 @@ from fathomline.operators.quantiles import quantiles
 PERCENTILES = (5, 25, 50, 75, 95)
 TESTS = (">=", ">", "<=", "<")
 BINS = (2, 100)
+# Candidates of a scan that one task sorts.
+TASK_ROWS = 1_000_000
 
 
 def distribution_summary(
@@ -136,8 +138,8 @@ def scan_grid(
 ) -> DataFrame:
     """The best settings per subject row, out of the product of all variables.
 
-    A subject's candidates arise from its own row and are cut to the best `top`
-    in the same task, before anything is shuffled.
+    A subject's candidates arise from its own row and are cut to the best `top` in one task, of
+    which there are as many as the candidates need.
     """
     subjects = V.names(subject)
     V.need(df, *subjects)
@@ -146,6 +148,9 @@ def scan_grid(
         raise ValueError("top must be at least 1")
     scored = _candidates(df, variables, derived, constraints, objective)
     scored = scored.where(F.col("objective").isNotNull() & ~F.isnan("objective"))
+    # As many tasks as keep a bounded number of candidates to sort in each.
+    tasks = math.ceil(df.count() * math.prod(len(settings(s, n)) for n, s in variables.items()) / TASK_ROWS)
+    scored = scored.repartition(max(df.sparkSession.sparkContext.defaultParallelism, tasks), *[V.col(df, s) for s in subjects])
     best = F.col("objective").desc() if goal == "maximise" else F.col("objective").asc()
     w = Window.partitionBy(*[V.col(df, s) for s in subjects]).orderBy(
         best, *[F.col(f"`{v}`").asc() for v in variables]

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fathomline.catalog import everything
-from fathomline.models import curve, evidence, learning, matrix, projection, quality
+from fathomline.models import curve, evidence, learning, matrix, outcomes, projection, quality
 from fathomline.operators import joins
 from fathomline.models.scorecard import scorecard
 from fathomline.tracks import classes, neighbours, paths
@@ -188,6 +188,14 @@ def test_halves_of_a_missing_share_round_up(spark):
 
 
 
+def test_a_scan_has_tasks_for_its_candidates(spark, monkeypatch):
+    monkeypatch.setattr(outcomes, "TASK_ROWS", 20)
+    df = spark.range(100).selectExpr("id", "id % 7 AS base")
+    out = outcomes.scan_grid(df, subject="id", variables={"x": [1, 2, 3]}, objective="base * x", top=2)
+    assert out.rdd.getNumPartitions() == 15
+    assert [(r["rank"], r["x"], r["objective"]) for r in out.where("id = 3").collect()] == [(1, 3, 9.0), (2, 2, 6.0)]
+
+
 def test_a_small_file_of_positions_makes_its_pairs_in_many_tasks(spark, tmp_path):
     spark.range(400).selectExpr("id", "double(id * 53 % 170 - 85) AS lat", "double(id * 37 % 360 - 180) AS lon").coalesce(1).write.parquet(str(tmp_path / "p"))
     p = spark.read.parquet(str(tmp_path / "p"))
