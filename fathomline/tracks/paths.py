@@ -476,29 +476,60 @@ def warp_points(
 
 
 def warp(a: np.ndarray, b: np.ndarray, weights=WARP_WEIGHTS) -> float:
-    """Time-warped distance of two (points, 4) sequences inside a 30 % band.
+    """Time-warped distance of two (points, 4) sequences inside a 30 % band."""
+    return float(warp_many([a], [b], weights)[0])
+
+
+def warp_many(left: list[np.ndarray], right: list[np.ndarray], weights=WARP_WEIGHTS) -> np.ndarray:
+    """Time-warped distances of pairs of (points, 4) sequences inside a 30 % band.
 
     Cells of one anti-diagonal depend only on the two before it, so each is one
-    numpy step and only three diagonals are held.
+    numpy step for all pairs and only three diagonals are held.
     """
-    n, m = len(a), len(b)
-    if not n or not m:
-        return math.inf
+    n, m = np.array([len(a) for a in left]), np.array([len(b) for b in right])
     w = np.asarray(weights, dtype=float) / np.sum(weights)
-    band = max(1, int(WARP_BAND * max(n, m)))
-    older, old = np.full(n + 1, np.inf), np.full(n + 1, np.inf)
-    older[0] = 0.0
-    for s in range(2, n + m + 1):
-        new = np.full(n + 1, np.inf)
-        i = np.arange(max(1, s - m), min(n, s - 1) + 1)
-        i = i[np.abs(2 * i - s) <= band]
+    band = np.maximum(1, (WARP_BAND * np.maximum(n, m)).astype(int))
+    deep, wide = int(n.max(initial=0)), int(m.max(initial=0))
+    a, b = np.zeros((len(left), deep + 1, 4)), np.zeros((len(right), wide + 1, 4))
+    for p, (x, y) in enumerate(zip(left, right)):
+        a[p, 1:len(x) + 1], b[p, 1:len(y) + 1] = np.reshape(x, (-1, 4)), np.reshape(y, (-1, 4))
+    older, old = (np.full((len(left), deep + 1), np.inf) for _ in "ab")
+    older[:, 0] = 0.0
+    out = np.full(len(left), np.inf)
+    for s in range(2, deep + wide + 1):
+        new = np.full_like(old, np.inf)
+        i = np.arange(max(1, s - wide), min(deep, s - 1) + 1)
+        i = i[np.abs(2 * i - s) <= band.max()]
         if len(i):
-            gap = np.abs(a[i - 1] - b[s - i - 1])
-            gap[:, 1] = np.minimum(gap[:, 1], 2 * math.pi - gap[:, 1])
-            before = np.minimum(np.minimum(old[i - 1], old[i]), older[i - 1])
-            new[i] = (w * gap * gap).sum(1) + before
+            gap = np.abs(a[:, i] - b[:, s - i])
+            gap[:, :, 1] = np.minimum(gap[:, :, 1], 2 * math.pi - gap[:, :, 1])
+            before = np.minimum(np.minimum(old[:, i - 1], old[:, i]), older[:, i - 1])
+            inside = (np.abs(2 * i - s) <= band[:, None]) & (i <= n[:, None]) & (s - i <= m[:, None])
+            new[:, i] = np.where(inside, (w * gap * gap).sum(2) + before, np.inf)
         older, old = old, new
-    return math.sqrt(old[n] / (n + m))
+        ends = np.flatnonzero((n + m == s) & (n > 0) & (m > 0))
+        out[ends] = np.sqrt(old[ends, n[ends]] / s)
+    return out
+
+
+# Points of padded tracks whose pairs are warped together.
+_WARPED = 65_536
+
+
+def _warped(left: pd.Series, right: pd.Series) -> pd.Series:
+    a, b = ([np.stack([np.asarray(p) for p in v]) if len(v) else np.zeros((0, 4)) for v in side] for side in (left, right))
+    out = np.full(len(a), np.inf)
+    # Pairs of like length stand together, so that little is padded.
+    order = sorted(range(len(a)), key=lambda i: (len(a[i]) + len(b[i]), len(a[i])))
+    at = 0
+    while at < len(order):
+        to = at + 1
+        while to < len(order) and (to + 1 - at) * (len(a[order[to]]) + len(b[order[to]])) <= _WARPED:
+            to += 1
+        some = order[at:to]
+        out[some] = warp_many([a[i] for i in some], [b[i] for i in some])
+        at = to
+    return pd.Series(out)
 
 
 def warped_distance(
@@ -506,8 +537,8 @@ def warped_distance(
 ) -> DataFrame:
     """Warped distance of candidate pairs (query_id, item_id), ranked per query.
 
-    Comparing two tracks is sequential in both, so a pair is one unit of work; it
-    holds three diagonals of the shorter track's length.
+    Comparing two tracks is sequential in both, so pairs of like length
+    go through it together, a bounded number of points at a time.
     """
     order = F.struct(*[V.col(points, o) for o in V.must_order(order_by)])
     lines = points.groupBy(V.col(points, track).alias("_t")).agg(
@@ -517,13 +548,7 @@ def warped_distance(
         ).alias("line")
     )
 
-    @F.pandas_udf("double")
-    def measured(left: pd.Series, right: pd.Series) -> pd.Series:
-        return pd.Series([
-            warp(np.stack([np.asarray(v) for v in a]), np.stack([np.asarray(v) for v in b]))
-            for a, b in zip(left, right)
-        ])
-
+    measured = F.pandas_udf(_warped, "double")
     a = lines.select(F.col("_t").alias("query_id"), F.col("line").alias("_a"))
     b = lines.select(F.col("_t").alias("item_id"), F.col("line").alias("_b"))
     both = pairs.select("query_id", "item_id").join(a, "query_id").join(b, "item_id")

@@ -187,6 +187,12 @@ def test_halves_of_a_missing_share_round_up(spark):
     assert (row["missing_pct"], row["quality_score"]) == (15.938, 90.44)
 
 
+def test_pairs_warped_together_equal_their_recurrence():
+    rng = np.random.default_rng(2)
+    left, right = ([rng.normal(size=(n, 4)) for n in sizes] for sizes in ((1, 12, 30, 5, 0), (1, 9, 31, 40, 3)))
+    got = paths.warp_many(left, right)
+    assert got == pytest.approx([naive_warp(a, b) if len(a) else math.inf for a, b in zip(left, right)])
+
 
 def test_a_scan_has_tasks_for_its_candidates(spark, monkeypatch):
     monkeypatch.setattr(outcomes, "TASK_ROWS", 20)
