@@ -1,7 +1,7 @@
 """Tokens of two tokenizers aligned over the same bytes, and how often their ids meet in the corpus.
 
-Both tokenizers encode whole texts. Where a token of each ends at the same byte and a space follows, the
-text is cut into windows, each a pair of id tuples; equal windows are aligned once in a worker process.
+Both tokenizers encode whole texts. A slice of texts is aligned as one run of bytes: the bytes at which tokens of
+either end tell its groups and links, in a few steps over whole arrays.
 """
 
 from __future__ import annotations
@@ -24,8 +24,6 @@ from fathomline.session import scratch_folder, settle
 
 # Bytes of text whose tokens a task holds at a time, a longer text alone.
 SLICE = 1 << 20
-# Windows that a worker process remembers in each of two generations, and the most tokens of one that is worth it.
-MOST_KEPT, MOST_TOKENS = 150_000, 48
 # Id pairs that a task counts before it hands them on, and those of one block of the counted table.
 HELD, BLOCK = 1_000_000, 4_000_000
 # A longer run of white space is more than the quick encoder's pattern can take.
@@ -95,72 +93,32 @@ class Pieces:
         return self.model.encode(text)
 
 
-def align_window(a: list[int], b: list[int], sizes: tuple[list[int], list[int]], shown: tuple[list[str], list[str]]) -> tuple[str, list[int], list[int]]:
-    """Groups as text, and both ids of every link, of the ids of both tokenizers over the same bytes."""
-    (a_size, b_size), (a_shown, b_shown) = sizes, shown
-    left, right, groups = [], [], []
-    i = j = a_from = b_from = 0
-    a_end, b_end = a_size[a[0]], b_size[b[0]]
-    while True:
-        left.append(a[i])
-        right.append(b[j])
-        if a_end < b_end:
-            i += 1
-            a_end += a_size[a[i]]
-        elif b_end < a_end:
-            j += 1
-            b_end += b_size[b[j]]
-        else:
-            i, j = i + 1, j + 1
-            groups.append(f"{','.join([a_shown[k] for k in a[a_from:i]])}|{','.join([b_shown[k] for k in b[b_from:j]])}")
-            if i == len(a):
-                return ";".join(groups), left, right
-            a_from, b_from = i, j
-            a_end += a_size[a[i]]
-            b_end += b_size[b[j]]
-
-
 class Aligner:
-    """Two tokenizers in this worker process, and the windows it has aligned."""
+    """Two tokenizers in this worker process."""
 
     def __init__(self, a_path: str, b_path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.a, self.b = ByteLevel(a_path), Pieces(b_path)
-        self.a_size, self.b_size = ([len(x) for x in t.bytes] for t in (self.a, self.b))
+        self.a_size, self.b_size = (np.array([len(x) for x in t.bytes]) for t in (self.a, self.b))
         self.width = len(self.b.bytes)
-        self.sizes = self.a_size, self.b_size
-        self.shown = tuple([str(i) for i in range(len(t.bytes))] for t in (self.a, self.b))
-        self.known: dict[bytes, tuple[bytes, bytes]] = {}
-        self.older: dict[bytes, tuple[bytes, bytes]] = {}
-
-    def _window(self, key: bytes, cut: int) -> tuple[bytes, bytes]:
-        """Groups as text and packed links of a window, from the older generation or made anew; B's ids begin at byte ``cut``."""
-        out = self.older.get(key)
-        if out is None:
-            a, b = np.frombuffer(key[:cut], np.int32), np.frombuffer(key[cut:], np.int32) - len(self.a.bytes)
-            text, left, right = align_window(a.tolist(), b.tolist(), self.sizes, self.shown)
-            out = text.encode(), (np.array(left, np.int64) * self.width + np.array(right, np.int64)).tobytes()
-        if len(key) <= 4 * MOST_TOKENS:
-            if len(self.known) >= MOST_KEPT:
-                self.older = self.known.copy()
-                self.known.clear()
-            self.known[key] = out
-        return out
+        # Ids as text with what follows them: A's inside and at the end of a group, then B's.
+        self.shown = [b"%d%s" % (i, mark) for t, marks in ((self.a, b",|"), (self.b, b",;")) for mark in (marks[:1], marks[1:]) for i in range(len(t.bytes))]
 
-    def _tokens(self, text: str | None) -> tuple[np.ndarray, np.ndarray, bytes] | None:
-        """Ids by both, and the bytes they stand for; None where the bytes differ or there are none."""
+    def _tokens(self, text: str | None) -> tuple[np.ndarray, np.ndarray, int] | None:
+        """Ids by both, and how many bytes they stand for; None where the bytes differ or there are none."""
         if not text:
             return None
         a, b, whole = self.a.encode(text), self.b.encode(text), b" " + text.encode()
         for ids, t in ((a, self.a), (b, self.b)):
             if b"".join(map(t.bytes.__getitem__, ids)) != whole:
                 return None
-        return np.array(a, np.int32), np.array(b, np.int32), whole
+        return np.array(a, np.int64), np.array(b, np.int64), len(whole)
 
     def align(self, texts: list[str | None]) -> list[tuple]:
         """(n_a, n_b, n_groups, n_links, groups, pairs, times) of every text; all are aligned as one run of bytes.
 
-        Every text begins with a space behind a shared end, so no window reaches over two texts.
+        Tokens of both end where a text ends, so neither groups nor links reach over two texts. Between one end of a token and
+        the next lies one link, that of the two tokens there.
         """
         found = [self._tokens(t) for t in texts]
         own = [f for f in found if f]
@@ -168,29 +126,33 @@ class Aligner:
         if not own:
             return [empty] * len(texts)
         a, b = (np.concatenate([f[k] for f in own]) for k in (0, 1))
-        data = np.frombuffer(b"".join(f[2] for f in own), np.uint8)
-        a_end, b_end = np.cumsum(np.array(self.a_size)[a]), np.cumsum(np.array(self.b_size)[b])
-        shared, a_at, b_at = np.intersect1d(a_end, b_end, assume_unique=True, return_indices=True)
-        cut = np.append(data[shared[:-1]] == 0x20, True)
-        anchors, a_cut, b_cut = shared[cut], (4 * (a_at[cut] + 1)).tolist(), (4 * (b_at[cut] + 1)).tolist()
-        # A window's key is its ids as bytes; those of B come after all of A's numbers.
-        a_ids, b_ids, known = a.tobytes(), (b + np.int32(len(self.a.bytes))).tobytes(), self.known
-        windows, i, j = [], 0, 0
-        for x, y in zip(a_cut, b_cut):
-            key = a_ids[i:x] + b_ids[j:y]
-            windows.append(known.get(key) or self._window(key, x - i))
-            i, j = x, y
-        ends = np.searchsorted(anchors, np.cumsum([len(f[2]) for f in own])) + 1
-        out, low, k = [], 0, 0
+        finish = np.cumsum([f[2] for f in own])
+        a_ends, b_ends = np.zeros(finish[-1] + 1, bool), np.zeros(finish[-1] + 1, bool)
+        a_ends[np.cumsum(self.a_size[a])] = True
+        b_ends[np.cumsum(self.b_size[b])] = True
+        ends = np.flatnonzero(a_ends | b_ends)
+        in_a, in_b = a_ends[ends], b_ends[ends]
+        shared = in_a & in_b
+        a_until, b_until, groups_until = np.cumsum(in_a), np.cumsum(in_b), np.cumsum(shared)
+        links = a[a_until - in_a] * self.width + b[b_until - in_b]
+        # A group shows its tokens of A, then those of B; B's of the groups before it and A's up to its end come first.
+        group = groups_until - shared
+        shown = np.empty(len(a) + len(b), np.int64)
+        shown[np.arange(len(a)) + np.append(0, b_until[shared])[group[in_a]]] = a + len(self.a.bytes) * shared[in_a]
+        shown[np.arange(len(b)) + a_until[shared][group[in_b]]] = b + self.width * shared[in_b] + 2 * len(self.a.bytes)
+        ids = list(map(self.shown.__getitem__, shown.tolist()))
+        last = np.searchsorted(ends, finish)
+        out, link, token, done = [], 0, 0, 0
+        at = iter(zip((last + 1).tolist(), (a_until + b_until)[last].tolist(), groups_until[last].tolist()))
         for f in found:
             if f is None:
                 out.append(empty)
                 continue
-            part, low, k = windows[low:ends[k]], int(ends[k]), k + 1
-            links = np.frombuffer(b"".join([w[1] for w in part]), np.int64)
-            pairs, times = np.unique(links, return_counts=True)
-            groups = b";".join([w[0] for w in part])
-            out.append((len(f[0]), len(f[1]), groups.count(b";") + 1, len(links), groups, pairs, times))
+            to_link, to_token, to_group = next(at)
+            pairs, times = np.unique(links[link:to_link], return_counts=True)
+            groups = b"".join(ids[token:to_token])[:-1]
+            out.append((len(f[0]), len(f[1]), to_group - done, to_link - link, groups, pairs, times))
+            link, token, done = to_link, to_token, to_group
         return out
 
 

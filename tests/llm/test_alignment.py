@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import random
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -109,3 +110,21 @@ def test_quick_encoder_agrees(texts):
             quick = own.encode(t)
             assert quick == own.slow.encode(" " + t, add_special_tokens=False).ids
             assert b"".join(own.bytes[i] for i in quick) == (" " + t).encode()
+
+
+def test_words_cost_no_calls():
+    """A slice is aligned by steps over arrays: no Python call for each of its distinct words."""
+    own, calls = alignment.aligner(BYTE_LEVEL, PIECES), 0
+    text = " ".join(f"w{k:x}q{k * 7919 % 10007}" for k in range(5000))
+
+    def count(frame, event, argument):
+        nonlocal calls
+        calls += event == "call"
+
+    own.align([text[:100]])
+    sys.setprofile(count)
+    try:
+        found = own.align([text, None, text])
+    finally:
+        sys.setprofile(None)
+    assert calls < 500 and found[0][:4] == found[2][:4] and found[1][:4] == (0, 0, 0, 0) and found[0][2] >= 5000
