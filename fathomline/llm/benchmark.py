@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 from fathomline.llm.columns import disguised, schema_of, undisguised
 from fathomline.llm.storage import releasing
 from fathomline.llm.words import LETTERS, Words, slices
+from fathomline.session import settle
 
 # Words of items in one automaton; more items make more automata, each with its own pass.
 BLOCK_WORDS = 1_000_000
@@ -331,7 +332,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, le
                 texts = pa.array(new, pa.string())
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in carried), texts], names=[*carried, "text"])
 
-    done = kept.select(*own.columns, "spans").mapInArrow(releasing(cut), own.schema)
+    # Written first: two functions of batches in one stage would keep two worker processes a core.
+    done = settle(kept.select(*own.columns, "spans")).mapInArrow(releasing(cut), own.schema)
     place = docs.columns.index("text")
     return done.select(*(c if k != place else F.col("text") for k, c in enumerate(undisguised(docs.columns))))
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fathomline.llm.storage import releasing
-from fathomline.llm.words import NOT_SPACE, Words, prefix_hash, slices, windows
+from fathomline.llm.words import BLOCK, NOT_SPACE, Words, prefix_hash, slices, windows
 from fathomline.session import settle
 
 SHINGLE, PERCENT = 4, 85
@@ -89,7 +89,7 @@ def shingle_sets(w: Words, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]
 def _sets(b: pa.RecordBatch, size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For slices of a batch: rows from, to; hashes and first of their sets; two hashes of each set."""
     texts = b.column("text")
-    for low, high in slices(texts):
+    for low, high in slices(texts, BLOCK):
         values, first = shingle_sets(Words(texts.slice(low, high - low), NOT_SPACE, lower=True), size)
         yield low, high, values, first, prefix_hash(values, first[:-1], first[1:]), prefix_hash(values, first[:-1], first[1:], lane=1)
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from fathomline.llm.columns import schema_of
-from fathomline.llm.storage import releasing
+from fathomline.llm.storage import kept_by, releasing
 from fathomline.llm.words import Words, byte_class, mix, slices
 
 SPACE = "▁"
@@ -257,7 +257,7 @@ class Codec:
 
 
 _NOT_SPACE = byte_class(lambda b: b != 0x20)
-_READY: dict[tuple[str, int], Codec] = {}
+_READY: dict[tuple[str, int], Codec] = kept_by(__name__)
 
 
 def codec(path: str, threads: int = THREADS) -> Codec:

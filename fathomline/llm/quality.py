@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from fathomline.llm.columns import disguised, schema_of, undisguised
 from fathomline.llm.storage import releasing
-from fathomline.llm.words import LETTERS, NOT_SPACE, Words, byte_class, mix, slices, windows
+from fathomline.llm.words import BLOCK, LETTERS, NOT_SPACE, Words, byte_class, mix, slices, windows
 
 BUCKETS = 1 << 14
 # Trusted documents that the target multinomial is fitted on, at most.
@@ -125,7 +125,7 @@ def count_grams(docs: DataFrame, trusted: list[int], buckets: int = BUCKETS) ->
             ids, texts = b.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False), b.column("text")
             there = ~np.asarray(b.column("doc_id").is_null())
             halves = [np.isin(ids, half) & there for half in sent.value]
-            for low, high in slices(texts):
+            for low, high in slices(texts, BLOCK):
                 owner, bucket = gram_buckets(Words(texts.slice(low, high - low)), buckets)
                 total[0] += np.bincount(bucket, minlength=buckets)
                 for k, half in enumerate(halves):
@@ -149,8 +149,8 @@ def log_ratio(target: np.ndarray, corpus: np.ndarray) -> np.ndarray:
 
 def _labelled(docs: DataFrame, trusted: list[int], rejected: list[int]) -> DataFrame:
     """(part, text) of the labelled documents; parts 0 and 1 are the halves of the trusted, 2 and 3 of the rejected."""
-    rows = [(i, 2 * kind + k % 2) for kind, ids in enumerate((trusted, rejected)) for k, i in enumerate(ids)]
-    parts = docs.sparkSession.createDataFrame(rows, "doc_id long, part int")
+    part = [2 * kind + k % 2 for kind, ids in enumerate((trusted, rejected)) for k in range(len(ids))]
+    parts = docs.sparkSession.createDataFrame(pa.table({"doc_id": pa.array([*trusted, *rejected], pa.int64()), "part": pa.array(part, pa.int32())}))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return own.join(F.broadcast(parts), "doc_id").select("part", "text")
 
@@ -167,7 +167,7 @@ def count_words(labelled: DataFrame, buckets: int) -> np.ndarray:
         total = np.zeros((4, buckets + 1), np.int32)
         for b in batches:
             parts, texts = b.column("part").to_numpy(), b.column("text")
-            for low, high in slices(texts):
+            for low, high in slices(texts, BLOCK):
                 w, bucket = _letters(texts.slice(low, high - low), buckets)
                 own = parts[low:high]
                 once = np.unique(w.owner() * buckets + bucket)
@@ -244,7 +244,7 @@ def fit_contrast(docs: DataFrame, labels: DataFrame, *, trusted: int = TRUSTED,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             parts, texts = b.column("part").to_numpy(), b.column("text")
-            for low, high in slices(texts):
+            for low, high in slices(texts, BLOCK):
                 part, own = texts.slice(low, high - low), parts[low:high]
                 plain = Words(part, NOT_SPACE)
                 passed = ~_base_failed(base_counts(part, plain))
@@ -282,7 +282,7 @@ def _measure(docs: DataFrame, weights: np.ndarray, columns: tuple[str, ...], wor
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(len(columns))
-            for low, high in slices(texts):
+            for low, high in slices(texts, BLOCK):
                 part = texts.slice(low, high - low)
                 w = Words(part, NOT_SPACE)
                 c = base_counts(part, w)
@@ -316,7 +316,7 @@ def fit_rules(docs: DataFrame, labels: DataFrame, *, buckets: int = BUCKETS, tru
     scores: list[int] = []
     for k in range(2):
         if ids[k::2] and counts[2 - k].sum():
-            half = docs.sparkSession.createDataFrame([(i,) for i in ids[k::2]], "doc_id long")
+            half = docs.sparkSession.createDataFrame(pa.table({"doc_id": pa.array(ids[k::2], pa.int64())}))
             own = docs.join(F.broadcast(half), "doc_id", "left_semi")  # at most ``trusted`` ids
             rows = _measure(own, log_ratio(counts[2 - k], counts[0]), ("doc_id",)).where("not base_failed")
             scores += [r["ratio_sum"] // r["n_grams"] for r in rows.select("ratio_sum", "n_grams").collect()]

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from fathomline.llm.columns import disguised, undisguised
 from fathomline.llm.storage import releasing
-from fathomline.llm.words import NOT_SPACE, Words, prefix_hash, slices, windows
+from fathomline.llm.words import BLOCK, NOT_SPACE, Words, prefix_hash, slices, windows
 from fathomline.session import settle
 
 WIDTH = 50
@@ -76,7 +76,7 @@ def _scan_runs(docs: DataFrame, width: int) -> DataFrame:
         for b in batches:
             doc, fp = (b.column(c).to_numpy() for c in ("doc", "fp"))
             texts = b.column("text")
-            for low, high in slices(texts):
+            for low, high in slices(texts, BLOCK):
                 r = anchor_runs(Words(texts.slice(low, high - low), NOT_SPACE), width)
                 own = r["text"] + low
                 yield pa.RecordBatch.from_arrays(
@@ -97,7 +97,7 @@ def _scan_windows(docs: DataFrame, asked: DataFrame, width: int) -> DataFrame:
         for b in batches:
             doc, fp = (b.column(c).to_numpy() for c in ("doc", "fp"))
             texts, runs = b.column("text"), b.column("runs")
-            for low, high in slices(texts):
+            for low, high in slices(texts, BLOCK):
                 w = Words(texts.slice(low, high - low), NOT_SPACE)
                 part = runs.slice(low, high - low)
                 sizes = part.value_lengths().to_numpy()
