@@ -333,50 +333,68 @@ class _Lines:
 
 
 class _Raster:
-    """Cells over the points that ask; a distance from a cell's middle is off by no more than the way to the middle."""
-
-    def __init__(self, points: np.ndarray, side: int) -> None:
-        self.low, high = points.min(0), points.max(0)
-        self.side, self.step = side, np.maximum((high - self.low) / side, 1e-9)
-        grid = np.stack(np.meshgrid(np.arange(side), np.arange(side), indexing="ij"), -1).reshape(-1, 2)
-        self.middles = self.low + (grid + 0.5) * self.step
-
-    def cell(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which cell a point is in, and how far from its middle."""
-        at = np.clip(((points - self.low) / self.step).astype(int), 0, self.side - 1)
-        cell = at[:, 0] * self.side + at[:, 1]
-        return cell, np.hypot(*(points - self.middles[cell]).T).astype(np.float32)
-
-    def field(self, own: _Lines, low: int, high: int) -> np.ndarray:
-        """(cells, tracks) distances of the middles to some of the tracks."""
-        span = own.span(low, high)
-        lines = tuple(v[span] for v in own.lines)
-        heads = own.heads[low:high] - own.heads[low]
+    """Cells over the points that ask; a distance from a cell's middle is off by no more than the way to the middle.
+
+    Where the points are few different ones, as on a grid, each is a cell of its own and nothing is off.
+    """
+
+    def __init__(self, own: _Lines, room: int) -> None:
+        points = own.points
+        # A field may cost a quarter of what measuring all pairs would, and few of its numbers are worked out twice.
+        most = int(np.clip(len(points) / 4, 16, min(16_384, max(1024, room // len(own)))))
+        single, cell = np.unique(points, axis=0, return_inverse=True)
+        if len(single) <= most:
+            self.middles, self.cell = single, cell.reshape(-1)
+        else:
+            side, low, high = int(most ** 0.5), points.min(0), points.max(0)
+            step = np.maximum((high - low) / side, 1e-9)
+            at = np.clip(((points - low) / step).astype(int), 0, side - 1)
+            used, self.cell = np.unique(at[:, 0] * side + at[:, 1], return_inverse=True)
+            self.middles = low + (np.column_stack([used // side, used % side]) + 0.5) * step
+        off = np.hypot(*(points - self.middles[self.cell]).T)
+        self.own, self.off = own, np.add.reduceat(off, own.heads) / own.sizes
+
+    def field(self, other: _Lines, low: int, high: int) -> np.ndarray:
+        """(cells, tracks) distances of the middles to some of the other tracks."""
+        span = other.span(low, high)
+        lines = tuple(v[span] for v in other.lines)
+        heads = other.heads[low:high] - other.heads[low]
+        out = np.empty((len(self.middles), high - low), np.float32)
         step = max(1, _CELLS // len(lines[0]))
-        return np.sqrt(np.concatenate([
-            np.minimum.reduceat(_squared(self.middles[i:i + step], lines), heads, axis=1).astype(np.float32)
-            for i in range(0, len(self.middles), step)
-        ]))
-
-    def bounds(self, field: np.ndarray, own: _Lines, low: int, high: int) -> np.ndarray:
-        """(tracks of own, tracks of the field) least mean distances of the points of some tracks."""
-        cell, off = self.cell(own.points[own.span(low, high)])
-        heads = own.heads[low:high] - own.heads[low]
-        out, step = [], max(1, _FIELD // max(1, field.shape[1]))
-        at = 0
-        while at < len(heads):
-            to = max(at + 1, int(np.searchsorted(heads, heads[at] + step, "right")) - 1)
-            end = heads[to] if to < len(heads) else len(cell)
-            near = field[cell[heads[at]:end]]
-            near -= off[heads[at]:end, None]
-            np.maximum(near, 0.0, out=near)
-            out.append(np.add.reduceat(near, heads[at:to] - heads[at], axis=0) / own.sizes[low + at:low + to, None])
-            at = to
-        return np.concatenate(out)
-
-
-# Numbers of a raster field held at once.
-_FIELD = 8_000_000
+        for i in range(0, len(out), step):
+            out[i:i + step] = np.minimum.reduceat(_squared(self.middles[i:i + step], lines), heads, axis=1)
+        return np.sqrt(out, out=out)
+
+    def means(self, field: np.ndarray, low: int, high: int) -> np.ndarray:
+        """(own tracks, tracks of the field) mean distances of some own tracks' middles."""
+        heads, sizes = self.own.heads[low:high], self.own.sizes[low:high]
+        out = np.empty((high - low, field.shape[1]), np.float32)
+        if sizes.mean() > len(field) / 16:
+            step = max(1, _FIELD // 4 // len(field))
+            for i in range(0, len(out), step):
+                some = sizes[i:i + step]
+                at = self.cell[heads[i]:heads[i] + some.sum()] + np.repeat(np.arange(len(some)) * len(field), some)
+                weight = np.bincount(at, minlength=len(some) * len(field)).reshape(len(some), -1) / some[:, None]
+                np.matmul(weight.astype(np.float32), field, out=out[i:i + step])
+            return out
+        # Longest first, a few rows at a time that stay in cache: the next points of all that have one are added at once.
+        order = np.argsort(-sizes, kind="stable")
+        step = max(1, _CELLS // max(1, field.shape[1]))
+        for i in range(0, len(out), step):
+            some = order[i:i + step]
+            first, many = heads[some], sizes[some]
+            total = field[self.cell[first]]
+            for j in range(1, many[0]):
+                live = int(np.searchsorted(-many, -j, "left"))
+                total[:live] += field[self.cell[first[:live] + j]]
+            total /= many[:, None].astype(np.float32)
+            out[some] = total
+        return out
+
+
+# Numbers of a raster field held at once, and of the bounds of pairs.
+_FIELD = 16_000_000
+_PAIRS = 2_000_000
 
 
 def _mean_apart(q: _Lines, i: int, items: _Lines, some: np.ndarray) -> np.ndarray:
@@ -398,33 +416,53 @@ def _raster_top(left: pd.DataFrame, right: pd.DataFrame, k: int, exclude_self: b
     q, items = _Lines(left), _Lines(right)
     limit = left["_bound"].fillna(np.inf).to_numpy(dtype=float)
     best = [(np.zeros(0), np.zeros(0, int)) for _ in range(len(q))]
-    # A field may cost a quarter of what measuring all pairs would.
-    to_items, to_queries = (_Raster(own.points, int(np.clip((len(own.points) / 4) ** 0.5, 4, 128))) for own in (q, items))
-    room = max(1, _FIELD // max(len(to_items.middles), len(to_queries.middles)))
-    for low in range(0, len(q), room):
-        high = min(len(q), low + room)
-        from_items = to_queries.field(q, low, high)
-        for a in range(0, len(items), room):
-            z = min(len(items), a + room)
-            bound = to_items.bounds(to_items.field(items, a, z), q, low, high)
-            bound = 0.5 * (bound + to_queries.bounds(from_items, items, a, z).T) - 1e-3
-            if exclude_self:
-                bound[q.names[low:high, None] == items.names[None, a:z]] = np.inf
+    to_items, to_queries = (_Raster(own, _FIELD) for own in (q, items))
+    # A track is one item at most.
+    self_at = pd.Index(items.names).get_indexer(pd.Index(q.names)) if exclude_self else np.full(len(q), -1)
+    room = max(1, _FIELD // len(to_items.middles))
+    for a in range(0, len(items), room):
+        z = min(len(items), a + room)
+        from_queries, off = to_items.field(items, a, z), 0.5 * to_queries.off[a:z].astype(np.float32)
+        rows = max(1, min(_PAIRS // (z - a), _FIELD // len(to_queries.middles)))
+        for low in range(0, len(q), rows):
+            high = min(len(q), low + rows)
+            far = to_items.means(from_queries, low, high)
+            far += to_queries.means(to_queries.field(q, low, high), a, z).T
+            far *= np.float32(0.5)
+            own = np.flatnonzero((self_at[low:high] >= a) & (self_at[low:high] < z))
+            far[own, self_at[low + own] - a] = np.inf
+            # Sums of single precision; a product adds up a number for each cell.
+            slack = 1e-7 * (8 + max(q.sizes[low:high].max(), items.sizes[a:z].max(), len(to_items.middles), len(to_queries.middles)))
+            own_off = 0.5 * to_items.off[low:high]
+            edge = limit[low:high].copy()
             for i in range(low, high):
-                row = bound[i - low]
-                order = np.flatnonzero(np.isfinite(row))
-                order = order[np.argsort(row[order], kind="stable")]
-                for some in (order[:2 * k], order[2 * k:]):
-                    far, who = best[i]
-                    edge = min(limit[i], far[k - 1] if len(far) >= k else np.inf)
-                    some = some[row[some] <= edge + 1e-9]
-                    for c in range(0, len(some), 256):
-                        part = some[c:c + 256] + a
-                        far = np.concatenate([far, _mean_apart(q, i, items, part)])
-                        who = np.concatenate([who, part])
-                        keep = np.lexsort((who, far))[:k]
-                        far, who = far[keep], who[keep]
-                    best[i] = far, who
+                if len(best[i][0]) >= k:
+                    edge[i - low] = min(edge[i - low], best[i][0][k - 1])
+            free = np.flatnonzero(~np.isfinite(edge))
+            if len(free) and z - a > k:
+                least = np.partition(far[free] * np.float32(1 + slack) + off, k - 1, axis=1)[:, k - 1]
+                edge[free] = least * (1 + slack) + own_off[free]
+            # What the k nearest keep at most, against what a pair keeps at least.
+            most = np.minimum((edge + own_off + 1e-8) * (1 + 1e-6), np.finfo(np.float32).max).astype(np.float32)
+            far *= np.float32(1 - slack)
+            far -= off
+            at, which = np.nonzero(far <= most[:, None])
+            starts = np.searchsorted(at, np.arange(high - low + 1))
+            for i in np.flatnonzero(np.diff(starts)):
+                some = which[starts[i]:starts[i + 1]]
+                least = far[i, some]
+                order = np.argsort(least, kind="stable")
+                some, least = some[order], least[order] - own_off[i]
+                for part in (slice(0, 2 * k), slice(2 * k, None)):
+                    dist, who = best[low + i]
+                    keep = least[part] <= min(limit[low + i], dist[k - 1] if len(dist) >= k else np.inf) * (1 + 1e-6) + 1e-8
+                    near = some[part][keep]
+                    for c in range(0, len(near), 256):
+                        dist = np.concatenate([dist, _mean_apart(q, low + i, items, near[c:c + 256] + a)])
+                        who = np.concatenate([who, near[c:c + 256] + a])
+                        first = np.lexsort((who, dist))[:k]
+                        dist, who = dist[first], who[first]
+                    best[low + i] = dist, who
     found = [len(w) for _, w in best]
     return plain_frame({
         "query_id": np.repeat(q.names, found), "item_id": items.names[np.concatenate([w for _, w in best])],

@@ -1,6 +1,7 @@
 """The pruned neighbour join against all pairs, and how little of the other side its queries visit."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,3 +118,40 @@ def test_paths_by_raster(spark, monkeypatch):
     for a in lines:
         order = sorted((far[a, b], b) for b in lines if b != a)[:4]
         assert [(b, round(d, 6)) for d, b in order] == [(got[a, k][0], round(got[a, k][1], 6)) for k in range(4)]
+
+
+def grid_tracks(n, side, seed=5):
+    r = np.random.default_rng(seed)
+    lines = [r.integers(0, side, (int(r.integers(1, 15)), 2)) * 10.0 for _ in range(n)]
+    return pd.DataFrame({
+        "_key": np.arange(n), "_x": [v[:, 0] for v in lines], "_y": [v[:, 1] for v in lines], "_bound": np.nan,
+    })
+
+
+def test_raster_work(monkeypatch):
+    """Tracks over the points of a grid: what is measured grows with the tracks, not with their pairs."""
+    plain, work = paths._squared, []
+    monkeypatch.setattr(paths, "_squared", lambda p, lines: work.append(len(p) * len(lines[0])) or plain(p, lines))
+    each = {}
+    for n in (400, 1600):
+        rows = grid_tracks(n, 16)
+        work.clear()
+        assert len(paths._raster_top(rows, rows, 5, True)) == 5 * n
+        each[n] = sum(work) / n
+    assert each[1600] < 1.5 * each[400]
+
+
+@pytest.mark.parametrize("room, side", [(16_000_000, 16), (40_000, 16), (16_000_000, 4), (16_000_000, 10_000)])
+def test_raster_finds_all(monkeypatch, room, side):
+    """Cells of single points, a field in pieces, more points than cells, and a raster over points that differ."""
+    monkeypatch.setattr(paths, "_FIELD", room)
+    monkeypatch.setattr(paths, "_PAIRS", 5_000)
+    rows = grid_tracks(150, side)
+    own = paths._Lines(rows)
+    far = np.stack([paths._mean_apart(own, i, own, np.arange(150)) for i in range(150)])
+    np.fill_diagonal(far, np.inf)
+    order = np.stack([np.lexsort((np.arange(150), row))[:5] for row in far])
+    for bound in (np.nan, np.take_along_axis(far, order, 1)[:, 4]):
+        found = paths._raster_top(rows.assign(_bound=bound), rows, 5, True).sort_values(["query_id", "distance", "item_id"])
+        assert (found["item_id"].to_numpy(int).reshape(150, 5) == order).all()
+        assert (found["distance"].to_numpy().reshape(150, 5) == np.take_along_axis(far, order, 1)).all()
