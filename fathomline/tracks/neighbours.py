@@ -95,8 +95,57 @@ def own_edge(bound: np.ndarray, k: int, score: Callable[[np.ndarray], np.ndarray
     return edge
 
 
+# Items of a row of distances of which the least one is looked at first.
+_STRIPE = 128
+# Pairs of a row that single precision may leave before it is told too coarse.
+_COARSE = 64
+
+
+def _single_close(q: dict, items: dict, k: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """Pairs that may be among the k nearest, from squared distances in single precision; None where that tells too little.
+
+    Vectors are taken from the middle of the items. Of every stripe of items the least distance is found first: the
+    k-th least of these bounds a query without a bound, and only stripes below its bound are looked through.
+    """
+    if "_single" not in items:
+        # A vector without a number somewhere has no distance to anything.
+        good = np.isfinite(items["vector"]).all(1)
+        middle = items["vector"][good].mean(0) if good.any() else np.zeros(items["vector"].shape[1])
+        b = np.where(good[:, None], items["vector"] - middle, 0.0)
+        squares = np.where(good, (b * b).sum(1), np.inf)
+        with np.errstate(over="ignore"):
+            held = np.pad(np.column_stack([b, np.ones(len(b)), squares]).astype(np.float32), ((0, -len(b) % _STRIPE), (0, 0)))
+        held[len(b):, -1] = np.inf
+        items["_single"] = middle, held, float(squares[good].max(initial=0.0))
+    middle, held, most = items["_single"]
+    a = q["vector"] - middle
+    one = (a * a).sum(1)
+    # Twice the bound of the rounding of a sum of so many products, and of the numbers themselves.
+    off = 2.0 * (a.shape[1] + 8) * 2.0 ** -23 * (one + most)
+    if not np.all(off < 1e30):
+        return None
+    rough = np.column_stack([a * -2.0, one, np.ones(len(a))]).astype(np.float32) @ held.T
+    rough[q["self"]] = np.inf
+    striped = rough.reshape(len(a), -1, _STRIPE)
+    least = striped.min(2)
+    edge = own_edge(q["bound"] ** 2, k, lambda free: (least if least.shape[1] > k else rough)[free])
+    limit = np.minimum(edge * (1 + 1e-6) + 2.0 * off, np.finfo(np.float32).max).astype(np.float32)
+    rows, stripes = np.nonzero(least <= limit[:, None])
+    each = max(1, _CELLS // _STRIPE)
+    found = [np.zeros((2, 0), int)]
+    for i in range(0, len(rows), each):
+        row, stripe = rows[i:i + each], stripes[i:i + each]
+        some, at = np.nonzero(striped[row, stripe] <= limit[row, None])
+        found.append(np.stack([row[some], stripe[some] * _STRIPE + at]))
+    close = np.concatenate(found, axis=1)
+    return None if close.shape[1] > (_COARSE + 8 * k) * len(a) else (close[0], close[1])
+
+
 def euclid(q: dict, items: dict, k: int) -> Found:
     """Exact distances of whatever may be among a query's k nearest."""
+    close = _single_close(q, items, k)
+    if close is not None:
+        return *close, exact(q, items, *close)
     rough, off = rough_squares(q, items)
     rough[q["self"]] = np.inf
     edge = own_edge(q["bound"] ** 2, k, lambda free: rough[free])

@@ -22,6 +22,8 @@ from fathomline.session import BLOCK_BYTES, setting, settle
 MOST_PIVOTS = 256
 # Items that share a block where there are so many.
 LEAST_BLOCK = 4096
+# Rows times blocks that are looked at together where rows are routed.
+_VISITS = 4_000_000
 
 
 @dataclass
@@ -35,9 +37,12 @@ class Cells:
     first: np.ndarray
     parts: np.ndarray
 
-    def blocks_of(self, cells: np.ndarray) -> np.ndarray:
-        first, parts = self.first[cells], self.parts[cells]
-        return np.unique(np.concatenate([np.arange(f, f + p) for f, p in zip(first, parts)] or [np.zeros(0, int)]))
+    def blocks_of(self, wanted: np.ndarray) -> np.ndarray:
+        """(rows, blocks) whether a row that wants some of the cells wants a block."""
+        held = np.zeros((len(self.first), int((self.first + self.parts).max())), np.float32)
+        for c, (first, parts) in enumerate(zip(self.first, self.parts)):
+            held[c, first:first + parts] = 1.0
+        return wanted.astype(np.float32) @ held > 0
 
 
 @dataclass(frozen=True)
@@ -156,10 +161,15 @@ def routes(asked: DataFrame, cells: Cells, space: Space) -> DataFrame:
         low = space.lower(apart(rows["_at"], cells.pivots), rows, cells)
         limit = bound.fillna(np.inf).to_numpy()
         limit = limit + 1e-9 * np.abs(np.where(np.isfinite(limit), limit, 0.0)) + 1e-12
-        return pd.Series([
-            [b for b in cells.blocks_of(np.flatnonzero(row <= most)).tolist() if b != own]
-            for row, most, own in zip(low, limit, home)
-        ])
+        blocks = int((cells.first + cells.parts).max())
+        step, out = max(1, _VISITS // blocks), []
+        for i in range(0, len(low), step):
+            wanted = cells.blocks_of(low[i:i + step] <= limit[i:i + step, None])
+            own = home.to_numpy(int)[i:i + step]
+            wanted[np.arange(len(own)), own] = False
+            rows, to = np.nonzero(wanted)
+            out += np.split(to.astype(np.int32), np.searchsorted(rows, np.arange(1, len(own))))
+        return pd.Series(out, dtype=object)
 
     found = asked.withColumn("_to", visit("_at", "_bound", "_b", F.struct("_cell", *space.uses)))
     return found.withColumn("_b", F.explode("_to")).drop("_to")

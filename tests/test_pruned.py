@@ -155,3 +155,41 @@ def test_raster_finds_all(monkeypatch, room, side):
         found = paths._raster_top(rows.assign(_bound=bound), rows, 5, True).sort_values(["query_id", "distance", "item_id"])
         assert (found["item_id"].to_numpy(int).reshape(150, 5) == order).all()
         assert (found["distance"].to_numpy().reshape(150, 5) == np.take_along_axis(far, order, 1)).all()
+
+
+@pytest.mark.parametrize("scale, shift", [(1.0, 0.0), (1e-3, 1e4), (1e40, 0.0)])
+def test_single_precision_finds_all(scale, shift):
+    """Candidates from sums of single precision hold the k nearest, whatever the numbers' size; a vector without a number has none."""
+    r = np.random.default_rng(7)
+    at = r.normal(size=(700, 8)) * scale + shift
+    at[300:310] = at[5]
+    at[17, 3] = np.nan
+    rows = np.array([i for i in range(60) if i != 17])
+    with np.errstate(over="ignore"):
+        far = np.sqrt(((at[rows][:, None] - at[None]) ** 2).sum(2))
+    far[np.arange(len(rows)), rows] = np.inf
+    far = np.where(np.isnan(far), np.inf, far)
+    order = np.stack([np.lexsort((np.arange(700), row))[:6] for row in far])
+    edge = np.take_along_axis(far, order, 1)
+    for bound in (np.full(len(rows), np.inf), edge[:, 5]):
+        q = {"vector": at[rows], "bound": bound, "self": (np.arange(len(rows)), rows)}
+        one, other, d = neighbours.euclid(q, {"vector": at}, 6)
+        for i in range(len(rows)):
+            mine = one == i
+            best = np.lexsort((other[mine], d[mine]))[:6]
+            assert (other[mine][best] == order[i]).all() and (d[mine][best] == edge[i]).all()
+
+
+def test_few_distances_are_worked_out(monkeypatch):
+    """Vectors at hardly differing distances: a query's exact distances are few, and no matrix of double precision is made."""
+    monkeypatch.setattr(neighbours, "rough_squares", None)
+    at = np.random.default_rng(8).normal(size=(6000, 64))
+    q = {"vector": at[:200], "bound": np.full(200, np.inf), "self": (np.arange(200), np.arange(200))}
+    assert 5 * 200 <= len(neighbours.euclid(q, {"vector": at}, 5)[0]) < 30 * 200
+
+
+def test_blocks_of_cells():
+    """Rows find the blocks of their cells together, as one product; a large cell has several, neighbours share one."""
+    cells = pruned.Cells(np.zeros((4, 1)), *[np.zeros(4)] * 2, {}, np.array([0, 0, 1, 4]), np.array([1, 1, 3, 1]))
+    wanted = np.array([[1, 0, 0, 0], [0, 1, 1, 0], [0, 0, 0, 0], [1, 1, 1, 1]], bool)
+    assert [np.flatnonzero(r).tolist() for r in cells.blocks_of(wanted)] == [[0], [0, 1, 2, 3], [], [0, 1, 2, 3, 4]]
