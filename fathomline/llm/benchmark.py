@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from fathomline.llm.columns import disguised, schema_of, undisguised
 from fathomline.llm.storage import releasing
-from fathomline.llm.words import LETTERS, Words, slices
+from fathomline.llm.words import BLOCK, LETTERS, Words, slices
 from fathomline.session import settle
 
 # Words of items in one automaton; more items make more automata, each with its own pass.
@@ -233,7 +233,7 @@ def _scan(docs: DataFrame, columns: list[str], block: list[tuple[str, str]], win
         for b in batches:
             texts = b.column(b.schema.get_field_index("scanned_text"))
             kept = b.select(columns)
-            for low, high in slices(texts):
+            for low, high in slices(texts, BLOCK):
                 w = Words(texts.slice(low, high - low), LETTERS, lower=True)
                 spans: list = [[] for _ in range(high - low)]
                 items: list = [[] for _ in range(high - low)]
