@@ -9,7 +9,7 @@ from fathomline.operators.joins import join
 from fathomline.operators.ordered import needs_blocks, over_rows
 from fathomline.operators.reshape import resample_time
 from fathomline.operators.rows import drop_duplicates, filter_rows, latest_per_key, rule
-from fathomline.operators.windows import rolling_stats
+from fathomline.operators.windows import rolling_together
 
 # Window lengths in days, states that count as running, daily measures.
 SHORT_WINDOW, LONG_WINDOW, BASELINE_WINDOW = 7, 21, 30
@@ -91,17 +91,16 @@ def trends(features: DataFrame, *, blocks: bool | None = None) -> DataFrame:
     """Rolling level, spread, slope and fit per series; all share one ordering."""
     blocks = needs_blocks(features, SERIES, blocks)
 
-    def rolling(df, column, window, statistics, least, prefix, per="hour"):
-        return rolling_stats(
-            df, column=column, window=window, statistics=statistics, group_by=SERIES,
-            order_by="day", min_periods=least, prefix=prefix, per=per, blocks=blocks,
-        )
+    def rolled(column, window, statistics, least, prefix, per="hour"):
+        return {"column": column, "window": window, "statistics": statistics, "min_periods": least,
+                "prefix": prefix, "per": per}
 
-    out = features.withColumn("day", V.moment(features, "day"))
-    out = rolling(out, "residual", SHORT_WINDOW, ["mean", "std"], 3, "residual_roll")
-    out = rolling(out, "residual", LONG_WINDOW, ["slope", "zscore"], 6, "residual_roll", "day")
-    out = rolling(out, "limit_progress_pct", LONG_WINDOW, ["slope", "r_squared"], 6, "progress_roll", "day")
-    out = rolling(out, "residual", BASELINE_WINDOW, ["std"], 10, "residual_roll")
+    wanted = [
+        rolled("residual", SHORT_WINDOW, ["mean", "std"], 3, "residual_roll"),
+        rolled("residual", LONG_WINDOW, ["slope", "zscore"], 6, "residual_roll", "day"),
+        rolled("limit_progress_pct", LONG_WINDOW, ["slope", "r_squared"], 6, "progress_roll", "day"),
+        rolled("residual", BASELINE_WINDOW, ["std"], 10, "residual_roll"),
+    ]
     x, y = F.unix_micros("day") / F.lit(8.64e10), F.col("limit_progress_pct")
 
     def line(w):
@@ -112,7 +111,13 @@ def trends(features: DataFrame, *, blocks: bool | None = None) -> DataFrame:
             "line_syy": F.regr_syy(y, x).over(w), "line_sxy": F.regr_sxy(y, x).over(w),
         }
 
+    out = features.withColumn("day", V.moment(features, "day"))
+    # The line first: it needs the order of days, which the numbering of values takes over from it.
     out = over_rows(out, line, group_by=SERIES, order_by="day", before=LONG_WINDOW - 1, blocks=blocks)
+    out = rolling_together(out, wanted, group_by=SERIES, order_by="day", blocks=blocks)
+    names = [f"{w['prefix']}_{how}{w['window']}" for w in wanted for how in w["statistics"]]
+    lines = ["line_n", "line_sxx", "line_syy", "line_sxy"]
+    out = out.select(*features.columns, *names, *lines)
     return out.withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 

@@ -100,11 +100,28 @@ def as_of(
     """For each moment, the latest row per key at or before it.
 
     A row is the state from its own time until the next row of its key, so each
-    row is handed the moments in that span and no key is scanned per moment.
+    row is handed the moments in that span and no key is scanned per moment. Of the
+    rows between two moments only the last can be asked for; the others are cut
+    inside the map task, which leaves at most a row per key and moment.
     """
     groups = V.names(keys)
     order = [time, *V.names(tie_break)]
     at = F.array(*[F.lit(m).cast("timestamp") for m in moments])
+    if not blocks:
+        V.need(df, *groups, *[o.lstrip("-") for o in order])
+        told = F.array_min(F.filter(at, lambda m: m >= V.moment(df, time)))
+        by = [F.col(f"`{g}`") for g in groups]
+        # The order read backwards, nulls first where it has them last.
+        turned = [
+            F.col(f"`{o[1:]}`").asc_nulls_first() if o.startswith("-") else F.col(f"`{o}`").desc_nulls_first()
+            for o in order
+        ]
+        last = Window.partitionBy(*by, "_told").orderBy(*turned)
+        df = (
+            df.withColumn("_told", told).where(F.col("_told").isNotNull())
+            .withColumn("_place", F.row_number().over(last)).where("_place = 1").drop("_told", "_place")
+        )
+        blocks = False
     spanned = over_rows(
         df,
         lambda w: {"_until": F.lead(V.moment(df, time)).over(w)},

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, WindowSpec, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from fathomline.functions import values as V
 from fathomline.operators.ordered import (
@@ -19,8 +19,8 @@ STATISTICS = (
 )
 
 
-def _statistic(how: str, w: WindowSpec, per: float) -> Column:
-    y, x = F.col("_v"), F.col("_x")
+def _statistic(how: str, w: WindowSpec, per: float, value: str = "_v") -> Column:
+    y, x = F.col(value), F.col("_x")
     if how == "mean":
         return F.avg(y).over(w)
     if how == "std":
@@ -89,6 +89,41 @@ def rolling_stats(
     ).drop("_x")
 
 
+def rolling_together(
+    df: DataFrame, wanted: list[dict], *, group_by=None, order_by, blocks: bool | None = None
+) -> DataFrame:
+    """`rolling_stats` once for each of `wanted`, its options without group and order.
+
+    Where no group is hot, the values of all columns are numbered over one ordering, and frames on one
+    column share another, so rows are sorted once a column and not twice an entry.
+    """
+    groups, order = V.names(group_by), V.must_order(order_by)
+    if needs_blocks(df, groups, blocks):
+        for one in wanted:
+            df = rolling_stats(df, **one, group_by=groups, order_by=order, blocks=True)
+        return df
+    columns = list(dict.fromkeys(one["column"] for one in wanted))
+    place = {c: i for i, c in enumerate(columns)}
+    by = [F.col(f"`{g}`") for g in groups]
+    upto = Window.partitionBy(*by).orderBy(*V.ordering(order)).rowsBetween(Window.unboundedPreceding, 0)
+    out = df.withColumns({"_x": V.axis(df, order[0]), **{f"_v{i}": V.number(df, c) for c, i in place.items()}})
+    out = out.withColumns({f"_k{i}": F.count(f"_v{i}").over(upto) for i in place.values()})
+    temporal = not V.is_numeric(V.kind(df, order[0]))
+    for c, i in place.items():
+        found = {}
+        for one in wanted:
+            if one["column"] == c:
+                w = Window.partitionBy(*by).orderBy(f"_k{i}").rangeBetween(1 - one["window"], 0)
+                enough = F.count(f"_v{i}").over(w) >= one.get("min_periods", 2)
+                scale = V.UNIT_SECONDS[one.get("per", "hour")] if temporal else 1.0
+                for how in V.names(one["statistics"]):
+                    V.one_of("rolling statistic", how, STATISTICS)
+                    name = f"{one.get('prefix') or c + '_roll'}_{how}{one['window']}"
+                    found[name] = F.when(enough, F.round(_statistic(how, w, scale, f"_v{i}"), 6))
+        out = out.withColumns(found)
+    return out.drop("_x", *[f"_{kind}{i}" for i in place.values() for kind in "vk"])
+
+
 def moving_average(
     df: DataFrame, *, column: str, window: int = 3, output: str | None = None, order_by
 ) -> DataFrame:
