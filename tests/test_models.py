@@ -181,6 +181,15 @@ def test_bundles_of_many_findings_equal_their_sql(name, spark, tmp_path):
     assert difference(catalog.queries[name](spark, str(tmp_path)), con, catalog.sql[name]) is None
 
 
+def test_reasoning_rests_on_every_finding(spark, tmp_path, hot):
+    docs = spark.range(100).selectExpr("id AS doc_id", "'en' AS lang", "concat('s', id % 2) AS source", "id * 7 AS n_chars")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.range(95).selectExpr("id AS doc_id", "id % 2 AS quality", "id % 3 % 2 AS toxic").write.parquet(str(tmp_path / "labels.parquet"))
+    said = dict(everything().queries["compose_reasoning"](spark, str(tmp_path)).collect())
+    assert said["s0"].startswith("s0: 48 findings") and "A further 44 weaker" in said["s0"]
+    assert said["s1"].startswith("s1: 47 findings") and "A further 43 weaker" in said["s1"]
+
+
 def test_halves_of_a_missing_share_round_up(spark):
     df = spark.range(320).selectExpr("id", "timestamp_seconds(id * 60) AS at", "CASE WHEN id >= 51 THEN id * 1.0 END AS v")
     row = quality.data_quality(df, value="v", timestamp="at", checks="missing").first()
